@@ -7,6 +7,7 @@ Joins are left to adaptive execution, which splits skewed join partitions at run
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,10 +126,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of the DataFrame in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def written(df: DataFrame) -> DataFrame:
+    """The rows written once as a table in the shared folder and read back.
+
+    Everything built on the result starts from the table: it is not computed again when
+    read twice or when an executor is lost, reads stay columnar, and its size is known.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/riskscan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
