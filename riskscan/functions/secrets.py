@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -83,7 +84,11 @@ def _any_issued(value: Column) -> Column:
 
 
 def has_secret(text: Column) -> Column:
-    return F.size(find_secrets(text)) > 0
+    """Does the text hold any secret? Equal to a non-empty `find_secrets`, but cheaper."""
+    issued = [a for k in ISSUED_KEYS for a in k.anchors]
+    anchored = text.rlike("|".join(re.escape(a) for a in issued))
+    assigned = F.regexp_extract_all(text, F.lit(ASSIGNED.regex), F.lit(ASSIGNED.group))
+    return (anchored & _any_issued(text)) | (_present(text, ASSIGNED) & F.exists(assigned, _is_real))
 
 
 def redact(text: Column) -> Column:

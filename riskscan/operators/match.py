@@ -17,7 +17,7 @@ from riskscan.functions import secrets as S
 from riskscan.functions import text as T
 from riskscan.operators.names import last_two_servers, other_server
 from riskscan.rules.catalog import BY_ID
-from riskscan.schemas import EVIDENCE_DDL, NAME_KINDS, evidence
+from riskscan.schemas import NAME_KINDS, evidence
 
 
 @dataclass(frozen=True)
@@ -68,69 +68,59 @@ def _near_verb(path: str, window: int) -> str:
 SENSITIVE_NEAR_VERB = _near_verb(P.SENSITIVE_PATH, P.SENSITIVE_WINDOW)
 
 
-def contains_any(low: Column, anchors: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for anchor in anchors:
-        found = found | F.contains(low, F.lit(anchor))
-    return found
+def sql_text(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def pattern_hits(norm: Column, low: Column, pattern: P.TextPattern) -> Column:
-    return contains_any(low, pattern.anchors) & norm.rlike(pattern.regex)
+def contains_any(low: str, anchors: tuple[str, ...]) -> Column:
+    """Does the column named `low` hold one of the literals?"""
+    return F.expr(" or ".join(f"contains({low}, {sql_text(a)})" for a in anchors))
 
 
-def _special_test(d: Detector, raw: Column, norm: Column, low: Column) -> Column:
+def pattern_hits(norm: str, low: str, pattern: P.TextPattern) -> Column:
+    """The literal test, then the regular expression."""
+    return contains_any(low, pattern.anchors) & F.col(norm).rlike(pattern.regex)
+
+
+def _special_test(d: Detector) -> Column:
+    raw, norm = F.col("text"), F.col("norm")
     if d.special == "hidden":
+        # Anything invisible except a joiner that only ties emoji together.
         return raw.rlike(T.INVISIBLE) & (
-            (F.size(T.tag_characters(raw)) > 0) | (T.zero_width_count(raw) > 0) | (T.bidi_count(raw) > 0)
+            raw.rlike(f"[{T.TAG_CHARACTERS}{T.BIDI_CONTROLS}]") | (T.zero_width_count(raw) > 0)
         )
     if d.special == "encoded":
         return raw.rlike("[A-Za-z0-9+/]{40}") & (F.size(T.hidden_base64_texts(raw)) > 0)
     if d.special == "control":
         return raw.rlike(P.CONTROL_CHARACTERS)
     if d.special == "sensitive":
-        return contains_any(low, P.SENSITIVE_ANCHORS) & norm.rlike(SENSITIVE_NEAR_VERB)
+        return contains_any("low", P.SENSITIVE_ANCHORS) & norm.rlike(SENSITIVE_NEAR_VERB)
     if d.special == "collector":
         already = F.lit(False)
         for p in P.SEND_OUT:
-            already = already | (~F.col("kind").isin(*NAME_KINDS) & pattern_hits(norm, low, p))
-        return contains_any(low, P.COLLECTOR_ANCHORS) & norm.rlike(P.COLLECTOR_DOMAIN) & ~already
+            already = already | (~F.col("kind").isin(*NAME_KINDS) & pattern_hits("norm", "low", p))
+        return contains_any("low", P.COLLECTOR_ANCHORS) & norm.rlike(P.COLLECTOR_DOMAIN) & ~already
     return S.has_secret(raw)
 
 
-def _test(d: Detector, raw: Column, norm: Column, low: Column) -> Column:
+def _test(d: Detector) -> Column:
     scope = {"metadata": ~F.col("is_dynamic"), "dynamic": F.col("is_dynamic"), "all": F.lit(True)}[d.where]
     if d.pattern is not None:
-        return scope & ~F.col("kind").isin(*NAME_KINDS) & pattern_hits(norm, low, d.pattern)
+        return scope & ~F.col("kind").isin(*NAME_KINDS) & pattern_hits("norm", "low", d.pattern)
     if d.special == "sensitive":
         scope = scope & ~F.col("kind").isin(*NAME_KINDS)
-    return scope & _special_test(d, raw, norm, low)
+    return scope & _special_test(d)
 
 
 def detect(surfaces: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
     """One row per surface and detector that fired: the surface columns, `norm` and `det`."""
     scan = surfaces.where(F.col("text") != "").withColumn("norm", T.normalize(F.col("text")))
     scan = scan.withColumn("low", F.lower("norm"))
-    raw, norm, low = F.col("text"), F.col("norm"), F.col("low")
-    fired = F.filter(
-        F.array(*[F.when(_test(d, raw, norm, low), F.lit(i)) for i, d in enumerate(detectors)]),
-        lambda i: i.isNotNull(),
-    )
+    fired = F.array_compact(F.array(*[F.when(_test(d), F.lit(i)) for i, d in enumerate(detectors)]))
     return scan.withColumn("det", F.explode(fired)).drop("low")
 
 
-def _case(det: Column, detectors, value) -> Column:
-    """CASE over the detectors; `value` returns a Column or plain value, or None for no branch."""
-    chain = None
-    for i, d in enumerate(detectors):
-        v = value(d)
-        if v is None:
-            continue
-        v = v if isinstance(v, Column) else F.lit(v)
-        chain = F.when(det == i, v) if chain is None else chain.when(det == i, v)
-    return chain
-
-
 def _split_pattern(d: Detector) -> str | None:
     if d.pattern is not None:
         return d.pattern.regex
@@ -141,19 +131,44 @@ def _split_pattern(d: Detector) -> str | None:
     }.get(d.special)
 
 
+def _fixed(detectors: tuple[Detector, ...], value) -> Column:
+    """A fixed value per detector, looked up by its number; null where `value` gives None."""
+    literals = [value(d) for d in detectors]
+    texts = ", ".join(
+        "null" if v is None else sql_text(v) if isinstance(v, str) else str(v).lower() for v in literals
+    )
+    return F.expr(f"element_at(array({texts}), det + 1)")
+
+
+def _split(detectors: tuple[Detector, ...]) -> Column:
+    """The text split at the first match of the detector's pattern."""
+    branches = []
+    for i, d in enumerate(detectors):
+        regex = _split_pattern(d)
+        if regex:
+            column = "text" if d.special == "control" else "norm"
+            branches.append(f"when {i} then split({column}, {sql_text(regex)}, 2)")
+    return F.expr(f"case det {' '.join(branches)} end") if branches else F.lit(None).cast("array<string>")
+
+
+def _hidden(text: Column) -> Column:
+    return F.struct(
+        F.size(T.tag_characters(text)).alias("tags"),
+        T.decode_tag_characters(text).alias("message"),
+        T.zero_width_count(text).alias("zero"),
+        T.bidi_count(text).alias("bidi"),
+    )
+
+
 def _hidden_fields() -> dict[str, Column]:
-    text = F.col("text")
-    tags = F.size(T.tag_characters(text))
-    message = T.decode_tag_characters(text)
+    tags, message, zero, bidi = (F.col(f"hid.{n}") for n in ("tags", "message", "zero", "bidi"))
     long_message = F.char_length(F.btrim(message)) >= 8
-    zero, bidi = T.zero_width_count(text), T.bidi_count(text)
     kinds = F.array_join(
-        F.filter(
+        F.array_compact(
             F.array(
                 F.when(zero > 0, F.concat(zero.cast("string"), F.lit(" zero width"))),
                 F.when(bidi > 0, F.concat(bidi.cast("string"), F.lit(" text direction"))),
-            ),
-            lambda k: k.isNotNull(),
+            )
         ),
         " and ",
     )
@@ -164,19 +179,20 @@ def _hidden_fields() -> dict[str, Column]:
         "what": F.when(tags > 0, F.concat(F.lit("hides "), tags.cast("string"), F.lit(" invisible tag characters.")))
         .otherwise(F.concat(F.lit("contains "), kinds, F.lit(" characters."))),
         "shown": F.when(tags > 0, F.when(message == "", F.lit("(no readable text)")).otherwise(message))
-        .otherwise(T.marked_invisible(text)),
+        .otherwise(T.marked_invisible(F.col("text"))),
         "detail": F.when(tags > 0, "decoded tag characters").otherwise("invisible characters shown as [U+XXXX]"),
     }
 
 
-def _first_pattern(norm: Column) -> Column:
-    """Index in RUNTIME_PATTERNS of the first pattern found in a decoded text, or null."""
-    low = F.lower(norm)
+def _first_pattern(norm: str, low: str) -> Column:
+    """Index in RUNTIME_PATTERNS of the first pattern found, or null."""
     return F.coalesce(*[F.when(pattern_hits(norm, low, p), F.lit(i)) for i, p in enumerate(P.RUNTIME_PATTERNS)])
 
 
-def _by_pattern(index: Column, attribute: str) -> Column:
-    return F.element_at(F.array(*[F.lit(getattr(p, attribute)) for p in P.RUNTIME_PATTERNS]), index + 1)
+def _by_pattern(index: str, attribute: str) -> Column:
+    values = [getattr(p, attribute) for p in P.RUNTIME_PATTERNS]
+    texts = ", ".join(sql_text(v) if isinstance(v, str) else str(v).lower() for v in values)
+    return F.expr(f"element_at(array({texts}), {index} + 1)")
 
 
 def surface_hits(surfaces: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
@@ -184,106 +200,110 @@ def surface_hits(surfaces: DataFrame, detectors: tuple[Detector, ...] = DETECTOR
 
     Extra columns of `surfaces` are dropped; `ref_name` is input for `resolve_tool_references`.
     """
-    hits = detect(surfaces, detectors)
-    det = F.col("det")
-    subject = _case(det, detectors, lambda d: F.col("text") if d.special == "control" else None)
-    subject = F.coalesce(subject, F.col("norm")) if subject is not None else F.col("norm")
-    hits = hits.withColumn("subject", subject).withColumn(
-        "parts", _case(det, detectors, lambda d: (lambda r: r and T.split_at_match(F.col("subject"), r))(_split_pattern(d)))
-    )
+    hits = detect(surfaces, detectors).withColumn("special", _fixed(detectors, lambda d: d.special))
+    special = F.col("special")
+    hits = hits.select(
+        "server_id", "seq", "kind", "target_kind", "target_name", "location", "text", "norm", "det", "special",
+        _split(detectors).alias("parts"),
+        F.when(special == "hidden", _hidden(F.col("text"))).alias("hid"),
+        F.when(special == "encoded", F.get(T.hidden_base64_texts(F.col("text")), F.lit(0))).alias("decoded"),
+        F.when(special == "secret", S.find_secrets(F.col("text"))).alias("found"),
+    )
+    subject = F.when(special == "control", F.col("text")).otherwise(F.col("norm"))
     hits = hits.select(
-        "server_id", "seq", "kind", "target_kind", "target_name", "location", "text", "norm", "det",
+        *[c for c in hits.columns if c not in ("norm", "parts")],
         F.get("parts", F.lit(0)).alias("before"),
+        T.matched_text(subject, F.get("parts", F.lit(0)), F.get("parts", F.lit(1))).alias("matched"),
         F.get("parts", F.lit(1)).alias("after"),
-        T.matched_text(F.col("subject"), F.get("parts", F.lit(0)), F.get("parts", F.lit(1))).alias("matched"),
-        F.when(det.isin(*_indexes(detectors, "encoded")), F.get(T.hidden_base64_texts(F.col("text")), F.lit(0))).alias("decoded"),
-        F.when(det.isin(*_indexes(detectors, "secret")), S.find_secrets(F.col("text"))).alias("found"),
-    )
+        T.normalize(F.col("decoded")).alias("decoded_norm"),
+    )
     before, matched, after = F.col("before"), F.col("matched"), F.col("after")
-    hits = hits.withColumn("defensive", F.coalesce(T.looks_defensive(before, matched, after), F.lit(False)))
-    hits = hits.withColumn("bad", F.when(F.col("decoded").isNotNull(), _first_pattern(T.normalize(F.col("decoded")))))
-    hidden = _hidden_fields()
-    noun = F.replace(F.col("kind"), F.lit("-"), F.lit(" "))
-    the = lambda rest: F.concat(F.lit("The "), noun, F.lit(" "), rest)
+    hits = hits.select(
+        "*",
+        F.coalesce(T.looks_defensive(before, matched, after), F.lit(False)).alias("defensive"),
+        F.lower("decoded_norm").alias("decoded_low"),
+        T.excerpt(before, matched, after).alias("around"),
+    )
+    hits = hits.select("*", F.when(special == "encoded", _first_pattern("decoded_norm", "decoded_low")).alias("bad"))
+
+    hidden, defensive, bad, around, loc = _hidden_fields(), F.col("defensive"), F.col("bad"), F.col("around"), F.col("location")
     escape = F.contains(F.col("text"), F.lit("\x1b"))
-    defensive = F.col("defensive")
-
-    def pick(d: Detector, phrase, special: dict):
-        return phrase(d.pattern) if d.pattern is not None else special.get(d.special)
-
-    severity = _case(det, detectors, lambda d: pick(d, lambda p: p.severity if d.rule_id != "SHADOW-002" else "critical", {
-        "hidden": hidden["severity"],
-        "encoded": F.when(F.col("bad").isNull(), "medium").when(_by_pattern(F.col("bad"), "malicious"), "critical").otherwise("high"),
-        "control": F.when(escape, "high").otherwise("medium"),
-        "sensitive": "high", "collector": "high", "secret": "high",
-    }))
-    confidence = _case(det, detectors, lambda d: pick(d, lambda p: F.when(defensive, "low").otherwise(p.confidence), {
-        "hidden": hidden["confidence"],
-        "encoded": F.when(F.col("bad").isNull(), "low").otherwise("high"),
-        "control": "high", "secret": "high",
-        "sensitive": F.when(defensive, "low").otherwise("medium"),
-        "collector": F.when(defensive, "low").otherwise("medium"),
-    }))
-    # Being sent elsewhere or steered is shown as a risk, but only clear attacks count as malicious.
-    malicious = _case(det, detectors, lambda d: pick(d, lambda p: F.lit(p.malicious) & ~defensive, {
-        "hidden": hidden["malicious"],
-        "encoded": F.coalesce(_by_pattern(F.col("bad"), "malicious"), F.lit(False)),
-        "control": F.lit(False), "sensitive": F.lit(False), "collector": ~defensive, "secret": F.lit(False),
-    }))
-    description = _case(det, detectors, lambda d: pick(
-        d,
-        lambda p: F.lit(f"Content returned at run time {p.label}.") if d.rule_id == "INJ-004" else the(F.lit(f"{p.label}.")),
-        {
-            "hidden": the(hidden["what"]),
-            "encoded": F.when(F.col("bad").isNull(), "Encoded text decodes to readable text.").otherwise(
-                F.concat(F.lit("Encoded text decodes to text that "), _by_pattern(F.col("bad"), "label"), F.lit("."))),
-            "control": the(F.when(escape, "contains terminal escape codes.").otherwise("contains control characters.")),
-            "sensitive": the(F.concat(F.lit("asks about the sensitive file '"), matched, F.lit("'."))),
-            "collector": the(F.concat(F.lit("names '"), matched, F.lit("', a place often used to collect data."))),
-            "secret": the(F.concat(F.lit("contains what looks like a real secret ("), F.col("found")[0]["kind"], F.lit(")."))),
-        },
-    ))
-    around = T.excerpt(before, matched, after)
-    loc = F.col("location")
-    found = _case(det, detectors, lambda d: pick(d, lambda p: F.array(evidence("text-match", loc, around, p.label)), {
-        "hidden": F.array(evidence("hidden-text", loc, hidden["shown"], hidden["detail"])),
-        "encoded": F.array(evidence("encoded-text", loc, F.left("decoded", F.lit(300)), "decoded base64")),
-        "control": F.array(evidence("hidden-text", loc, T.ascii_escaped(around), "control characters shown escaped")),
-        "sensitive": F.array(evidence("text-match", loc, around, "sensitive file reference")),
-        "collector": F.array(evidence("text-match", loc, around, "data collection domain")),
-        "secret": F.transform("found", lambda s: F.struct(
-            F.lit("text-match").alias("kind"), loc.alias("location"), S.mask(s["value"]).alias("snippet"), s["kind"].alias("detail"))),
-    }))
-    keeps_context = _case(det, detectors, lambda d: F.right(before, F.lit(T.PAD)) if (
-        d.pattern is not None or d.special in ("sensitive", "collector")) else None)
-    ref = F.when(
-        det.isin(*[i for i, d in enumerate(detectors) if d.rule_id == "SHADOW-001"]),
-        F.coalesce(
-            F.nullif(F.regexp_extract(F.concat(matched, F.left(after, F.lit(5))), P.OTHER_TOOL_NAME, 1), F.lit("")),
-            F.regexp_extract(F.concat(matched, F.left(after, F.lit(5))), P.OTHER_TOOL_NAME, 2),
-        ),
+    the = lambda rest: F.concat(F.lit("The "), F.replace(F.col("kind"), F.lit("-"), F.lit(" ")), F.lit(" "), rest)
+    is_ = lambda name: special == name
+
+    severity = (
+        F.when(is_("hidden"), hidden["severity"])
+        .when(is_("encoded"), F.when(bad.isNull(), "medium").when(_by_pattern("bad", "malicious"), "critical").otherwise("high"))
+        .when(is_("control"), F.when(escape, "high").otherwise("medium"))
+        .otherwise(_fixed(detectors, lambda d: d.pattern.severity if d.pattern else "high"))
+    )
+    confidence = (
+        F.when(is_("hidden"), hidden["confidence"])
+        .when(is_("encoded"), F.when(bad.isNull(), "low").otherwise("high"))
+        .when(is_("control") | is_("secret"), "high")
+        .when(defensive, "low")
+        .otherwise(_fixed(detectors, lambda d: d.pattern.confidence if d.pattern else "medium"))
+    )
+    # Steering or sending data is shown as a risk; only clear attacks count as malicious.
+    malicious = (
+        F.when(is_("hidden"), hidden["malicious"])
+        .when(is_("encoded"), F.coalesce(_by_pattern("bad", "malicious"), F.lit(False)))
+        .when(defensive, F.lit(False))
+        .otherwise(_fixed(detectors, lambda d: d.pattern.malicious if d.pattern else d.special == "collector"))
+    )
+    description = (
+        F.when(is_("hidden"), the(hidden["what"]))
+        .when(
+            is_("encoded"),
+            F.when(bad.isNull(), "Encoded text decodes to readable text.").otherwise(
+                F.concat(F.lit("Encoded text decodes to text that "), _by_pattern("bad", "label"), F.lit("."))
+            ),
+        )
+        .when(is_("control"), the(F.when(escape, "contains terminal escape codes.").otherwise("contains control characters.")))
+        .when(is_("sensitive"), the(F.concat(F.lit("asks about the sensitive file '"), matched, F.lit("'."))))
+        .when(is_("collector"), the(F.concat(F.lit("names '"), matched, F.lit("', a place often used to collect data."))))
+        .when(is_("secret"), the(F.concat(F.lit("contains what looks like a real secret ("), F.col("found")[0]["kind"], F.lit(")."))))
+        .when(F.col("rule_id") == "INJ-004", F.concat(F.lit("Content returned at run time "), F.col("label"), F.lit(".")))
+        .otherwise(the(F.concat("label", F.lit("."))))
+    )
+    proof = (
+        F.when(is_("hidden"), F.array(evidence("hidden-text", loc, hidden["shown"], hidden["detail"])))
+        .when(is_("encoded"), F.array(evidence("encoded-text", loc, F.left("decoded", F.lit(300)), "decoded base64")))
+        .when(is_("control"), F.array(evidence("hidden-text", loc, T.ascii_escaped(around), "control characters shown escaped")))
+        .when(is_("sensitive"), F.array(evidence("text-match", loc, around, "sensitive file reference")))
+        .when(is_("collector"), F.array(evidence("text-match", loc, around, "data collection domain")))
+        .when(
+            is_("secret"),
+            F.transform("found", lambda s: evidence("text-match", loc, S.mask(s["value"]), s["kind"])),
+        )
+        .otherwise(F.array(evidence("text-match", loc, around, F.col("label"))))
+    )
+    keeps_context = (special == "") | special.isin("sensitive", "collector")
+    orders = F.concat(matched, F.left(after, F.lit(5)))
+    ref = F.coalesce(
+        F.nullif(F.regexp_extract(orders, P.OTHER_TOOL_NAME, 1), F.lit("")), F.regexp_extract(orders, P.OTHER_TOOL_NAME, 2)
+    )
+    hits = hits.select(
+        "*",
+        _fixed(detectors, lambda d: d.rule_id).alias("rule_id"),
+        _fixed(detectors, lambda d: d.pattern.label if d.pattern else None).alias("label"),
     )
     return hits.select(
-        "server_id", "seq",
-        _case(det, detectors, lambda d: d.rule_id).alias("rule_id"),
-        _case(det, detectors, lambda d: BY_ID[d.rule_id].title).alias("title"),
+        "server_id", "seq", "rule_id",
+        _fixed(detectors, lambda d: BY_ID[d.rule_id].title).alias("title"),
         severity.alias("severity"),
         confidence.alias("confidence"),
-        _case(det, detectors, lambda d: BY_ID[d.rule_id].category).alias("category"),
+        _fixed(detectors, lambda d: BY_ID[d.rule_id].category).alias("category"),
         description.alias("description"),
-        found.cast(EVIDENCE_DDL).alias("evidence"),
+        proof.alias("evidence"),
         "target_kind", "target_name",
         F.lit(False).alias("confirmed"),
-        F.coalesce(malicious, F.lit(False)).alias("malicious"),
-        keeps_context.alias("context_text"),
-        ref.alias("ref_name"),
+        malicious.alias("malicious"),
+        F.when(keeps_context, F.right(before, F.lit(T.PAD))).alias("context_text"),
+        F.when(F.col("rule_id") == "SHADOW-001", ref).alias("ref_name"),
     )
 
 
-def _indexes(detectors: tuple[Detector, ...], special: str) -> list[int]:
-    return [i for i, d in enumerate(detectors) if d.special == special] or [-1]
-
-
 def resolve_tool_references(hits: DataFrame, tools: DataFrame | None = None) -> DataFrame:
     """Judge orders about another tool by who owns that tool.
 
