@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,11 +113,11 @@ def usable_rules(checked: DataFrame) -> tuple[list[UserRule], DataFrame]:
 
 def compiles(spark: SparkSession, pattern: str) -> bool:
     """Does the JVM accept this regular expression?"""
-    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
 
     try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JError:
+        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+    except (PySparkException, Py4JError):
         return False
     return True
 
