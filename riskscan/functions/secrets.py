@@ -43,6 +43,7 @@ ASSIGNED = SecretKind(
     group=1,
 )
 KINDS = (*ISSUED_KEYS, ASSIGNED)
+ANY_ANCHOR = "(?i)" + "|".join(sorted({re.escape(a) for k in KINDS for a in k.anchors}))
 PLACEHOLDER = r"(?i)^(?:your|my|the|example|sample|dummy|test|change|replace|insert|xxx|<|\$\{|\{\{|%)|x{6,}|\*{4,}|\.\.\."
 
 
@@ -93,18 +94,16 @@ def has_secret(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """The text with every secret replaced by a marker naming its kind."""
-    out = text
+    # One test for all kinds; the replacements are chained and only run where it holds.
+    hidden = text
     for kind in ISSUED_KEYS:
-        out = F.when(
-            _present(text, kind), F.regexp_replace(out, kind.regex, f"[REDACTED {kind.name}]")
-        ).otherwise(out)
+        hidden = F.regexp_replace(hidden, kind.regex, f"[REDACTED {kind.name}]")
     # Keep the name and the quotes around an assigned value, hide only the value.
     pattern = r"(?i)((?:api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd|credentials?)[\"']?\s*[:=]\s*[\"'])" + (
-        r"(?=[^\"']*[0-9])(?=[^\"']*[A-Za-z])[A-Za-z0-9_\-+/=.~!@#%^&*]{16,200}([\"'])"
+        r"(?=[^\"'0-9]*[0-9])(?=[^\"'A-Za-z]*[A-Za-z])[A-Za-z0-9_\-+/=.~!@#%^&*]{16,200}([\"'])"
     )
-    return F.when(
-        _present(text, ASSIGNED), F.regexp_replace(out, pattern, f"$1[REDACTED {ASSIGNED.name}]$2")
-    ).otherwise(out)
+    hidden = F.regexp_replace(hidden, pattern, f"$1[REDACTED {ASSIGNED.name}]$2")
+    return F.when(text.rlike(ANY_ANCHOR), hidden).otherwise(text)
 
 
 def mask(value: Column) -> Column:

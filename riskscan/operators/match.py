@@ -247,7 +247,8 @@ def surface_hits(surfaces: DataFrame, detectors: tuple[Detector, ...] = DETECTOR
     # Steering or sending data is shown as a risk; only clear attacks count as malicious.
     malicious = (
         F.when(is_("hidden"), hidden["malicious"])
-        .when(is_("encoded"), F.coalesce(_by_pattern("bad", "malicious"), F.lit(False)))
+        .when(is_("encoded") & bad.isNull(), F.lit(False))
+        .when(is_("encoded"), _by_pattern("bad", "malicious"))
         .when(defensive, F.lit(False))
         .otherwise(_fixed(detectors, lambda d: d.pattern.malicious if d.pattern else d.special == "collector"))
     )
