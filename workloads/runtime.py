@@ -144,7 +144,7 @@ def observed_drift(spark, sf_dir):
 
 EDGE_SQL = """
     e as (select distinct 'n' || cast(l_partkey as varchar) as src, 'n' || cast((l_partkey * 3 + l_linenumber) % 1000 + l_partkey % 7 * 1000 as varchar) as dst,
-                 l_linenumber % 5 = 0 as sanitized from lineitem where l_linenumber <= 9),
+                 l_linenumber % 5 = 0 as sanitized from lineitem),
 """
 
 
@@ -154,7 +154,7 @@ EDGE_SQL = """
     with recursive """
     + EDGE_SQL
     + """
-    seeds as (select distinct 'n' || cast(p_partkey as varchar) as node, 'n' || cast(p_partkey as varchar) as origin from part where p_size = 1),
+    seeds as (select distinct 'n' || cast(p_partkey as varchar) as node, p_brand as origin from part),
     r as (select node, origin, 0 as depth from seeds
           union select e.dst, r.origin, r.depth + 1 from r join e on e.src = r.node where not e.sanitized and r.depth < 4)
     select node, origin, min(depth) as depth from r group by all
@@ -169,7 +169,7 @@ def value_spread(spark, sf_dir):
         (F.col("l_linenumber") % 5 == 0).alias("sanitized"),
     )
     node = F.concat(F.lit("n"), F.col("p_partkey").cast("string"))
-    seeds = table(spark, sf_dir, "part").where("p_size = 1").select(node.alias("node"), node.alias("origin"))
+    seeds = table(spark, sf_dir, "part").select(node.alias("node"), F.col("p_brand").alias("origin"))
     return G.value_spread(edges, seeds, max_rounds=4).select("node", "origin", "depth")
 
 
@@ -178,13 +178,13 @@ def value_spread(spark, sf_dir):
     """
     with recursive f as (select p_partkey as k from part),
     e as (select k as src, k // 2 as dst from f where k > 0 union select k, k // 3 from f where k > 0),
-    r as (select k as node, k as origin, 0 as depth from f where k % 50 = 49
+    r as (select k as node, k as origin, 0 as depth from f
           union select e.dst, r.origin, r.depth + 1 from r join e on e.src = r.node)
     select 'm' || cast(node as varchar) || '.js' as node, 'm' || cast(origin as varchar) || '.js' as origin, min(depth) as depth from r group by all
     """,
 )
 def import_closure(spark, sf_dir):
-    """UDF-11: parts as source files that import others; the closure of some entry files."""
+    """UDF-11: parts as source files that import others; the closure of every file."""
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     name = lambda k: F.concat(F.lit("m"), k.cast("string"), F.lit(".js"))
@@ -193,5 +193,5 @@ def import_closure(spark, sf_dir):
         F.lit("s").alias("server_id"), name(key).alias("path"), F.lit("javascript").alias("language"),
         F.when(key > 0, F.concat(line(2), line(3))).otherwise("").alias("text"),
     )
-    entries = part.where(key % 50 == 49).select(name(key).alias("node"), name(key).alias("origin"))
+    entries = part.select(name(key).alias("node"), name(key).alias("origin"))
     return G.import_closure(G.import_edges(files), entries, limit=None).select("node", "origin", "depth")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskscan.operators import capabilities as K
 from riskscan.operators import surfaces as SF
+from riskscan.operators.skew import written
 from riskscan.rules import tools as RT
 from riskscan.sources import catalog as C
 from workloads import query, table
@@ -64,6 +65,11 @@ def brand_tools(spark, sf_dir):
     return tools.withColumn("seq", key).withColumn("server_id", F.substring_index("server_id", "/", 1))
 
 
+def with_signals(spark, sf_dir):
+    """Tools with signals, worked out once; what follows reads them several times."""
+    return written(K.with_signals(brand_tools(spark, sf_dir)))
+
+
 @query(
     "tool_signals",
     TOOLS_SQL
@@ -77,7 +83,7 @@ def brand_tools(spark, sf_dir):
 )
 def tool_signals(spark, sf_dir):
     """UDF-07, FLT-11: what tools can do, from their schemas."""
-    rows = K.signal_rows(K.with_signals(brand_tools(spark, sf_dir)))
+    rows = K.signal_rows(with_signals(spark, sf_dir))
     return rows.select("server_id", "tool_seq", "tool", "capability", "strong", "reason")
 
 
@@ -91,7 +97,7 @@ def tool_signals(spark, sf_dir):
 )
 def broad_servers(spark, sf_dir):
     """AGG-07, PERM-002."""
-    rows = RT.broad_servers(K.with_signals(brand_tools(spark, sf_dir)))
+    rows = RT.broad_servers(with_signals(spark, sf_dir))
     return rows.select("server_id", F.array_join("kinds", ", ").alias("kinds"))
 
 
@@ -108,7 +114,7 @@ def broad_servers(spark, sf_dir):
 )
 def reader_sender_pairs(spark, sf_dir):
     """JOIN-15, PERM-001: the first reading and the first sending tool, without forming pairs."""
-    rows = RT.reader_sender_pairs(K.with_signals(brand_tools(spark, sf_dir)))
+    rows = RT.reader_sender_pairs(with_signals(spark, sf_dir))
     return rows.select("server_id", F.col("reader.name").alias("reader"), F.col("sender.name").alias("sender"))
 
 
@@ -129,6 +135,6 @@ def call_policy(spark, sf_dir):
 @query("tool_rule_hits")
 def tool_rule_hits(spark, sf_dir):
     """All rules about tools, names and servers over every part (rows only: it mixes many rules)."""
-    tools = K.with_signals(brand_tools(spark, sf_dir))
+    tools = with_signals(spark, sf_dir)
     found = RT.tool_candidates(tools).unionByName(RT.name_candidates(tools)).unionByName(RT.server_candidates(tools))
     return found.groupBy("server_id", "rule_id", "severity").agg(F.count(F.lit(1)).alias("hits"))
