@@ -117,8 +117,10 @@ def detect(surfaces: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) ->
     """One row per surface and detector that fired: the surface columns, `norm` and `det`."""
     scan = surfaces.where(F.col("text") != "").withColumn("norm", T.normalize(F.col("text")))
     scan = scan.withColumn("low", F.lower("norm"))
-    fired = F.array_compact(F.array(*[F.when(_test(d), F.lit(i)) for i, d in enumerate(detectors)]))
-    return scan.withColumn("det", F.explode(fired)).drop("low")
+    fired = F.array_remove(F.array(*[F.when(_test(d), F.lit(i)).otherwise(-1) for i, d in enumerate(detectors)]), -1)
+    # The outer form keeps the optimiser from testing all detectors a second time in a filter
+    # on the size of the array; rows without a hit leave right after.
+    return scan.withColumn("det", F.explode_outer(fired)).where(F.col("det").isNotNull()).drop("low")
 
 
 def _split_pattern(d: Detector) -> str | None:

@@ -104,6 +104,16 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the source has fewer partitions than there are cores.
+
+    A small file with one row group would keep one core busy. A large table always has more
+    partitions than cores and is left alone, so no large table is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in `spark.checkpoint.dir`.
 
