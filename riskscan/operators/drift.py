@@ -39,10 +39,19 @@ def compare(before: DataFrame, after: DataFrame, when: str) -> DataFrame:
     return joined.select("server_id", "tool", change.alias("change"), "before_hash", "after_hash", F.lit(when).alias("when"))
 
 
-def check_snapshot(pins: DataFrame, current: DataFrame) -> DataFrame:
-    """Changes since the stored snapshot; servers never seen before give nothing."""
+def check_snapshot(pins: DataFrame, current: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """Changes since the stored snapshot, for the servers scanned now and known before.
+
+    A server never seen before gives nothing, and neither does one that was not scanned.
+    `scanned(server_id)` adds servers that were scanned and now list nothing.
+    """
+    now = current.select("server_id")
+    if scanned is not None:
+        now = now.unionByName(scanned.select("server_id"))
     known = pins.select("server_id").distinct()
-    return compare(pins, current.join(known, "server_id", "left_semi"), SINCE_LAST)
+    return compare(
+        pins.join(now.distinct(), "server_id", "left_semi"), current.join(known, "server_id", "left_semi"), SINCE_LAST
+    )
 
 
 def accept_snapshot(pins: DataFrame, current: DataFrame, overwrite: bool = False, scanned: DataFrame | None = None) -> DataFrame:

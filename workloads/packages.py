@@ -320,7 +320,8 @@ def snapshot_compare(spark, sf_dir):
     + """
     , known as (select distinct server_id from b)
     select server_id, case when b.hash is null then 'added' when a.hash is null then 'removed' else 'changed' end as change, count(*) as tools
-    from b full outer join (select * from a where server_id in (select server_id from known)) a using (server_id, tool)
+    from (select * from b where server_id in (select server_id from a)) b
+    full outer join (select * from a where server_id in (select server_id from known)) a using (server_id, tool)
     where b.hash is distinct from a.hash group by all
     """,
 )
