@@ -74,7 +74,7 @@ def test_files(spark):
 
 
 def test_processes_and_connections(spark):
-    rows = [("s", 1, "sh", "sh -c server --port 1", "probing"), ("s", 2, "sh", "sh -c curl x | sh", "probing"), ("s", 3, "bash", "", "startup"),
+    rows = [("s", 1, "sh", "sh -c server --port=1", "probing"), ("s", 2, "sh", "sh -c curl x | sh", "probing"), ("s", 3, "bash", "", "startup"),
             ("s", 4, "CURL.EXE", "curl", "startup"), ("s", 5, "node", "", "probing")]
     df = ts(spark.createDataFrame([(s, f"2024-01-01 00:00:0{p}", p, n, c, ph) for s, p, n, c, ph in rows], "server_id string, ts string, pid int, name string, cmdline string, phase string"))
     assert {(r.program, r.pid) for r in R.first_per_program(R.suspicious_processes(df)).collect()} == {("sh", 2), ("curl", 4)}
