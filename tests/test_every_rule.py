@@ -179,7 +179,7 @@ def test_details(result):
     assert "'--network=host'" in one("PRIV-002").description
     assert one("SECRET-002").evidence[0].snippet == "q8Zr****"
     assert one("AUTH-003").evidence[0].snippet.endswith("token=abc1****")
-    assert one("PERM-001").confidence == "low" and result[1]["QUALITY-001"].grade == "A"
+    assert one("PERM-001").confidence == "low"
     assert one("POISON-005").malicious is False and one("FS-002").severity == "low"
     assert "6 invisible" in one("INJ-002").description or "17 invisible" in one("INJ-002").description
     assert one("SCOPE-001").severity == "high" and len(one("SCOPE-001").evidence) == 2
