@@ -41,3 +41,36 @@ def op9_exact_dedup(spark, sf_dir):
     from riskscan.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op7_simhash_near_dedup")
+def op7_simhash_near_dedup(spark, sf_dir):
+    """Near duplicates by SimHash with pigeonring filtering."""
+    from riskscan.llm.simhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op2_bpe")
+def op2_bpe(spark, sf_dir):
+    """Encoding and decoding of all documents with a public tokenizer."""
+    import public_tokenizers
+
+    from riskscan.llm.bpe import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    """A convolutional classifier learned from four fifths of the labels, for every document."""
+    from riskscan.llm import toxicity
+
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fitted(documents, labels.filter(~held_out))
+    rows = toxicity.scored(documents.select("doc_id", "lang", "text"), model)
+    return rows.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        toxicity.rejected(model).alias("rejected"),
+    )
