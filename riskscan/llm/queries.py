@@ -74,3 +74,57 @@ def op3_toxicity(spark, sf_dir):
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         toxicity.rejected(model).alias("rejected"),
     )
+
+
+@query("op5_benchmark_decontamination")
+def op5_benchmark_decontamination(spark, sf_dir):
+    """The benchmark items that documents hold."""
+    from riskscan.llm.decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_sharding")
+def op4_sharding(spark, sf_dir):
+    """Eight shards of near equal bytes that keep equal texts together."""
+    from riskscan.llm.sharding import sharded
+
+    return sharded(table(spark, sf_dir, "documents"))
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    from riskscan.llm.html_extraction import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op8_warc")
+def op8_warc(spark, sf_dir):
+    """All pages into archives with an index, and all records read back."""
+    from riskscan.llm.warc import archived, read
+
+    index, folder = archived(table(spark, sf_dir, "pages"))
+    return read(index, folder).select(
+        "page_id", "payload_bytes", F.col("read_digest").alias("payload_digest"), F.col("read_type").alias("record_type"), "refers_to", "archive", "offset", "length"
+    )
+
+
+@query("op10_licence_scan")
+def op10_licence_scan(spark, sf_dir):
+    """Licence notices in all documents."""
+    from riskscan.llm.licences import licensed
+
+    return licensed(table(spark, sf_dir, "documents"))
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark, sf_dir):
+    """Candidates of secrets in all documents, false positives removed by a forest learned from four fifths of them."""
+    from riskscan.llm import secret_forest as S
+
+    documents = table(spark, sf_dir, "documents").withColumn("path", F.col("source"))
+    found = S.candidates(documents)
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    return S.scan(documents, found, S.by_assignment(found.filter(learn))).withColumn("held_out", ~learn)

@@ -67,3 +67,20 @@ def pieces(data: bytes, size: int = PIECE):
         yield data[start : cut.start()]
         start = cut.start()
     yield data[start:]
+
+
+#: Characters of a text that are lower-cased and split at a time.
+PIECE_CHARS = 1 << 20
+WORD = re.compile(r"\w+")
+
+
+def word_pieces(text: str, size: int = PIECE_CHARS):
+    """The lower-case words of a text in lists, each from a part of the text that ends between words."""
+    start = 0
+    while len(text) - start > size:
+        cut = start + size
+        while cut < len(text) and (text[cut].isalnum() or text[cut] == "_"):
+            cut += 1
+        yield WORD.findall(text[start:cut].lower())
+        start = cut
+    yield WORD.findall(text[start:].lower())
