@@ -58,11 +58,14 @@ NAMES = {
     "promotion", "related", "recommended", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor",
     "sponsored", "subscribe", "toolbar", "topbar", "tracking", "warning", "widget",
 }
+HEADS = {"header", "masthead"}
 NAMED = -8.0
 #: Elements that hold the content: what was against it outside no longer counts.
 MAIN, MAIN_ODDS = {"article", "main"}, 4.0
 #: The classifier: weights of a block's own features.
 START, LENGTH, LINKS, SENTENCE, HEADING, ITEM = -1.2, 0.5, -4.0, 1.0, 0.6, -0.5
+#: Inside the content a link says little.
+LINKS_INSIDE = -1.0
 #: Smoothness: of neighbours in page order, and of followers under one parent.
 NEXT, SIBLING = 1.0, 1.0
 
@@ -92,7 +95,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _element(tag: str, raw: str, parent: Element, number: int) -> Element:
-    odds, main, hidden = parent.odds, parent.main, parent.hidden or tag in HIDDEN
+    odds, main, hidden, outside = parent.odds, parent.main, parent.hidden or tag in HIDDEN, not parent.main
     if tag in MAIN:
         # Inside a nested article, such as a reader's comment, what speaks against it still counts.
         odds, main = (odds if main else max(odds, 0.0) + MAIN_ODDS), True
@@ -104,10 +107,10 @@ def _element(tag: str, raw: str, parent: Element, number: int) -> Element:
         if given.get("role", "").lower() == "main" and not main:
             odds, main = max(odds, 0.0) + MAIN_ODDS, True
         hidden = hidden or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-        names = given.get("class", "") + " " + given.get("id", "")
-        if tag not in ("html", "body") and tag not in MAIN and any(w.lower() in NAMES for w in WORDS.findall(names)):
-            odds += NAMED
-        elif tag in MAIN and any(w.lower() in NAMES for w in WORDS.findall(names)) and parent.main:
+        names = {w.lower() for w in WORDS.findall(given.get("class", "") + " " + given.get("id", ""))}
+        if not outside:
+            names -= HEADS  # the head of an article is part of it
+        if names & NAMES and tag not in ("html", "body") and (tag not in MAIN or not outside):
             odds += NAMED
     return Element(tag, odds, hidden, main, number, parent.depth + 1, parent)
 
@@ -216,7 +219,7 @@ def _weigh(found: list[Block]) -> None:
     last: dict[int, int] = {}
     for i, block in enumerate(found):
         home, size = block.home, len(block.text)
-        odds = home.odds + START + LENGTH * math.log2(1 + size / 20) + LINKS * block.linked / size
+        odds = home.odds + START + LENGTH * math.log2(1 + size / 20) + (LINKS_INSIDE if home.main else LINKS) * block.linked / size
         if block.text[-1] in ".!?…\"'”»。":
             odds += SENTENCE
         if home.tag[:1] == "h" and home.tag[1:].isdigit():
