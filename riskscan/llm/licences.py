@@ -195,20 +195,22 @@ def licensed(
     last = F.greatest(F.lit(1), F.size("_words") - WORDS + 1)
     hashes = F.transform(F.sequence(F.lit(1), last), lambda i: _hash(F.array_join(F.slice(F.col("_words"), i, WORDS), " ")))
     rows = rows.withColumn("_hashes", hashes)
+    # A window takes along its own hashes and words only: rows stay small however long the text is.
     spans = rows.withColumn("_block", F.explode(F.array(*map(F.lit, blocks))))
-    first = F.explode(F.sequence(F.lit(1), F.size("_hashes"), F.col("_block")))
-    windows = spans.withColumn("_start", first)
     length = F.when(F.col("_block") == 1, 1).otherwise(2 * F.col("_block"))
-    window = F.slice(F.col("_hashes"), F.col("_start"), length)
-    found = windows.withColumn("_value", F.explode(window)).join(F.broadcast(bands), ["_block", "_value"])
-    bins = F.greatest(F.lit(BINS), BINS_PER_SHINGLE * F.col("_block"))
-    smaller = F.exists(window, lambda h: (h < F.col("_value")) & (_bin(h, bins) == _bin(F.col("_value"), bins)))
-    found = found.filter(~smaller)
-    texts = F.transform(
-        F.sequence(F.col("_start"), F.least(F.col("_start") + length - 1, F.size("_hashes"))),
-        lambda i: F.array_join(F.slice(F.col("_words"), i, WORDS), " "),
+    starts = F.sequence(F.lit(1), F.size("_hashes"), F.col("_block"))
+    cut = F.transform(
+        starts, lambda i: F.struct(i.alias("start"), F.slice("_hashes", i, length).alias("hashes"), F.slice("_words", i, length + WORDS - 1).alias("words"))
     )
+    windows = spans.select("_row", "doc_id", "_block", F.explode(cut).alias("_w"))
+    each = windows.withColumn("_value", F.explode("_w.hashes"))
+    # Agreeing in a band: the shared value is the smallest of its bin in the window, as it is in the template.
+    bins = F.greatest(F.lit(BINS), BINS_PER_SHINGLE * F.col("_block"))
+    smaller = F.exists("_w.hashes", lambda h: (h < F.col("_band")) & (_bin(h, bins) == _bin(F.col("_band"), bins)))
+    found = each.join(F.broadcast(bands.withColumn("_band", F.col("_value"))), ["_block", "_value"]).filter(~smaller)
+    last = F.greatest(F.lit(1), F.size("_w.words") - WORDS + 1)
+    texts = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("_w.words", i, WORDS), " "))
     share = F.size(F.array_intersect("_shingles", texts)) / F.size("_shingles")
-    matched = found.select("_row", "doc_id", "licence", "template", "_start", share.alias("_share")).filter(F.col("_share") >= threshold)
+    matched = found.select("_row", "doc_id", "licence", "template", F.col("_w.start").alias("_start"), share.alias("_share")).filter(F.col("_share") >= threshold)
     best = matched.groupBy("_row", "doc_id", "licence", "template").agg(F.max("_share").alias("containment"), F.min("_start").alias("first_word"))
     return best.select("doc_id", "licence", "template", "containment", "first_word")
