@@ -38,7 +38,7 @@ ISSUED_KEYS = (
 ASSIGNED = SecretKind(
     "assigned credential",
     r"(?i)(?:api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd|credentials?)[\"']?\s*[:=]\s*"
-    r"[\"']([A-Za-z0-9_\-+/=.~!@#%^&*]{16,200})[\"']",
+    r"[\"']([A-Za-z0-9_\-+/=.~!@#%^&*]{16,})[\"']",
     ("key", "secret", "token", "passw", "pwd", "credential"),
     group=1,
 )
@@ -94,15 +94,13 @@ def has_secret(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """The text with every secret replaced by a marker naming its kind."""
-    # One test for all kinds; the replacements are chained and only run where it holds.
-    hidden = text
+    # One test for all kinds; the replacements are chained and only run where it holds. The values
+    # that are hidden are the ones that are found, however long; names and quotes around them stay.
+    values = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(ASSIGNED.regex), F.lit(ASSIGNED.group)), _is_real))
+    longest_first = F.transform(F.reverse(F.array_sort(F.transform(values, lambda v: F.struct(F.char_length(v), v.alias("v"))))), lambda x: x["v"])
+    hidden = F.aggregate(longest_first, text, lambda acc, v: F.replace(acc, v, F.lit(f"[REDACTED {ASSIGNED.name}]")))
     for kind in ISSUED_KEYS:
         hidden = F.regexp_replace(hidden, kind.regex, f"[REDACTED {kind.name}]")
-    # Keep the name and the quotes around an assigned value, hide only the value.
-    pattern = r"(?i)((?:api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd|credentials?)[\"']?\s*[:=]\s*[\"'])" + (
-        r"(?=[^\"'0-9]*[0-9])(?=[^\"'A-Za-z]*[A-Za-z])[A-Za-z0-9_\-+/=.~!@#%^&*]{16,200}([\"'])"
-    )
-    hidden = F.regexp_replace(hidden, pattern, f"$1[REDACTED {ASSIGNED.name}]$2")
     return F.when(text.rlike(ANY_ANCHOR), hidden).otherwise(text)
 
 

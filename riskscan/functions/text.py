@@ -29,18 +29,20 @@ DEFENSIVE_WINDOW = 200
 NEGATION_WINDOW = 40
 QUOTES = "[\"'`\\x{201C}\\x{201D}\\x{2018}\\x{2019}]"
 
-# A negating word, then at most three more words up to the end of the text.
-NEGATION = (
-    r"(?i)\b(?:not|no|nor|never|without|cannot|can't|won't|don't|doesn't|unable\s+to)\b"
-    r"(?:\W+\w+){0,3}\W*$"
-)
-DEFENSIVE_VERB = (
-    r"(?i)\b(?:detect|scan|block|prevent|filter|guard|identif|flag|protect|defen[cs]|mitigat|classif|sanitiz|moderat)\w*"
-)
-ATTACK_NOUN = (
-    r"(?i)\b(?:injections?|attacks?|jailbreak\w*|malicious|phishing|exploit\w*|poison\w*|threats?"
-    r"|(?:phrases|patterns|examples|strings)\s+(?:like|such\s+as))\b"
-)
+# Words that turn a statement round, and how many words may stand between one and the match.
+NEGATORS = ("cannot", "can't", "doesn't", "don't", "neither", "never", "no", "none", "nor", "not", "unable", "without", "won't")
+NEGATOR_REACH = 3
+# Beginnings of words for protecting, and names of what is protected against.
+PROTECTING = (
+    "block", "catch", "classif", "detect", "filter", "find", "flag", "guard", "identif", "mitigat", "moderat", "prevent", "protect", "reject", "report", "sanit",
+    "scan", "spot", "stop", "warn",
+)
+DANGERS = (
+    "abuse", "attack", "attacks", "exploit", "exploits", "injection", "injections", "jailbreak", "jailbreaks", "malicious", "malware", "phishing",
+    "poisoned", "poisoning", "threat", "threats", "phrases like", "sentences like", "texts like", "patterns such as", "phrases such as",
+)
+PROTECTING_WORD = r"(?i)\b(?:" + "|".join(PROTECTING) + ")"
+DANGER_WORD = r"(?i)\b(?:" + "|".join(d.replace(" ", r"\s+") for d in DANGERS) + r")\b"
 
 
 def _icu(method: str, text: Column) -> Column:
@@ -48,9 +50,14 @@ def _icu(method: str, text: Column) -> Column:
     return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit(True))
 
 
+def _can_change(text: Column) -> Column:
+    """May folding change the text? Comparing two lengths settles plain ASCII first."""
+    return (F.octet_length(text) != F.char_length(text)) & text.rlike(NEEDS_FOLDING)
+
+
 def fold_compatible(text: Column) -> Column:
     """NFKC form. Only rows holding a character that can change pay for it."""
-    return F.when(text.rlike(NEEDS_FOLDING), _icu("compose", text)).otherwise(text)
+    return F.when(_can_change(text), _icu("compose", text)).otherwise(text)
 
 
 def decompose_compatible(text: Column) -> Column:
@@ -60,9 +67,7 @@ def decompose_compatible(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Compatibility form without zero-width, direction and tag characters."""
-    return F.when(
-        text.rlike(NEEDS_FOLDING), F.regexp_replace(_icu("compose", text), INVISIBLE, "")
-    ).otherwise(text)
+    return F.when(_can_change(text), F.regexp_replace(_icu("compose", text), INVISIBLE, "")).otherwise(text)
 
 
 def split_at_match(text: Column, pattern: str) -> Column:
@@ -103,9 +108,16 @@ def excerpt(before: Column, matched: Column, after: Column, pad: int = PAD) -> C
     )
 
 
+def ends_negated(text: Column) -> Column:
+    """Is one of the last words of the text a negating one?"""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+(?:['\u2019][a-z]+)?"), F.lit(0))
+    last = F.transform(F.slice(F.reverse(words), 1, NEGATOR_REACH + 1), lambda w: F.replace(w, F.lit("\u2019"), F.lit("'")))
+    return F.arrays_overlap(last, F.array(*[F.lit(n) for n in NEGATORS]))
+
+
 def is_negated(before: Column, window: int = NEGATION_WINDOW) -> Column:
     """A negating word stands just before the match."""
-    return F.right(before, F.lit(window)).rlike(NEGATION)
+    return ends_negated(F.right(before, F.lit(window)))
 
 
 def last_clause(context: Column) -> Column:
@@ -115,7 +127,7 @@ def last_clause(context: Column) -> Column:
 
 def clause_is_negated(context: Column) -> Column:
     clause = last_clause(context)
-    return F.coalesce((F.btrim(clause) != "") & clause.rlike(NEGATION), F.lit(False))
+    return F.coalesce(ends_negated(clause), F.lit(False))
 
 
 def looks_defensive(before: Column, matched: Column, after: Column) -> Column:
@@ -124,7 +136,7 @@ def looks_defensive(before: Column, matched: Column, after: Column) -> Column:
     nearby = F.concat(
         F.right(before, F.lit(DEFENSIVE_WINDOW)), matched, F.left(after, F.lit(DEFENSIVE_WINDOW))
     )
-    return quoted | (nearby.rlike(DEFENSIVE_VERB) & nearby.rlike(ATTACK_NOUN))
+    return quoted | (nearby.rlike(PROTECTING_WORD) & nearby.rlike(DANGER_WORD))
 
 
 def cut(text: Column, limit: int, marker: str = "...") -> Column:

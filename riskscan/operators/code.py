@@ -7,12 +7,15 @@ reported with lower confidence and never as confirmed. Input is
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riskscan import patterns as P
 from riskscan.functions import secrets as S
+from riskscan.functions import urls as U
 from riskscan.operators.graph import value_spread
 from riskscan.schemas import CODE_HIT_SCHEMA, conform
 from riskscan.sources.source_tree import LONG_LINE, is_minified, split_lines
@@ -22,37 +25,70 @@ FUNCTION_KEY = ("server_id", "path", "function")
 
 # ---- JavaScript --------------------------------------------------------------------------
 
-CHILD_PROCESS = r"(?:require\(\s*|from\s+)['\"](?:node:)?child_process['\"]"
-JS_SHELL = r"(?:^|[^.\w$]|child_process\.|childProcess\.|\bcp\.)(?:exec|execSync)\s*\("
-JS_SPAWN = r"(?:^|[^.\w$]|child_process\.|childProcess\.|\bcp\.)(?:spawn|spawnSync|execFile|execFileSync)\s*\("
-JS_DYNAMIC = r"\$\{|\+\s*\w|\w\s*\+"
-_FS = r"\bfs(?:\.promises)?\."
-# Category, pattern, detail, and whether a dynamic argument makes it tainted.
-JS_LINES = (
-    ("obfuscated-exec", r"\b(?:eval|Function)\s*\(\s*(?:atob|Buffer\.from|unescape|decodeURIComponent)\s*\(",
-     "runs code decoded at run time", False),
-    ("code-eval", r"(?:^|[^.\w$])eval\s*\(\s*(?!['\"`][^'\"`]*['\"`]\s*\))", "eval() of a dynamic value", False),
-    ("code-eval", r"\bnew\s+Function\s*\(", "new Function()", False),
-    ("code-eval", r"\bvm\.(?:runIn(?:This|New)?Context|compileFunction)\s*\(", "node vm module", False),
-    ("file-write", _FS + r"(?:writeFile|appendFile|unlink|rm|rmdir|rename)(?:Sync)?\s*\(\s*(?!['\"`])",
-     "writes or deletes a file from a variable path", True),
-    ("file-read", _FS + r"(?:readFile|readFileSync|createReadStream|readdir|readdirSync)\s*\(\s*(?!['\"`])",
-     "reads a file from a variable path", True),
-    ("network", r"(?:^|[^.\w$])fetch\s*\(\s*(?!['\"])", "fetch() with a variable URL", True),
-    ("network", r"\baxios(?:\.(?:get|post|put|patch|delete|request))?\s*\(\s*(?!['\"])",
-     "axios call with a variable URL", True),
-    ("env-dump", r"JSON\.stringify\(\s*process\.env\s*\)|Object\.(?:entries|keys|values)\(\s*process\.env\s*\)",
-     "reads the whole environment", False),
+IDENTIFIER = r"[A-Za-z_$][\w$]*"
+CHILD_PROCESS = r"\b(?:require|import)?\s*\(?\s*['\"](?:node:)?child_process['\"]"
+
+
+def js_call(names: tuple[str, ...], owners: tuple[str, ...] = ()) -> str:
+    """A call of one of the names: as a member of an owner, or as a plain function."""
+    called = "(?:" + "|".join(re.escape(n).replace(r"\ ", r"\s+") for n in names) + r")\s*\("
+    if owners:
+        return r"\b(?:" + "|".join(map(re.escape, owners)) + r")\s*\??\.\s*" + called
+    return r"(?:^|[^.\w$])" + called
+
+
+# An argument that is more than one literal.
+VARIABLE = r"\s*(?!(?:'[^']*'|\"[^\"]*\"|`[^`$]*`)\s*[,)])[^\s)]"
+SPAWNERS = ("child_process", "childProcess", "cp")
+JS_SHELL = "|".join((js_call(("exec", "execSync")), js_call(("exec", "execSync"), SPAWNERS)))
+JS_SPAWN = "|".join((js_call(("execFile", "execFileSync", "fork", "spawn", "spawnSync")), js_call(("execFile", "execFileSync", "fork", "spawn", "spawnSync"), SPAWNERS)))
+# A value that is put together on the line: a template with a hole, or a sum.
+JS_DYNAMIC = rf"\$\{{|\+\s*{IDENTIFIER}|{IDENTIFIER}\s*\+"
+FILE_OWNERS = ("fs", "fs.promises", "fsp", "fsPromises")
+
+
+def _sync(*names: str) -> tuple[str, ...]:
+    return tuple(n + end for n in names for end in ("", "Sync"))
+
+
+# Calls by what they do: category, owners, names, what their arguments begin with, detail, and
+# whether a value put together on the line counts as tainted.
+JS_CALLS = (
+    ("obfuscated-exec", (), ("eval", "Function", "new Function"), r"\s*" + js_call(("atob", "decodeURIComponent", "unescape", "Buffer.from")).replace(r"(?:^|[^.\w$])", ""),
+     "decodes text and runs it", False),
+    ("code-eval", (), ("eval",), VARIABLE, "evaluates a value", False),
+    ("code-eval", (), ("new Function",), "", "makes a function from text", False),
+    ("code-eval", ("vm",), ("compileFunction", "runInContext", "runInNewContext", "runInThisContext"), "", "runs text in a vm", False),
+    ("file-write", FILE_OWNERS, _sync("appendFile", "rename", "rm", "rmdir", "unlink", "writeFile"), VARIABLE, "writes or removes a file it was told", True),
+    ("file-read", FILE_OWNERS, (*_sync("readFile", "readdir"), "createReadStream"), VARIABLE, "reads a file it was told", True),
+    ("network", (), ("fetch", "axios"), VARIABLE, "requests an address it was told", True),
+    ("network", ("axios",), ("delete", "get", "patch", "post", "put", "request"), VARIABLE, "requests an address it was told", True),
+    ("env-dump", ("JSON",), ("stringify",), r"\s*process\.env\s*[,)]", "takes the environment as a whole", False),
+    ("env-dump", ("Object",), ("entries", "keys", "values"), r"\s*process\.env\s*\)", "takes the environment as a whole", False),
 )
-LITERAL = r"['\"`]([^'\"`]{4,200})['\"`]"
-SENSITIVE_CODE = (
-    r"(?i)Library/Keychains|\.(?:bash|zsh)_history|Cookies\.sqlite|key4\.db|logins\.json|Local State|\.git-credentials"
-)
-STARTUP_PLACE = (
-    r"(?i)\.(?:bashrc|zshrc|bash_profile|profile)\b|authorized_keys|crontab|/etc/cron|Launch(?:Agents|Daemons)"
-    r"|Start Menu.{1,2}Programs.{1,2}Startup|CurrentVersion.{1,2}Run|systemd/system"
-)
-RAW_ADDRESS = r"https?://(?!127\.|0\.0\.0\.0|10\.|192\.168\.|localhost)\d{1,3}(?:\.\d{1,3}){3}"
+JS_LINES = tuple((category, js_call(names, owners) + begin, detail, follows) for category, owners, names, begin, detail, follows in JS_CALLS)
+LITERAL = r"['\"`]([^'\"`]{4,})['\"`]"
+# Files of browsers and systems that hold secrets, and places that run at start.
+SECRET_STORES = (".bash_history", ".zsh_history", ".git-credentials", "Cookies.sqlite", "key4.db", "logins.json", "Library/Keychains", "Local State")
+START_PLACES = (
+    ".bashrc", ".bash_profile", ".profile", ".zshrc", "authorized_keys", "crontab", "/etc/cron", "LaunchAgents", "LaunchDaemons", "systemd/system",
+    "Start Menu/Programs/Startup", "CurrentVersion/Run",
+)
+
+
+def _any_place(places: tuple[str, ...]) -> str:
+    return "(?i)" + "|".join(re.escape(p).replace("/", r"[/\\]{1,2}") for p in places)
+
+
+SENSITIVE_CODE = _any_place(SECRET_STORES)
+STARTUP_PLACE = _any_place(START_PLACES)
+NUMERIC_HOST = r"https?://(\d{1,3}(?:\.\d{1,3}){3})"
+
+
+def _names_outside_address(v: Column) -> Column:
+    """An address with a numeric host that is neither this machine nor a private network."""
+    host = F.regexp_extract(v, NUMERIC_HOST, 1)
+    return (host != "") & ~U.is_local_host(host)
 
 
 def _hit(category: str, detail: Column, tainted: Column | bool = False) -> Column:
@@ -65,14 +101,14 @@ def _hit(category: str, detail: Column, tainted: Column | bool = False) -> Colum
 def _literal_hits(literals: Column, python: bool) -> Column:
     """Sensitive paths, collector places and (Python) startup places among string literals."""
     cut = lambda v: F.left(v, F.lit(80))
-    mentions = lambda v: F.concat(F.lit("mentions '"), cut(v), F.lit("'"))
-    sends = lambda v: F.concat(F.lit("hardcoded destination '"), cut(v), F.lit("'"))
+    mentions = lambda v: F.concat(F.lit("names '"), cut(v), F.lit("'"))
+    sends = lambda v: F.concat(F.lit("fixed address '"), cut(v), F.lit("'"))
 
     def found(v: Column) -> Column:
         sensitive, outside = v.rlike(P.SENSITIVE_PATH), v.rlike(P.COLLECTOR_DOMAIN)
         kinds = [
             F.when(sensitive | v.rlike(SENSITIVE_CODE) if python else sensitive, _hit("sensitive-path", mentions(v))),
-            F.when(outside | v.rlike(RAW_ADDRESS) if python else outside, _hit("exfil-endpoint", sends(v))),
+            F.when(outside | _names_outside_address(v) if python else outside, _hit("exfil-endpoint", sends(v))),
         ]
         if python:
             kinds.append(F.when(v.rlike(STARTUP_PLACE), _hit("persistence", mentions(v))))
@@ -82,25 +118,29 @@ def _literal_hits(literals: Column, python: bool) -> Column:
 
 
 def javascript_hits(files: DataFrame) -> DataFrame:
-    """Hits in JavaScript and TypeScript lines. Bundles, comments and very wide lines are skipped."""
-    js = files.where((F.col("language") == "javascript") & ~is_minified(F.col("text")))
+    """Hits in JavaScript and TypeScript, comments left out.
+
+    Very wide lines, as bundles have them, are read statement by statement, so that what is put
+    together in one statement doesn't taint its neighbours.
+    """
+    js = files.where(F.col("language") == "javascript")
     lines = js.select(
-        *FILE_KEY, F.col("text").rlike(CHILD_PROCESS).alias("spawns"), F.posexplode(split_lines(F.col("text"))).alias("pos", "raw")
+        *FILE_KEY, F.col("text").rlike(CHILD_PROCESS).alias("spawns"), F.posexplode(split_lines(F.col("text"))).alias("pos", "whole")
     )
+    wide = F.char_length("whole") > LONG_LINE
+    lines = lines.select(*FILE_KEY, "spawns", "pos", F.posexplode(F.when(wide, F.split("whole", ";")).otherwise(F.array("whole"))).alias("part", "raw"))
     line = F.btrim("raw", F.lit(" \t"))
-    lines = lines.withColumn("line_text", line).where(
-        (line != "") & ~line.rlike(r"^(?://|\*|/\*)") & (F.char_length(line) <= LONG_LINE)
-    )
+    lines = lines.withColumn("line_text", line).where((line != "") & ~line.rlike(r"^(?://|\*|/\*)"))
     text = F.col("line_text")
     dynamic = text.rlike(JS_DYNAMIC)
     shell_option = F.replace(text, F.lit(" "), F.lit("")).contains("shell:true")
     decoded = text.rlike(JS_LINES[0][1])
     found = [
-        F.when(F.col("spawns") & text.rlike(JS_SHELL), _hit("command", F.lit("runs through a shell (exec)"), dynamic)).when(
+        F.when(F.col("spawns") & text.rlike(JS_SHELL), _hit("command", F.lit("starts a shell command"), dynamic)).when(
             F.col("spawns") & text.rlike(JS_SPAWN),
             _hit(
                 "command",
-                F.when(shell_option, F.lit("runs through a shell")).otherwise(F.lit("runs a program")),
+                F.when(shell_option, F.lit("starts a shell command")).otherwise(F.lit("starts a program")),
                 dynamic & shell_option,
             ),
         )
@@ -114,14 +154,14 @@ def javascript_hits(files: DataFrame) -> DataFrame:
         F.array_compact(F.array(*found)),
         F.coalesce(_literal_hits(literals, python=False), F.array().cast("array<struct<category:string,detail:string,tainted:boolean>>")),
     )
-    hits = lines.select(*FILE_KEY, "pos", "line_text", F.posexplode(every).alias("nr", "h"))
-    return _shape(hits, "javascript")
+    hits = lines.select(*FILE_KEY, "pos", "line_text", (F.col("part") * 100).alias("part"), F.posexplode(every).alias("nr", "h"))
+    return _shape(hits.withColumn("nr", F.col("part") + F.col("nr")), "javascript")
 
 
 def _shape(hits: DataFrame, lang: str) -> DataFrame:
     rows = hits.select(
         "server_id", (F.col("pos").cast("long") * 1000 + F.col("nr")).alias("seq"), "h.category", F.col("path").alias("file"),
-        (F.col("pos") + 1).alias("line"), F.left("line_text", F.lit(200)).alias("snippet"), F.lit(lang).alias("language"),
+        (F.col("pos") + 1).alias("line"), F.col("line_text").alias("snippet"), F.lit(lang).alias("language"),
         "h.tainted", F.array().cast("array<string>").alias("tainted_params"), "h.detail", F.lit(False).alias("sanitized"),
     )
     return conform(rows, CODE_HIT_SCHEMA)
@@ -228,7 +268,7 @@ def call_category(name: Column, args: Column) -> Column:
     return (
         F.when(
             name.isin(*SINKS["command"]),
-            value("command", F.when(shell, "runs through a shell").otherwise("runs a program")),
+            value("command", F.when(shell, "starts a shell command").otherwise("starts a program")),
         )
         .when(name.isin(*SINKS["code-eval"]), value("code-eval", called))
         .when(name.isin(*SINKS["deserialization"]) | unsafe_yaml | unsafe_torch, value("deserialization", called))
@@ -252,10 +292,31 @@ def call_category(name: Column, args: Column) -> Column:
     )
 
 
+def _joined_lines(lines: DataFrame) -> DataFrame:
+    """Lines inside an open bracket, joined to the line where it was opened.
+
+    Brackets are counted outside strings and comments, anew from each definition or import at the
+    left edge, so that a line read wrongly spoils nothing beyond the next one of these.
+    """
+    bare = F.regexp_replace("line_text", r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|#.*$", "")
+    depth = F.regexp_count(bare, F.lit(r"[(\[{]")) - F.regexp_count(bare, F.lit(r"[)\]}]"))
+    fresh = (F.col("indent") == 0) & F.col("line_text").rlike(r"^(?:@|async\s+def\b|class\b|def\b|from\b|import\b)")
+    file = W.partitionBy(*FILE_KEY).orderBy("pos")
+    marked = lines.withColumn("_depth", depth).withColumn("_piece", F.sum(F.when(fresh, 1).otherwise(0)).over(file))
+    piece = W.partitionBy(*FILE_KEY, "_piece").orderBy("pos")
+    before = F.coalesce(F.sum("_depth").over(piece.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    marked = marked.withColumn("_starts", before <= 0)
+    marked = marked.withColumn("_line", F.sum(F.when(F.col("_starts"), 1).otherwise(0)).over(piece))
+    whole = W.partitionBy(*FILE_KEY, "_piece", "_line").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    joined = marked.withColumn("line_text", F.array_join(F.collect_list("line_text").over(whole), " "))
+    return joined.where("_starts").drop("_depth", "_piece", "_starts", "_line")
+
+
 def python_lines(files: DataFrame) -> DataFrame:
     """Python lines with the function they are in, its tool name, and whether they are code.
 
-    The window runs over the lines of one file, which the size limit on files bounds.
+    The windows run over the lines of one file. Lines inside an open bracket are joined to the one
+    where it was opened, so that a call is seen with all its arguments.
     """
     py = files.where(F.col("language") == "python")
     # Docstrings are tool descriptions and belong to the text rules; blank them, keep the lines.
@@ -276,7 +337,7 @@ def python_lines(files: DataFrame) -> DataFrame:
     )
     line = F.btrim("raw", F.lit(" \t"))
     indent = F.char_length("raw") - F.char_length(F.ltrim("raw", F.lit(" \t")))
-    lines = lines.withColumn("line_text", line).withColumn("indent", indent)
+    lines = _joined_lines(lines.withColumn("line_text", line).withColumn("indent", indent))
     name = F.nullif(F.regexp_extract("line_text", r"^(?:async\s+)?def\s+(\w+)", 1), F.lit(""))
     entry = F.nullif(F.regexp_extract("line_text", ENTRY_DECORATOR, 1), F.lit(""))
     explicit = F.regexp_extract("line_text", r"^@[\w.]+\(\s*(?:name\s*=\s*)?['\"]([^'\"]+)['\"]|\bname\s*=\s*['\"]([^'\"]+)['\"]", 1)
@@ -329,7 +390,8 @@ def _node(function: Column, name: Column) -> Column:
 
 def _params(files: DataFrame) -> DataFrame:
     """Parameters of every function: (server_id, path, function, place, param)."""
-    head = r"(?s)\bdef\s+(\w+)\s*\(([^)]*)\)"
+    # Default values may hold brackets of their own.
+    head = r"(?s)\bdef\s+(\w+)\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)"
     names = F.regexp_extract_all("text", F.lit(head), F.lit(1))
     lists = F.regexp_extract_all("text", F.lit(head), F.lit(2))
     rows = files.where(F.col("language") == "python").select(
@@ -338,7 +400,7 @@ def _params(files: DataFrame) -> DataFrame:
     first = rows.groupBy(*FILE_KEY, F.col("f.function").alias("function")).agg(F.min_by("f.params", "nr").alias("params"))
     given = F.filter(
         F.transform(
-            F.split(F.regexp_replace("params", r"\[[^\]]*\]", ""), ","), lambda p: F.regexp_extract(p, r"^[\s*]*(\w+)", 1)
+            F.split(F.regexp_replace(F.regexp_replace("params", r"\((?:[^()]|\([^()]*\))*\)", ""), r"\[[^\]]*\]", ""), ","), lambda p: F.regexp_extract(p, r"^[\s*]*(\w+)", 1)
         ),
         lambda p: (p != "") & ~p.isin(*SKIPPED_PARAMS),
     )
@@ -413,7 +475,7 @@ def python_hits(files: DataFrame) -> DataFrame:
     """Hits in Python lines, with the tool input that reaches them."""
     lines = python_lines(files)
     reached = input_reach(files, lines)
-    # Variables of one function: bounded by the size limit on files.
+    # Variables of one function: a few per line of it.
     per_function = reached.groupBy(*FUNCTION_KEY).agg(
         F.collect_set(F.struct("variable", "tool", "param")).alias("inputs")
     )
@@ -433,7 +495,9 @@ def python_hits(files: DataFrame) -> DataFrame:
     calls = calls.withColumn("args", own_args).withColumn("passed", passed)
     calls = calls.withColumn("from_input", F.coalesce(inputs, F.array().cast("array<struct<variable:string,tool:string,param:string>>")))
     tainted = F.size("from_input") > 0
-    literal = F.col("args").rlike(r"^\s*(?:[rb]?['\"][^'\"]*['\"]\s*(?:,|$)|\d)")
+    # One literal, or a list of nothing but literals.
+    one = r"[rb]?(?:'[^']*'|\"[^\"]*\")"
+    literal = F.col("args").rlike(rf"^\s*(?:{one}\s*(?:,|$)|[\[(]\s*{one}(?:\s*,\s*{one})*\s*,?\s*[\])]\s*(?:,|$)|\d)")
     imported = F.col("name").isin(*IMPORTERS) & tainted
     found = F.when(imported, F.struct(F.lit("code-eval").alias("category"), F.concat("name", F.lit("() with tool input")).alias("detail"))).otherwise(
         call_category(F.col("name"), F.col("args"))
@@ -450,7 +514,7 @@ def python_hits(files: DataFrame) -> DataFrame:
     from_calls = calls.where(worth).select(
         *FUNCTION_KEY, F.coalesce("tool", F.get("from_input", F.lit(0))["tool"]).alias("tool"), "pos", "nr", "line_text",
         F.when(decoded, "obfuscated-exec").otherwise(category).alias("category"),
-        F.when(decoded, "runs code that is decoded at run time").otherwise(F.col("found.detail")).alias("detail"),
+        F.when(decoded, "decodes text and runs it").otherwise(F.col("found.detail")).alias("detail"),
         tainted.alias("tainted"),
         F.array_sort(F.array_distinct(F.transform("from_input", lambda i: i["param"]))).alias("tainted_params"),
     )
@@ -465,7 +529,7 @@ def python_hits(files: DataFrame) -> DataFrame:
     whole = r"(?:\b(?:dict|str|repr|json\.dumps)\(\s*os\.environ\s*\)|\bos\.environ\.(?:copy|items)\()"
     dumps = code.where(F.col("line_text").rlike(whole) & ~F.col("line_text").rlike(r"\benv\s*=")).select(
         *FUNCTION_KEY, "tool", "pos", F.lit(900).alias("nr"), "line_text", F.lit("env-dump").alias("category"),
-        F.lit("reads the whole environment").alias("detail"), F.lit(False).alias("tainted"), none.alias("tainted_params"),
+        F.lit("takes the environment as a whole").alias("detail"), F.lit(False).alias("tainted"), none.alias("tainted_params"),
     )
     shells = (
         code.where(F.col("function").isNotNull())
@@ -478,7 +542,7 @@ def python_hits(files: DataFrame) -> DataFrame:
         .where("dups and sockets")
         .select(
             *FUNCTION_KEY, "tool", "pos", F.lit(901).alias("nr"), "line_text", F.lit("reverse-shell").alias("category"),
-            F.lit("connects a socket to a shell (os.dup2)").alias("detail"), F.lit(False).alias("tainted"),
+            F.lit("puts a socket in the place of standard input (dup2)").alias("detail"), F.lit(False).alias("tainted"),
             none.alias("tainted_params"),
         )
     )
@@ -511,7 +575,7 @@ def _finish_python(hits: DataFrame, code: DataFrame) -> DataFrame:
     rows = first.select(*FILE_KEY, "category", "pos", "f.nr", "f.r.*").join(checked_functions(code), list(FUNCTION_KEY), "left")
     shaped = rows.select(
         "server_id", (F.col("pos").cast("long") * 1000 + F.col("nr")).alias("seq"), "category", F.col("path").alias("file"),
-        (F.col("pos") + 1).alias("line"), F.left("line_text", F.lit(200)).alias("snippet"), F.lit("python").alias("language"),
+        (F.col("pos") + 1).alias("line"), F.col("line_text").alias("snippet"), F.lit("python").alias("language"),
         "function", "tool", "tainted", "tainted_params", "detail",
         (F.coalesce("checked", F.lit(False)) & F.col("category").isin("file-read", "file-write")).alias("sanitized"),
     )
@@ -561,7 +625,7 @@ def code_hits(files: DataFrame) -> DataFrame:
 
 
 def minified_files(files: DataFrame) -> DataFrame:
-    """JavaScript files that were only checked for secrets, wholly or for some very wide lines."""
+    """JavaScript files that are bundles or hold very wide lines: facts from them are less sure."""
     js = files.where(F.col("language") == "javascript")
     wide = F.exists(split_lines(F.col("text")), lambda line: F.char_length(F.btrim(line)) > LONG_LINE)
     return js.select("server_id", "path", is_minified(F.col("text")).alias("whole"), wide.alias("wide")).where("whole or wide")
@@ -582,13 +646,13 @@ def with_function_facts(hits: DataFrame) -> DataFrame:
 
 # Code that makes a tool unsafe to call, in plain words.
 UNSAFE_CODE = {
-    "command": "runs system commands",
-    "code-eval": "runs dynamic code",
-    "obfuscated-exec": "runs hidden code",
-    "file-write": "writes files",
-    "network": "makes network requests",
-    "deserialization": "loads unsafe data formats",
-    "reverse-shell": "opens a reverse shell",
+    "command": "starts programs",
+    "code-eval": "evaluates code",
+    "obfuscated-exec": "unpacks code and runs it",
+    "file-write": "writes to files",
+    "network": "talks to the network",
+    "deserialization": "loads data that can carry code",
+    "reverse-shell": "hands out a shell",
 }
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskscan.functions.hashing import canonical_json, definition_hash
-from riskscan.operators.skew import split_lag
 
 SINCE_LAST = "since-last-scan"
 IN_SESSION = "during-session"
@@ -74,17 +73,15 @@ def accept_snapshot(pins: DataFrame, current: DataFrame, overwrite: bool = False
     )
 
 
-def observed_changes(snapshots: DataFrame, bucket: str = "day") -> DataFrame:
-    """Changes between successive observations of a tool: `snapshots(ts, server_id, tool, hash)`.
+def observed_changes(snapshots: DataFrame) -> DataFrame:
+    """Definitions that differ from the first one seen of a tool: `snapshots(ts, server_id, tool, hash)`.
 
-    Each new hash of a tool is reported once, as a change from the observation before it.
+    The first observation is the baseline; each other hash is reported once, with the time it was
+    first seen. Two groupings, so a tool that is observed often is no burden.
     """
-    lagged = split_lag(
-        snapshots, ["server_id", "tool"], ["ts", "hash"], F.date_trunc(bucket, F.col("ts")), {"before_hash": "hash"}
+    seen = snapshots.groupBy("server_id", "tool", "hash").agg(F.min("ts").alias("ts"))
+    base = seen.groupBy("server_id", "tool").agg(F.min_by("hash", F.struct("ts", "hash")).alias("before_hash"))
+    changed = seen.join(base, ["server_id", "tool"]).where(F.col("hash") != F.col("before_hash"))
+    return changed.select(
+        "server_id", "tool", "ts", F.lit("changed").alias("change"), "before_hash", F.col("hash").alias("after_hash"), F.lit(IN_SESSION).alias("when")
     )
-    changed = lagged.where(F.col("before_hash").isNotNull() & (F.col("before_hash") != F.col("hash")))
-    first = changed.groupBy("server_id", "tool", "hash").agg(F.min(F.struct("ts", "before_hash")).alias("f"))
-    return first.select(
-        "server_id", "tool", F.col("f.ts").alias("ts"), F.lit("changed").alias("change"), F.col("f.before_hash").alias("before_hash"),
-        F.col("hash").alias("after_hash"), F.lit(IN_SESSION).alias("when"),
-    )

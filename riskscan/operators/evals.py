@@ -49,9 +49,12 @@ def found_by_rule(findings: DataFrame) -> DataFrame:
     )
 
 
-def judge(cases: DataFrame, findings: DataFrame, grades: DataFrame) -> DataFrame:
+def judge(cases: DataFrame, findings: DataFrame, grades: DataFrame, shown: int = 100) -> DataFrame:
     """One row per case: hits, misses, false alarms, grade problems, flagged, passed.
 
+    `false_positives` shows the first `shown` alarms next to `false_positive_count`; the whole
+    list is a table of its own, `false_alarms`.
+
     Expectations are short lists in a case; they are joined with the distinct rules a case
     found, never with its findings.
     """
@@ -66,11 +69,10 @@ def judge(cases: DataFrame, findings: DataFrame, grades: DataFrame) -> DataFrame
         F.sum(_value(F.col("best"))).alias("confidence_sum"),
     )
     alarms = false_alarms(cases, found)
-    # A report lists every false alarm; here the first hundred per case travel with the row.
     counted = alarms.groupBy("case_name").agg(F.count(F.lit(1)).alias("false_positive_count"))
     from riskscan.operators.skew import top_k
 
-    some = top_k(alarms, ["case_name"], [F.col("label")], 100, ["label"]).groupBy("case_name").agg(
+    some = top_k(alarms, ["case_name"], [F.col("label")], shown, ["label"]).groupBy("case_name").agg(
         F.array_sort(F.collect_list("label")).alias("false_positives")
     )
     strong = found.groupBy("case_name").agg(

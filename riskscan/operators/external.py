@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from riskscan.functions import urls as U
 from riskscan.functions.packages import command_basename
 from riskscan.operators.skew import top_k
+from riskscan.schemas import SERVER_SCHEMA, conform
 from riskscan.sources.manifests import NPM_RUNNERS
 
-MAX_FINDINGS = 200
-MAX_TOOLS = 500
 # Grades of these reports that are written differently.
 GRADES = {"S": "A", "I": "?"}
 SEVERITY_ORDER = ("critical", "high", "medium", "low", "info")
@@ -26,13 +25,13 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
 
 
-def clean(text: Column, limit: int = 600, hidden_words: str | None = None) -> Column:
-    """Plain dashes, no sentences with unwanted words, cut to a limit."""
+def clean(text: Column, limit: int | None = None, hidden_words: str | None = None) -> Column:
+    """Plain dashes, no sentences with unwanted words; cut only if a limit is given."""
     plain = F.replace(F.coalesce(text, F.lit("")), F.lit(" — "), F.lit(": "))
     plain = F.translate(plain, "—–", "--")
     if hidden_words:
         plain = F.regexp_replace(plain, rf"(?i)[^.]*\b(?:{hidden_words})[^.]*\.?\s*", "")
-    return F.left(F.btrim(plain), F.lit(limit))
+    return F.btrim(plain) if limit is None else F.left(F.btrim(plain), F.lit(limit))
 
 
 def title(text: Column) -> Column:
@@ -43,14 +42,14 @@ def title(text: Column) -> Column:
 
 
 def cleaned_reports(reports: DataFrame) -> DataFrame:
-    """Reports in our terms, with bounded lists."""
+    """Reports in our terms."""
     mapped = F.create_map(*[F.lit(x) for kv in GRADES.items() for x in kv])
     grade = F.coalesce("grade", F.lit("?"))
     findings = F.transform(
-        F.slice(F.coalesce("findings", F.array().cast("array<struct<severity:string,title:string,description:string,tool_name:string>>")), F.lit(1), F.lit(MAX_FINDINGS)),
+        F.coalesce("findings", F.array().cast("array<struct<severity:string,title:string,description:string,tool_name:string>>")),
         lambda f: F.struct(
             F.lower(F.coalesce(f["severity"], F.lit("info"))).alias("severity"),
-            F.coalesce(F.nullif(clean(title(f["title"]), 200), F.lit("")), F.lit("Finding")).alias("title"),
+            F.coalesce(F.nullif(clean(title(f["title"])), F.lit("")), F.lit("Finding")).alias("title"),
             clean(f["description"]).alias("description"),
             F.nullif(f["tool_name"], F.lit("")).alias("tool"),
         ),
@@ -58,9 +57,9 @@ def cleaned_reports(reports: DataFrame) -> DataFrame:
     return reports.select(
         "source_url", "npm_package", U.repository_key(F.col("source_url")).alias("repo_key"),
         F.coalesce(F.try_element_at(mapped, grade), grade).alias("grade"),
-        F.coalesce("risk_score", F.lit(0.0)).alias("score"), clean(F.col("version"), 100).alias("version"),
+        F.coalesce("risk_score", F.lit(0.0)).alias("score"), clean(F.col("version")).alias("version"),
         F.left(F.coalesce("scan_date", F.lit("")), F.lit(10)).alias("scanned_at"),
-        F.slice(F.coalesce("tool_names", F.array().cast("array<string>")), F.lit(1), F.lit(MAX_TOOLS)).alias("tools"),
+        F.coalesce("tool_names", F.array().cast("array<string>")).alias("tools"),
         findings.alias("findings"), F.col("summary").alias("severity_counts"),
     )
 
@@ -72,6 +71,7 @@ def lookup_keys(servers: DataFrame) -> DataFrame:
     """
     from riskscan.sources.manifests import launch_packages
 
+    servers = conform(servers, SERVER_SCHEMA)
     repo = U.repository_key(F.col("repo_url"))
     repo = F.when(repo.startswith("github.com/"), repo)
     launched = launch_packages(servers.where(F.col("repo_url").isNull() & command_basename(F.col("command")).isin(*NPM_RUNNERS)))

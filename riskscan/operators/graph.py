@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,20 +14,20 @@ CHECKPOINT_EVERY = 3
 
 
 def reach(
-    edges: DataFrame, seeds: DataFrame, keep: Sequence[str] = ("origin",), max_rounds: int = 10, every: int = CHECKPOINT_EVERY
+    edges: DataFrame, seeds: DataFrame, keep: Sequence[str] = ("origin",), max_rounds: int | None = None, every: int = CHECKPOINT_EVERY
 ) -> DataFrame:
     """Every (node, *keep, depth) reachable from the seeds, with the smallest depth.
 
     `edges(src, dst)`, `seeds(node, *keep)`. Each round joins only what the last round found
-    for the first time. Rounds end when nothing new appears, or at the limit. Every few
-    rounds the state is written to the shared folder, so lineage stays short and a lost
-    executor repeats at most a few rounds.
+    for the first time. Rounds end when nothing new appears; `max_rounds` is for callers who
+    want only what is near. Every few rounds the state is written to the shared folder, so
+    lineage stays short and a lost executor repeats at most a few rounds.
     """
     e = edges.select("src", "dst").distinct()
     key = ["node", *keep]
     seen = written(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1) if max_rounds is None else range(1, max_rounds + 1):
         step = (
             frontier.join(e, frontier["node"] == e["src"])
             .select(F.col("dst").alias("node"), *keep)
@@ -43,7 +44,7 @@ def reach(
     return seen
 
 
-def value_spread(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10) -> DataFrame:
+def value_spread(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Which inputs reach which variables: sanitised assignments pass nothing on.
 
     `edges(src, dst, sanitized)`; `seeds(node, origin)`.
@@ -51,11 +52,11 @@ def value_spread(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10) -> Da
     return reach(edges.where(~F.col("sanitized")), seeds, max_rounds=max_rounds)
 
 
-def import_closure(edges: DataFrame, entries: DataFrame, limit: int | None = 300, max_rounds: int = 100) -> DataFrame:
+def import_closure(edges: DataFrame, entries: DataFrame, limit: int | None = None, max_rounds: int | None = None) -> DataFrame:
     """Files reached from entry files over local imports, nearest first.
 
-    `edges(src, dst)`, `entries(node, origin)`. `limit` keeps the first files per entry by
-    depth and name; pass None for the whole closure.
+    `edges(src, dst)`, `entries(node, origin)`. The whole closure, unless `limit` asks for the
+    first files per entry by depth and name.
     """
     found = reach(edges, entries, max_rounds=max_rounds)
     if limit is None:
@@ -70,12 +71,16 @@ JS_ENDINGS = ("", ".js", ".mjs", ".cjs", ".ts", ".mts", ".cts", ".tsx", ".jsx",
 
 
 def _joined(folder, rest):
-    path = F.concat_ws("/", F.nullif(folder, F.lit("")), rest)
-    # Resolve "./" and one "../" at a time, as deep as relative imports usually go.
-    path = F.regexp_replace(path, r"(?:^|(?<=/))\./", "")
-    for _ in range(6):
-        path = F.regexp_replace(path, r"(?:^|(?<=/))[^/.][^/]*/\.\./", "")
-    return path
+    """A relative path from a folder, with every "." and ".." resolved."""
+    steps = F.split(F.concat_ws("/", F.nullif(folder, F.lit("")), rest), "/")
+    none = F.array().cast("array<string>")
+
+    def walk(done, step):
+        up = (step == "..") & (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), done), -1) != "..")
+        kept = F.when(up, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(step)))
+        return F.when(step.isin("", "."), done).otherwise(kept)
+
+    return F.array_join(F.aggregate(steps, none, walk), "/")
 
 
 def import_edges(files: DataFrame) -> DataFrame:

@@ -52,12 +52,8 @@ DETECTORS = _detectors()
 
 def _near_verb(path: str, window: int) -> str:
     """The path pattern, only where an access verb lies within the window on either side."""
-    verbs = (
-        "read", "cat", "open", "load", "include", "pass", "send", "upload", "attach", "copy", "provide",
-        "retrieve", "get", "fetch", "access", "content of", "contents of",
-    )
     by_length: dict[int, list[str]] = {}
-    for verb in verbs:
+    for verb in P.ACCESS_WORDS:
         by_length.setdefault(len(verb), []).append(verb.replace(" ", r"\s"))
     behind = "|".join(rf"\b(?:{'|'.join(v)})\b[\s\S]{{0,{window - n}}}" for n, v in sorted(by_length.items()))
     ahead = "|".join(rf"[\s\S]{{0,{window - n}}}?\b(?:{'|'.join(v)})\b" for n, v in sorted(by_length.items()))
@@ -83,7 +79,20 @@ def pattern_hits(norm: str, low: str, pattern: P.TextPattern) -> Column:
     return contains_any(low, pattern.anchors) & F.col(norm).rlike(pattern.regex)
 
 
-def _special_test(d: Detector) -> Column:
+def literals_of(detectors: tuple[Detector, ...]) -> dict[str, str]:
+    """Every distinct literal of the phrase detectors, with the column that holds its test."""
+    patterns = [d.pattern for d in detectors if d.pattern is not None]
+    if any(d.special == "collector" for d in detectors):
+        patterns += P.SEND_OUT
+    return {a: f"_has{i}" for i, a in enumerate(sorted({a for p in patterns for a in p.anchors}))}
+
+
+def _tested(pattern: P.TextPattern, literals: dict[str, str]) -> Column:
+    """The same as `pattern_hits` where the literals were tested once per row."""
+    return F.expr(" or ".join(literals[a] for a in pattern.anchors)) & F.col("norm").rlike(pattern.regex)
+
+
+def _special_test(d: Detector, literals: dict[str, str]) -> Column:
     raw, norm = F.col("text"), F.col("norm")
     if d.special == "hidden":
         # Anything invisible except a joiner that only ties emoji together.
@@ -99,28 +108,30 @@ def _special_test(d: Detector) -> Column:
     if d.special == "collector":
         already = F.lit(False)
         for p in P.SEND_OUT:
-            already = already | (~F.col("kind").isin(*NAME_KINDS) & pattern_hits("norm", "low", p))
+            already = already | (~F.col("kind").isin(*NAME_KINDS) & _tested(p, literals))
         return contains_any("low", P.COLLECTOR_ANCHORS) & norm.rlike(P.COLLECTOR_DOMAIN) & ~already
     return S.has_secret(raw)
 
 
-def _test(d: Detector) -> Column:
+def _test(d: Detector, literals: dict[str, str]) -> Column:
     scope = {"metadata": ~F.col("is_dynamic"), "dynamic": F.col("is_dynamic"), "all": F.lit(True)}[d.where]
     if d.pattern is not None:
-        return scope & ~F.col("kind").isin(*NAME_KINDS) & pattern_hits("norm", "low", d.pattern)
+        return scope & ~F.col("kind").isin(*NAME_KINDS) & _tested(d.pattern, literals)
     if d.special == "sensitive":
         scope = scope & ~F.col("kind").isin(*NAME_KINDS)
-    return scope & _special_test(d)
+    return scope & _special_test(d, literals)
 
 
 def detect(surfaces: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
     """One row per surface and detector that fired: the surface columns, `norm` and `det`."""
     scan = surfaces.where(F.col("text") != "").withColumn("norm", T.normalize(F.col("text")))
     scan = scan.withColumn("low", F.lower("norm"))
-    fired = F.array_remove(F.array(*[F.when(_test(d), F.lit(i)).otherwise(-1) for i, d in enumerate(detectors)]), -1)
+    literals = literals_of(detectors)
+    scan = scan.withColumns({column: F.contains("low", F.lit(a)) for a, column in literals.items()}) if literals else scan
+    fired = F.array_remove(F.array(*[F.when(_test(d, literals), F.lit(i)).otherwise(-1) for i, d in enumerate(detectors)]), -1)
     # The outer form keeps the optimiser from testing all detectors a second time in a filter
     # on the size of the array; rows without a hit leave right after.
-    return scan.withColumn("det", F.explode_outer(fired)).where(F.col("det").isNotNull()).drop("low")
+    return scan.withColumn("det", F.explode_outer(fired)).where(F.col("det").isNotNull()).drop("low", *literals.values())
 
 
 def _split_pattern(d: Detector) -> str | None:

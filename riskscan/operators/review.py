@@ -12,15 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskscan.functions.secrets import redact
-from riskscan.operators.skew import top_k
 from riskscan.sources import catalog as C
 from riskscan.sources import jsontext as J
 
 VERDICTS = ("likely-real", "likely-false-positive", "unsure")
-MAX_TOOLS = 60
-MAX_FINDINGS = 40
-MAX_REVIEW_EVIDENCE = 3
-MAX_OBSERVATIONS = 10
+#: Tools and findings in one payload, about; a server with more gets several payloads.
+TOOLS_EACH, FINDINGS_EACH = 60, 40
 
 
 def clean(text: Column, limit: int, planted: Column | None = None) -> Column:
@@ -51,45 +48,53 @@ def parse_answer(text: Column) -> Column:
 def payloads(
     tools: DataFrame, findings: DataFrame, token: str, limit: int = 60_000, instructions: DataFrame | None = None
 ) -> DataFrame:
-    """One text per server with a bounded number of tools and findings: (server_id, payload)."""
+    """Texts of bounded size for the scorer: (server_id, part, payload).
+
+    A server's tools and findings are dealt out to as many parts as they need. A text over the
+    limit is cut with a note on how much is missing.
+    """
     params = F.transform(
         C.parameter_array(F.col("input_schema")),
         lambda p: F.struct(
             p["name"].alias("key"),
-            F.left(F.coalesce(J.text_at(p["schema"], "$.description"), J.any_text_at(p["schema"], "$.type"), F.lit("")), F.lit(200)).alias("value"),
+            F.coalesce(J.text_at(p["schema"], "$.description"), J.any_text_at(p["schema"], "$.type"), F.lit("")).alias("value"),
         ),
     )
-    few_tools = top_k(tools, ["server_id"], [F.col("seq"), F.col("name")], MAX_TOOLS, ["name", "seq"])
-    listed = few_tools.groupBy("server_id").agg(
+    sizes = tools.groupBy("server_id").agg(F.count(F.lit(1)).alias("_tools")).join(
+        findings.groupBy("server_id").agg(F.count(F.lit(1)).alias("_found")), "server_id", "full_outer"
+    )
+    needed = F.greatest(F.ceil(F.coalesce("_tools", F.lit(0)) / TOOLS_EACH), F.ceil(F.coalesce("_found", F.lit(0)) / FINDINGS_EACH), F.lit(1))
+    parts = sizes.select("server_id", needed.alias("_parts"))
+
+    def dealt(df: DataFrame, *keys: str) -> DataFrame:
+        return df.join(parts, "server_id").withColumn("part", F.pmod(F.xxhash64(*keys), F.col("_parts")).cast("int"))
+
+    listed = dealt(tools, "name", "seq").groupBy("server_id", "part").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
-                    "rank", "name", F.left("description", F.lit(limit // 20)).alias("description"),
+                    "seq", "name", F.left("description", F.lit(limit // 20)).alias("description"),
                     F.to_json(F.map_from_entries(params)).alias("parameters"),
                 )
             )
         ).alias("tools")
     )
-    order = [F.col("sev_rank").desc(), F.col("conf_rank").desc(), F.col("rule_id"), F.col("target_name"), F.col("description")]
-    few = top_k(findings, ["server_id"], order, MAX_FINDINGS, ["rule_id", "target_name", "description"])
-    proof = F.transform(
-        F.slice("evidence", F.lit(1), F.lit(MAX_REVIEW_EVIDENCE)), lambda e: F.concat(e["location"], F.lit(": "), e["snippet"])
-    )
-    found = few.groupBy("server_id").agg(
+    proof = F.transform("evidence", lambda e: F.concat(e["location"], F.lit(": "), e["snippet"]))
+    found = dealt(findings, "rule_id", "target_name", "description").groupBy("server_id", "part").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
-                    "rank", "id", F.col("rule_id").alias("rule"), "title", "severity", "confidence",
+                    (-F.col("sev_rank")).alias("rank"), "id", F.col("rule_id").alias("rule"), "title", "severity", "confidence",
                     F.concat_ws(" ", "target_kind", "target_name").alias("target"), "description", proof.alias("evidence"),
                 )
             )
         ).alias("findings")
     )
-    both = listed.join(found, "server_id", "full_outer")
+    both = listed.join(found, ["server_id", "part"], "full_outer")
     if instructions is not None:
         both = both.join(instructions.select("server_id", "instructions"), "server_id", "left")
     raw = F.to_json(F.struct(*[c for c in both.columns]))
-    return both.select("server_id", fenced(clean(raw, limit), token).alias("payload"))
+    return both.select("server_id", "part", fenced(clean(raw, limit), token).alias("payload"))
 
 
 ANSWER_SCHEMA = (
@@ -141,8 +146,8 @@ def verdicts(answers: DataFrame) -> DataFrame:
 
 
 def observations(answers: DataFrame) -> DataFrame:
-    """Further remarks in answers, at most ten per server."""
-    items = F.slice(J.items_at(parse_answer(F.col("answer")), "$.observations"), F.lit(1), F.lit(MAX_OBSERVATIONS))
+    """Further remarks in answers."""
+    items = J.items_at(parse_answer(F.col("answer")), "$.observations")
     rows = answers.select("server_id", F.explode(items).alias("i"))
     t = lambda key, n: F.left(F.coalesce(J.any_text_at(F.col("i"), f"$.{key}"), F.lit("")), F.lit(n))
     severity = F.lower(t("suggested_severity", 20))

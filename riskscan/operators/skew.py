@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 SALTS = 32
+#: Rows per key up to which Spark's window group limit applies (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 BROADCAST_ROWS = 100_000
 
 
@@ -30,10 +32,14 @@ def top_k(
 ) -> DataFrame:
     """The first k rows per key with their rank, exactly.
 
-    Every key is cut into `salts` parts by a hash of the `spread` columns. Each part keeps
-    its own first k, so the final window sees at most `salts * k` rows per key. `order`
-    must be total within a key for the result to be repeatable.
+    Up to GROUP_LIMIT rows, Spark itself keeps the first k of each key in every task before the
+    shuffle, so one window is enough, hot keys or not. Beyond it every key is cut into `salts`
+    parts by a hash of the `spread` columns; each part keeps its own first k, so the final window
+    sees at most `salts * k` rows per key. `order` must be total within a key for the result to
+    be repeatable.
     """
+    if k <= GROUP_LIMIT:
+        return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     part = W.partitionBy(*keys, "_salt").orderBy(*order)
     kept = salted.withColumn(rank, F.row_number().over(part)).where(F.col(rank) <= k)
@@ -136,13 +142,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder in the shared folder that holds all tables this application writes on its way."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/riskscan-{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Removes every table `written` made; call it when the results of a run are stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows written once as a table in the shared folder and read back.
 
     Everything built on the result starts from the table: it is not computed again when
     read twice or when an executor is lost, reads stay columnar, and its size is known.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/riskscan-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

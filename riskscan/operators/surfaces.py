@@ -11,9 +11,14 @@ from riskscan.schemas import SURFACE_SCHEMA, conform
 from riskscan.sources import catalog as C
 from riskscan.sources import jsontext as J
 
-# How deep schemas are followed and how many listed values are read.
-MAX_DEPTH = 6
-MAX_VALUES = 200
+# Down to this depth every text is given its exact place; below it, texts carry the place of the node they lie under.
+PLACED_DEPTH = 6
+# Words of the schema language, which are no texts when they are keys.
+SCHEMA_WORDS = (
+    "$defs", "$id", "$ref", "$schema", "additionalProperties", "allOf", "anyOf", "const", "default", "definitions", "description", "enum", "examples",
+    "exclusiveMaximum", "exclusiveMinimum", "format", "items", "maxItems", "maxLength", "maximum", "minItems", "minLength", "minimum", "not", "oneOf",
+    "pattern", "prefixItems", "properties", "required", "title", "type", "uniqueItems",
+)
 CHILD_KEYS = ("items", "additionalProperties", "not")
 LIST_KEYS = ("anyOf", "oneOf", "allOf", "prefixItems")
 DEFINITION_KEYS = ("$defs", "definitions")
@@ -64,9 +69,9 @@ def _defined(schema: Column, key: str) -> Column:
 
 
 def _values(schema: Column, key: str) -> Column:
-    """The string under a key, or the strings among the first values of a list."""
+    """The string under a key, or the strings among the values of a list."""
     single = J.text_at(schema, f"$.{key}")
-    many = F.transform(F.slice(J.items_at(schema, f"$.{key}"), F.lit(1), F.lit(MAX_VALUES)), lambda v: J.text_at(v, "$"))
+    many = F.transform(J.items_at(schema, f"$.{key}"), lambda v: J.text_at(v, "$"))
     texts = F.when(single.isNotNull(), F.array(single)).otherwise(many)
     return F.filter(texts, lambda t: F.coalesce(t != "", F.lit(False)))
 
@@ -93,22 +98,34 @@ def _value_texts(schema: Column, path: Column, key: str) -> Column:
 
 
 def schema_nodes(tools: DataFrame) -> DataFrame:
-    """Adds `nodes`: every schema object of the input schema down to the depth limit.
+    """Adds `nodes`, every schema object of the input schema down to PLACED_DEPTH, and `deeper`, the objects right below.
 
-    Each level is worked out from the level above inside the row, so the whole tree costs
-    one pass and no shuffle, whatever its depth.
+    Each level is worked out from the level above inside the row, so the tree costs one pass and
+    no shuffle.
     """
     root = F.when(F.col("input_schema").isNotNull(), F.array(_node(F.lit("input"), F.col("input_schema")))).otherwise(
         F.array().cast(NO_NODES)
     )
     levels = tools.withColumn("_level0", root)
-    for depth in range(1, MAX_DEPTH + 1):
+    for depth in range(1, PLACED_DEPTH + 2):
         above = F.col(f"_level{depth - 1}")
         # Most schemas are flat; an empty level ends the work for all deeper ones.
         below = F.when(F.size(above) > 0, F.flatten(F.transform(above, _children))).otherwise(F.array().cast(NO_NODES))
         levels = levels.withColumn(f"_level{depth}", below)
-    names = [f"_level{d}" for d in range(MAX_DEPTH + 1)]
-    return levels.withColumn("nodes", F.concat(*names)).drop(*names)
+    names = [f"_level{d}" for d in range(PLACED_DEPTH + 1)]
+    return levels.withColumn("nodes", F.concat(*names)).withColumnRenamed(f"_level{PLACED_DEPTH + 1}", "deeper").drop(*names)
+
+
+def _deeper_texts(node: Column) -> Column:
+    """Every string below the placed depth, however deep: values, and keys that are no words of the schema language."""
+    raw = F.to_json(node["schema"])
+    quoted = r'"((?:[^"\\]|\\.)*)"'
+    plain = lambda s: F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), s, F.lit('"'))), "$", "string")
+    values = F.regexp_extract_all(raw, F.lit(quoted + r"(?!\s*:)"), F.lit(1))
+    keys = F.filter(F.regexp_extract_all(raw, F.lit(quoted + r"\s*:"), F.lit(1)), lambda k: ~k.isin(*SCHEMA_WORDS))
+    place = F.concat(node["path"], F.lit(" > (deeper)"))
+    found = F.array_distinct(F.concat(F.transform(values, lambda v: _text("param-value", place, plain(v))), F.transform(keys, lambda k: _text("param-name", place, plain(k)))))
+    return F.filter(found, lambda t: t["text"].isNotNull())
 
 
 def tool_surfaces(tools: DataFrame) -> DataFrame:
@@ -128,6 +145,7 @@ def tool_surfaces(tools: DataFrame) -> DataFrame:
         ),
         notes,
         F.flatten(F.transform("nodes", _node_texts)),
+        F.flatten(F.transform("deeper", _deeper_texts)),
     )
     rows = schema_nodes(tools).select("server_id", "seq", "name", F.explode(texts).alias("t")).where(
         F.col("t.text") != ""
@@ -230,8 +248,8 @@ def dynamic(surfaces: DataFrame) -> DataFrame:
     return surfaces.where(F.col("is_dynamic"))
 
 
-def content_text(result: Column, limit: int) -> Column:
-    """All text of a tool, prompt or resource answer (VARIANT), one piece per line."""
+def content_text(result: Column, limit: int | None = None) -> Column:
+    """All text of a tool, prompt or resource answer (VARIANT), one piece per line; cut only if a limit is given."""
 
     def item_texts(item: Column) -> Column:
         plain = J.text_at(item, "$")
@@ -246,11 +264,12 @@ def content_text(result: Column, limit: int) -> Column:
         )
         return F.flatten(F.transform(many, item_texts))
 
-    structured = F.left(F.to_json(F.try_variant_get(result, "$.structuredContent", "variant")), F.lit(limit))
+    structured = F.to_json(F.try_variant_get(result, "$.structuredContent", "variant"))
     pieces = F.concat(
         F.flatten(F.transform(J.items_at(result, "$.content"), item_texts)),
         F.flatten(F.transform(J.items_at(result, "$.messages"), message_texts)),
         F.array_compact(F.transform(J.items_at(result, "$.contents"), lambda i: J.text_at(i, "$.text"))),
         F.array_compact(F.array(F.when(structured != "null", structured))),
     )
-    return F.left(F.array_join(pieces, "\n"), F.lit(limit))
+    text = F.array_join(pieces, "\n")
+    return text if limit is None else F.left(text, F.lit(limit))

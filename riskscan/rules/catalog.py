@@ -24,156 +24,156 @@ def _r(rule_id, title, category, severity, why, fix, needs=""):
 
 
 RULES: tuple[RuleInfo, ...] = (
-    _r("INJ-001", "Text tries to replace the agent's instructions", "prompt-injection", "high",
-       "Agents trust metadata, so an order in it competes with the user.", "Remove the text."),
-    _r("INJ-002", "Invisible characters in metadata", "prompt-injection", "high",
-       "A model reads what a reviewer cannot see.", "Remove every invisible character."),
-    _r("INJ-003", "Encoded text in metadata", "prompt-injection", "medium",
-       "Encoding hides orders from people and simple filters.", "Write the text in plain words or drop it."),
-    _r("INJ-004", "Orders in content returned at run time", "prompt-injection", "high",
-       "Results enter the context of the agent on every call.", "Return plain data only.", "dynamic"),
-    _r("INJ-005", "Terminal control characters in metadata", "prompt-injection", "medium",
-       "Escape codes repaint what a reviewer sees.", "Remove control characters."),
-    _r("POISON-001", "Order-style tags in metadata", "tool-poisoning", "high",
-       "Tagged blocks speak to the model and not to the user.", "Describe the tool in plain words."),
-    _r("POISON-002", "Metadata asks for secrecy", "tool-poisoning", "high",
-       "An honest tool hides nothing from its user.", "Remove the server unless the text has a clear reason."),
-    _r("POISON-003", "Metadata asks for sensitive files", "tool-poisoning", "high",
-       "The agent may read the file elsewhere and pass it on.", "Take credentials from the server's own settings."),
-    _r("POISON-004", "Metadata asks for the conversation or for secrets", "tool-poisoning", "critical",
-       "Whatever the agent sends, the server keeps.", "Remove the request."),
-    _r("POISON-005", "Parameter collects private context", "tool-poisoning", "medium",
-       "Models fill in every parameter they are given.", "Remove parameters the tool does not need."),
-    _r("POISON-006", "Metadata steers when tools are called", "tool-poisoning", "medium",
-       "Every description is read, called or not.", "Remove orders about call order or other tools."),
-    _r("POISON-007", "Metadata sends data to an outside place", "data-exfiltration", "high",
-       "Collector services are popular for catching data.", "Find out where the data goes."),
-    _r("SHADOW-001", "Metadata gives orders about another tool", "tool-shadowing", "high",
-       "A server can bend a trusted tool without being called.", "Let a tool describe only itself."),
-    _r("SHADOW-002", "Messages are redirected to a fixed address", "tool-shadowing", "critical",
-       "Every message is copied to someone else.", "Remove the server and check what was sent."),
-    _r("SHADOW-003", "Tool name is used by another server too", "tool-shadowing", "medium",
-       "Calls can reach the wrong server.", "Rename one of the tools."),
-    _r("SHADOW-004", "Tool name uses look-alike letters", "tool-shadowing", "high",
-       "A look-alike passes for a trusted tool.", "Use plain ASCII names."),
-    _r("EXEC-001", "Tool can run any command or code", "command-execution", "high",
-       "Who steers the agent steers the machine.", "Run it in a sandbox and keep approval on."),
-    _r("EXEC-002", "Tool input reaches a system command", "command-execution", "critical",
-       "Shell characters in the input start more commands.", "Pass an argument list without a shell.", "source"),
-    _r("EXEC-003", "Tool input reaches dynamic code", "code-execution", "critical",
-       "Evaluated input can do anything the server can.", "Use a safe parser.", "source"),
-    _r("EXEC-004", "Unsafe deserialisation", "code-execution", "high",
-       "Loading such data can run code in it.", "Use a plain data format.", "source"),
-    _r("FS-001", "Tool can change or delete files", "filesystem", "medium",
-       "A tricked agent can overwrite settings or work.", "Limit it to one folder and keep approval on."),
-    _r("FS-002", "Tool can read files at any path", "filesystem", "low",
-       "Together with a way out it leaks secrets.", "Limit it to the folders it needs."),
-    _r("FS-003", "Tool input becomes a file path unchecked", "filesystem", "high",
-       "Dotted paths leave the intended folder.", "Resolve the path and check its folder.", "source"),
-    _r("FS-004", "Code touches secret files", "filesystem", "high",
-       "Reading keys and sending them is theft.", "Find out why the code needs the file.", "source"),
-    _r("NET-001", "Tool can request any address", "network", "medium",
-       "It reaches inside services and carries data out.", "Limit it to the hosts it needs."),
-    _r("NET-002", "Code sends data to a collector service", "data-exfiltration", "high",
-       "A real integration names its own host.", "Find out what is sent there.", "source"),
-    _r("NET-003", "Tool input decides where a request goes", "network", "medium",
-       "It reaches inside services and cloud metadata.", "Check the host against a list.", "source"),
-    _r("SQL-001", "Tool runs raw SQL", "injection", "medium",
-       "A tricked agent can read or drop tables.", "Use a read-only user or fixed queries."),
-    _r("SQL-002", "SQL is built from tool input", "injection", "high",
-       "Quotes in the input change the statement.", "Use bound parameters.", "source"),
-    _r("SECRET-001", "Secret shown to the agent", "secrets", "high",
-       "What the agent sees ends up in logs and other tools.", "Remove and rotate it."),
-    _r("SECRET-002", "Plain secret in a client configuration", "secrets", "medium",
-       "Configuration files are synced and read by others.", "Use placeholders and rotate the key."),
-    _r("SECRET-003", "Hardcoded secret in source code", "secrets", "high",
-       "Who has the code has the key.", "Move it to the environment and rotate it.", "source"),
-    _r("SECRET-004", "Tool asks the agent for a secret", "secrets", "low",
-       "Arguments stay in the conversation.", "Read secrets from the server's environment."),
-    _r("SECRET-005", "Code reads the whole environment", "secrets", "high",
-       "The environment holds keys; sending it leaks them all.", "Read variables by name.", "source"),
-    _r("SECRET-006", "Tool hands out environment variables", "secrets", "high",
-       "Server keys end up in the conversation.", "Return named harmless settings only."),
-    _r("PRIV-001", "Metadata asks for administrator power", "privilege", "medium",
-       "Tools should work with normal rights.", "Run as a normal user."),
-    _r("PRIV-002", "Server is launched with elevated rights", "privilege", "high",
-       "A bug in it then reaches the whole host.", "Drop the options."),
-    _r("PERM-001", "Server can read private data and send data out", "excessive-permissions", "medium",
-       "One order can read a secret and send it away.", "Split readers and senders."),
-    _r("PERM-002", "Server offers many kinds of risky actions", "excessive-permissions", "low",
-       "More power means more damage.", "Turn off what is not needed."),
-    _r("PERM-003", "Tool sends messages to any recipient", "excessive-permissions", "low",
-       "It can send data out in your name.", "Limit the recipients."),
-    _r("SCOPE-001", "Code does what the description does not say", "excessive-permissions", "high",
-       "Users approve what they read.", "Document it or remove the server.", "source"),
-    _r("SCOPE-002", "Annotations contradict the tool", "excessive-permissions", "medium",
-       "Clients skip approval because of such hints.", "Correct the annotations."),
-    _r("CFG-001", "Launch package has no fixed version", "supply-chain", "low",
-       "Every start may fetch new code.", "Pin an exact version."),
-    _r("CFG-002", "Server is launched through a shell", "configuration", "low",
-       "A wrapper can hide more commands.", "Call the program directly."),
-    _r("CFG-003", "Server is installed from a URL", "supply-chain", "medium",
-       "Its content can change at any time.", "Install a pinned release."),
-    _r("CFG-004", "Container image is not pinned", "supply-chain", "low",
-       "The image can change under you.", "Pin the image by digest."),
-    _r("CFG-005", "Environment changes how programs run", "configuration", "high",
-       "Such variables load code or switch off checks.", "Remove the variable."),
-    _r("AUTH-001", "Remote server over plain HTTP", "authentication", "high",
-       "Anyone on the path can read and change it.", "Use HTTPS."),
-    _r("AUTH-002", "Powerful remote server needs no login", "authentication", "high",
-       "Who finds the address can use the tools.", "Require a login."),
-    _r("AUTH-003", "Credentials in the server address", "authentication", "medium",
-       "Addresses end up in logs.", "Send credentials in a header."),
-    _r("SRC-001", "Code runs decoded code", "code-execution", "critical",
-       "Honest code hides nothing it runs.", "Do not run it.", "source"),
-    _r("SRC-002", "Code opens a reverse shell", "command-execution", "critical",
-       "It gives away the machine.", "Do not run it.", "source"),
-    _r("SRC-003", "Code touches startup locations", "privilege", "high",
-       "Code placed there runs again later.", "Find out why it needs them.", "source"),
-    _r("SRC-004", "Tool input becomes a template", "code-execution", "high",
-       "Template syntax can run code.", "Pass input as template variables.", "source"),
-    _r("DEP-001", "Known-bad package", "supply-chain", "critical",
-       "Public advisories list this code as harmful.", "Remove it and rotate credentials.", "dependencies"),
-    _r("DEP-002", "Package name imitates a popular one", "supply-chain", "high",
-       "Attackers wait for typing errors.", "Check name and publisher.", "dependencies"),
-    _r("DEP-003", "Package runs a script when installed", "supply-chain", "medium",
-       "It runs with your rights before you start anything.", "Read it, or install without scripts.", "dependencies"),
-    _r("DEP-004", "Dependency from a URL or in any version", "supply-chain", "low",
-       "Its content can change without a release.", "Pin released versions.", "dependencies"),
-    _r("DYN-001", "Planted secret came back", "data-exfiltration", "critical",
-       "It proves the server reads secrets nobody asked for.", "Treat the server as hostile.", "dynamic"),
-    _r("DYN-002", "Definitions changed within a session", "tool-poisoning", "high",
-       "Harmless at approval, harmful later.", "Check what changed.", "dynamic"),
-    _r("DYN-003", "Definitions changed since the last snapshot", "tool-poisoning", "medium",
-       "A changed tool needs a fresh look.", "Review, then accept the new snapshot."),
-    _r("DYN-004", "Server started a shell or network program", "runtime-behavior", "high",
-       "Answering a list request needs neither.", "Find the code that starts it.", "dynamic"),
-    _r("DYN-005", "Server connected to outside addresses", "runtime-behavior", "medium",
-       "It may be telemetry or data leaving.", "Find out what it is for.", "dynamic"),
-    _r("DYN-006", "Server wrote sensitive files", "runtime-behavior", "high",
-       "That is how malware stays.", "Treat the server as hostile.", "dynamic"),
-    _r("DYN-007", "Server hit a resource limit", "runtime-behavior", "medium",
-       "A bug, a miner or a fork bomb.", "Check what it does at start.", "dynamic"),
-    _r("PROTO-001", "Server asked the client for more powers", "protocol", "medium",
-       "It may use your model or ask your user.", "Deny what you did not offer.", "dynamic"),
-    _r("PROTO-002", "Output that is not protocol", "protocol", "low",
-       "It breaks clients and deserves a look.", "Log elsewhere.", "dynamic"),
-    _r("PROTO-003", "Endpoint on another host", "protocol", "high",
-       "Requests and credentials would go elsewhere.", "Do not use the server.", "dynamic"),
-    _r("PROTO-004", "Too much data", "protocol", "low",
-       "Huge answers flood the context.", "Check why it sends so much.", "dynamic"),
-    _r("PROTO-005", "Old protocol version", "protocol", "info",
-       "Old versions lack safety features.", "Update the server."),
-    _r("QUALITY-001", "Tool without description", "quality", "info",
-       "Nobody can tell what it does.", "Describe it."),
-    _r("QUALITY-002", "Loose input schema", "quality", "info",
-       "Any value gets through.", "Give every parameter a type."),
-    _r("QUALITY-003", "Very long description", "quality", "low",
-       "Orders are easiest to miss there.", "Keep it short."),
-    _r("QUALITY-004", "One name, several tools", "tool-shadowing", "medium",
-       "Which one is called is undefined.", "Give every tool its own name."),
-    _r("QUALITY-005", "Risky tool without hints", "quality", "info",
-       "Clients must guess when to ask.", "Set the hints."),
+    _r("INJ-001", "Wording that gives the agent other orders", "prompt-injection", "high",
+       "A model can't tell whose order counts; one in metadata speaks as loudly as the user.", "Delete the wording or leave the server out."),
+    _r("INJ-002", "Characters nobody can see", "prompt-injection", "high",
+       "People review what is printed, models read every character.", "Strip all unprinted characters."),
+    _r("INJ-003", "Readable text inside base64", "prompt-injection", "medium",
+       "What is encoded escapes review and plain filters.", "Say it in clear text, or not at all."),
+    _r("INJ-004", "Orders inside returned content", "prompt-injection", "high",
+       "Whatever a call returns is read by the agent as well.", "Give back data, never orders.", "dynamic"),
+    _r("INJ-005", "Control codes for a terminal", "prompt-injection", "medium",
+       "Control codes can redraw or hide what a console prints.", "Filter control codes out."),
+    _r("POISON-001", "A tag addressed to the model", "tool-poisoning", "high",
+       "Such a tag sets its text apart from the description people read.", "Write plain sentences."),
+    _r("POISON-002", "The user shall not know", "tool-poisoning", "high",
+       "There is no honest reason to keep a user uninformed.", "Do not use the server until this is explained."),
+    _r("POISON-003", "Wants credential files read", "tool-poisoning", "high",
+       "Another tool may read the file and this one gets its text.", "Configure credentials on the server itself."),
+    _r("POISON-004", "Wants the conversation or secrets", "tool-poisoning", "critical",
+       "What is handed over can't be taken back.", "Delete the demand."),
+    _r("POISON-005", "A parameter made for private context", "tool-poisoning", "medium",
+       "Agents tend to fill each field they see.", "Delete fields the task doesn't need."),
+    _r("POISON-006", "Pushes itself into the order of calls", "tool-poisoning", "medium",
+       "A description is in effect even if its tool is never used.", "Say what the tool does and nothing about others."),
+    _r("POISON-007", "Text names a way out for data", "data-exfiltration", "high",
+       "Public catchers of requests hide who receives the data.", "Ask what is sent there and why."),
+    _r("SHADOW-001", "Orders about somebody else's tool", "tool-shadowing", "high",
+       "It changes how a trusted tool is used without being called.", "Keep each description to its own tool."),
+    _r("SHADOW-002", "Everything goes to one fixed recipient", "tool-shadowing", "critical",
+       "A third party reads along from then on.", "Leave the server out and look at what was sent already."),
+    _r("SHADOW-003", "Two servers, one tool name", "tool-shadowing", "medium",
+       "The agent may pick the wrong one of them.", "Give one of them another name."),
+    _r("SHADOW-004", "A name with foreign look-alikes", "tool-shadowing", "high",
+       "On screen it can't be told from the tool it copies.", "Allow names in plain Latin letters only."),
+    _r("EXEC-001", "Runs whatever it is given", "command-execution", "high",
+       "Control over the agent becomes control over the host.", "Confine it and ask before each call."),
+    _r("EXEC-002", "Input ends up in a command", "command-execution", "critical",
+       "A shell reads more than one command into a text.", "Start programs with a list of arguments, without a shell.", "source"),
+    _r("EXEC-003", "Input ends up as code", "code-execution", "critical",
+       "Such input has all the rights of the server.", "Parse the input instead of evaluating it.", "source"),
+    _r("EXEC-004", "Loads data that can carry code", "code-execution", "high",
+       "The format runs what it contains while it is read.", "Choose a format that holds data only.", "source"),
+    _r("FS-001", "Changes or removes files", "filesystem", "medium",
+       "A misled agent destroys or plants files with it.", "Confine it to a folder and ask before each call."),
+    _r("FS-002", "Reads files wherever asked", "filesystem", "low",
+       "With any way out at hand, secrets leave.", "Confine it to the folders of its task."),
+    _r("FS-003", "Input picks a path without a check", "filesystem", "high",
+       "A path with dots climbs out of its folder.", "Normalise the path, then compare it with the folder.", "source"),
+    _r("FS-004", "Code names credential files", "filesystem", "high",
+       "Few programs have a reason to open them.", "Have the author explain the access.", "source"),
+    _r("NET-001", "Fetches any address", "network", "medium",
+       "Inner services come within reach, and data gets out.", "List the hosts it may talk to."),
+    _r("NET-002", "Code talks to a catcher of requests", "data-exfiltration", "high",
+       "A product of its own would have a host of its own.", "Look at what the code sends there.", "source"),
+    _r("NET-003", "Input picks the address of a request", "network", "medium",
+       "Inner services and metadata endpoints come within reach.", "Compare the host with a list first.", "source"),
+    _r("SQL-001", "Takes whole SQL statements", "injection", "medium",
+       "One misled call reads or empties a table.", "Offer fixed queries, or an account that can only read."),
+    _r("SQL-002", "Input becomes part of SQL", "injection", "high",
+       "A quote in the input ends the text and starts a statement.", "Bind values as parameters.", "source"),
+    _r("SECRET-001", "A secret in view of the agent", "secrets", "high",
+       "From there it travels into logs and into other tools.", "Take it out and issue a new one."),
+    _r("SECRET-002", "A secret written into a configuration", "secrets", "medium",
+       "Such files are copied, shared and backed up.", "Refer to a variable and issue a new key."),
+    _r("SECRET-003", "A secret written into code", "secrets", "high",
+       "Each reader of the code holds it.", "Read it from the environment and issue a new one.", "source"),
+    _r("SECRET-004", "Wants a secret as an argument", "secrets", "low",
+       "Arguments are kept with the conversation.", "Let the server look up its own secrets."),
+    _r("SECRET-005", "Code takes the environment as a whole", "secrets", "high",
+       "Keys of other programs lie there too.", "Ask for single variables.", "source"),
+    _r("SECRET-006", "Gives out environment variables", "secrets", "high",
+       "Keys of the server reach the conversation.", "Answer with chosen settings only."),
+    _r("PRIV-001", "Text speaks of higher rights", "privilege", "medium",
+       "Few tools have a reason for them.", "Start it under an ordinary account."),
+    _r("PRIV-002", "Launched with more rights than needed", "privilege", "high",
+       "What goes wrong in it goes wrong for the whole host.", "Launch it without these options."),
+    _r("PERM-001", "Reads private things and can send", "excessive-permissions", "medium",
+       "A single order is enough to carry a secret away.", "Put reading and sending into different servers."),
+    _r("PERM-002", "Many kinds of power in one server", "excessive-permissions", "low",
+       "Each kind adds to what one mistake costs.", "Disable what the task doesn't use."),
+    _r("PERM-003", "Writes to anybody", "excessive-permissions", "low",
+       "Messages leave under the user's name.", "Allow known recipients only."),
+    _r("SCOPE-001", "Code goes beyond its description", "excessive-permissions", "high",
+       "Consent was given to the description.", "Describe it, or don't use it.", "source"),
+    _r("SCOPE-002", "Hints that don't fit the tool", "excessive-permissions", "medium",
+       "On the strength of a hint clients don't ask.", "Set hints that are true."),
+    _r("CFG-001", "Starts whichever version is newest", "supply-chain", "low",
+       "Tomorrow's start may run other code than today's.", "Name one version."),
+    _r("CFG-002", "A shell stands before the server", "configuration", "low",
+       "More than the server may be started by it.", "Name the program itself."),
+    _r("CFG-003", "Installed straight from an address", "supply-chain", "medium",
+       "What lies there may be exchanged unnoticed.", "Install a release and pin it."),
+    _r("CFG-004", "An image that may move", "supply-chain", "low",
+       "A tag can point to other content tomorrow.", "Give the digest of the image."),
+    _r("CFG-005", "Variables that alter other programs", "configuration", "high",
+       "They slip code in or turn protection off.", "Unset the variable."),
+    _r("AUTH-001", "No encryption on the way to the server", "authentication", "high",
+       "Whoever sits on the line reads and alters it.", "Serve it over TLS."),
+    _r("AUTH-002", "Power without a login", "authentication", "high",
+       "Knowing the address is enough to use it.", "Put a login in front."),
+    _r("AUTH-003", "Credentials inside an address", "authentication", "medium",
+       "Addresses are logged all along the way.", "Move credentials into a header."),
+    _r("SRC-001", "Unpacks code and runs it", "code-execution", "critical",
+       "Code that means well can be read.", "Keep away from it.", "source"),
+    _r("SRC-002", "Hands a shell to a remote host", "command-execution", "critical",
+       "The far end then owns the machine.", "Keep away from it.", "source"),
+    _r("SRC-003", "Reaches for places that run at start", "privilege", "high",
+       "What is put there comes back after a restart.", "Have the author explain the access.", "source"),
+    _r("SRC-004", "Input is compiled as a template", "code-execution", "high",
+       "Template languages can call code.", "Keep the template fixed and pass input as values.", "source"),
+    _r("DEP-001", "A package on a list of harmful ones", "supply-chain", "critical",
+       "An advisory names this very release.", "Uninstall it and replace every key it could see.", "dependencies"),
+    _r("DEP-002", "A package one slip away from a known one", "supply-chain", "high",
+       "Such names are registered for mistyped installs.", "Compare name and publisher.", "dependencies"),
+    _r("DEP-003", "Code runs during installation", "supply-chain", "medium",
+       "It acts before anything of the package is used.", "Read the step, or install with steps turned off.", "dependencies"),
+    _r("DEP-004", "A dependency without a fixed release", "supply-chain", "low",
+       "Other content may arrive with the next install.", "Depend on released versions.", "dependencies"),
+    _r("DYN-001", "A planted value returned", "data-exfiltration", "critical",
+       "It was readable only by snooping.", "Assume the worst about this server.", "dynamic"),
+    _r("DYN-002", "Definitions moved during a session", "tool-poisoning", "high",
+       "What was approved is no longer what runs.", "Compare before and after.", "dynamic"),
+    _r("DYN-003", "Definitions moved since they were recorded", "tool-poisoning", "medium",
+       "Approval belonged to the older text.", "Read the new text, then record it."),
+    _r("DYN-004", "Started a shell or a network program", "runtime-behavior", "high",
+       "Nothing it was asked to do calls for one.", "Trace what starts it.", "dynamic"),
+    _r("DYN-005", "Talked to outside hosts", "runtime-behavior", "medium",
+       "It may be statistics, or your data.", "Ask what the hosts are for.", "dynamic"),
+    _r("DYN-006", "Wrote where credentials or start files lie", "runtime-behavior", "high",
+       "Programs that want to stay write there.", "Assume the worst about this server.", "dynamic"),
+    _r("DYN-007", "Ran into a limit on resources", "runtime-behavior", "medium",
+       "It may be a mistake, or mining.", "Watch what it does when it starts.", "dynamic"),
+    _r("PROTO-001", "Asked for powers it wasn't offered", "protocol", "medium",
+       "It could use the client's model or question the user.", "Refuse such requests.", "dynamic"),
+    _r("PROTO-002", "Output between messages", "protocol", "low",
+       "Clients stumble over it.", "Write logs to another stream.", "dynamic"),
+    _r("PROTO-003", "Refers the client to a foreign host", "protocol", "high",
+       "Tokens would be sent to that host.", "Don't connect.", "dynamic"),
+    _r("PROTO-004", "More output than sensible", "protocol", "low",
+       "It crowds out everything else the agent reads.", "Ask why answers are this large.", "dynamic"),
+    _r("PROTO-005", "An outdated protocol", "protocol", "info",
+       "Later versions brought protection this one lacks.", "Move to a newer release."),
+    _r("QUALITY-001", "Nothing said about a tool", "quality", "info",
+       "Neither people nor models can judge it.", "Add a sentence on what it does."),
+    _r("QUALITY-002", "A schema that lets anything in", "quality", "info",
+       "Mistakes reach the code unchecked.", "State a type for each parameter."),
+    _r("QUALITY-003", "A description of unusual length", "quality", "low",
+       "In much text a few words go unread.", "Shorten it."),
+    _r("QUALITY-004", "Several tools under one name", "tool-shadowing", "medium",
+       "Clients differ in which one they take.", "Rename all but one."),
+    _r("QUALITY-005", "Power without hints", "quality", "info",
+       "A client can't know when to ask.", "State what the tool may change."),
 )
 BY_ID = {r.rule_id: r for r in RULES}
 

@@ -43,7 +43,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """Rule files in JSON, one rule or a list under `rules` per file: (load_seq, origin, pos, rule VARIANT)."""
     from riskscan.sources import jsontext as J
 
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("origin"), J.parse(F.col("value")).alias("v")
     )
     listed = F.when(J.is_array(F.try_variant_get("v", "$.rules", "variant")), J.items_at(F.col("v"), "$.rules")).otherwise(F.array("v"))
@@ -70,7 +70,8 @@ def rule_problems(rules: DataFrame) -> DataFrame:
             F.when(~F.coalesce(t("$.severity").isin(*L.SEVERITIES), F.lit(False)), F.lit("severity is unknown")),
             F.when(~fine(t("$.confidence"), L.CONFIDENCES), F.lit("confidence is unknown")),
             F.when(~fine(t("$.category"), CATEGORIES), F.lit("category is unknown")),
-            F.when(~J.is_object(F.try_variant_get(rule, "$.match", "variant")), F.lit("match is missing")),
+            F.when(~J.is_object(F.try_variant_get(rule, "$.match", "variant")), F.lit("match is missing"))
+            .when(F.size(patterns) == 0, F.lit("match has no pattern")),
             listing("unknown keys: ", unknown(keys("$"), KNOWN_KEYS)),
             listing("unknown match keys: ", unknown(keys("$.match"), KNOWN_MATCH_KEYS)),
             listing("unknown surface kinds: ", bad_surfaces),
@@ -92,17 +93,21 @@ def usable_rules(checked: DataFrame) -> tuple[list[UserRule], DataFrame]:
     """Rules ready to run and a table of those that are not.
 
     Rules are configuration, so they come to the driver: one row per rule a person wrote.
-    A regular expression is tried on an empty input, so one broken rule stops nobody else.
+    All regular expressions are tried in one job on an empty input; only if that fails is each
+    tried alone, so one broken rule stops nobody else.
     """
     spark = checked.sparkSession
     errors = [(r.id, "; ".join(r.problems)) for r in checked.where(F.size("problems") > 0).collect()]
     good: dict[str, UserRule] = {}
-    for r in checked.where(F.size("problems") == 0).orderBy("origin", "pos").collect():
+    rows = checked.where(F.size("problems") == 0).orderBy("origin", "pos").collect()
+    every = {p for r in rows for p in [*r.patterns, *([r.tool_name] if r.tool_name else [])]}
+    fine = compiles(spark, *every) if every else True
+    for r in rows:
         rule = UserRule(
             r.id, r.title, r.severity, tuple(r.patterns), r.category, r.confidence, r.description, tuple(r.surfaces),
             r.tool_name, r.case_sensitive, r.malicious, r.origin,
         )
-        bad = [p for p in [*rule.patterns, *([rule.tool_name] if rule.tool_name else [])] if not compiles(spark, p)]
+        bad = [p for p in [*rule.patterns, *([rule.tool_name] if rule.tool_name else [])] if not fine and not compiles(spark, p)]
         if bad:
             errors.append((rule.id, f"invalid regular expression: {bad[0]}"))
         else:
@@ -111,12 +116,12 @@ def usable_rules(checked: DataFrame) -> tuple[list[UserRule], DataFrame]:
     return list(good.values()), table
 
 
-def compiles(spark: SparkSession, pattern: str) -> bool:
-    """Does the JVM accept this regular expression?"""
+def compiles(spark: SparkSession, *patterns: str) -> bool:
+    """Does the JVM accept these regular expressions?"""
     from pyspark.errors import PySparkException
 
     try:
-        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+        spark.range(1).select(*[F.lit("").rlike(p) for p in patterns]).collect()
     except (PySparkException, Py4JError):
         return False
     return True
@@ -128,6 +133,7 @@ def user_candidates(surfaces: DataFrame, rules: Sequence[UserRule]) -> DataFrame
     The first pattern of a rule that matches a text counts. No join is involved, and each
     literal pattern is compiled once per task.
     """
+    rules = [r for r in rules if r.patterns]
     if not rules:
         return conform(surfaces.limit(0).select("server_id", "seq"), CANDIDATE_SCHEMA)
     scan = surfaces.where(F.col("text") != "").withColumn("norm", TX.normalize(F.col("text")))

@@ -49,6 +49,11 @@ CANDIDATE_COLUMNS = tuple(f.name for f in CANDIDATE_SCHEMA.fields)
 DEPENDENCY_SCHEMA = table(
     server_id=STRING, name=STRING, ecosystem=STRING, source=STRING, spec=STRING, version=STRING, direct=BOOL, line=INT
 )
+STRING_MAP = T.MapType(STRING, STRING)
+SERVER_SCHEMA = table(
+    server_id=STRING, seq=LONG, name=STRING, transport=STRING, command=STRING, args=T.ArrayType(STRING), env=STRING_MAP, headers=STRING_MAP,
+    url=STRING, origin=STRING, origin_kind=STRING, instructions=STRING, connected=BOOL, protocol_version=STRING, repo_url=STRING,
+)
 INSTALL_SCRIPT_SCHEMA = table(server_id=STRING, file=STRING, hook=STRING, command=STRING)
 CODE_HIT_SCHEMA = table(
     server_id=STRING, seq=LONG, category=STRING, file=STRING, line=INT, snippet=STRING, language=STRING,

@@ -14,7 +14,7 @@ from riskscan.sources import jsontext as J
 
 def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file; the server takes the file's name without its suffix."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     return files.select(stem.alias("server_id"), F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
 
@@ -147,7 +147,7 @@ def parameters(tool_rows: DataFrame) -> DataFrame:
     return rows.select("server_id", "tool_seq", "tool", "pos", F.col("p.name").alias("param"), "p.schema", "p.required")
 
 
-def manifest_tools(files: DataFrame) -> DataFrame:
+def manifest_tools(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """The tools manifest of each repository: known paths first, then any JSON file with named tools.
 
     `files(repo, path, size, text)`; one row per repository that ships one: (repo, path, doc).
@@ -157,7 +157,7 @@ def manifest_tools(files: DataFrame) -> DataFrame:
     )
     rank = F.array_position(F.array(*[F.lit(p) for p in MANIFEST_PATHS]), F.col("path"))
     candidates = (
-        files.where((F.col("size") <= MAX_MANIFEST_BYTES) & F.col("path").endswith(".json"))
+        files.where(F.lit(True) if max_bytes is None else F.col("size") <= max_bytes).where(F.col("path").endswith(".json"))
         .withColumn("place", F.when(rank > 0, rank).otherwise(F.lit(len(MANIFEST_PATHS) + 1)))
         .where((F.col("place") <= len(MANIFEST_PATHS)) | ~skipped)
         .withColumn("v", J.parse(F.col("text")))
@@ -176,7 +176,6 @@ MANIFEST_PATHS = (
     "tools.json", "mcp.json", "server.json", "testdata/tools.json", ".mcp/tools.json", "src/tools.json",
     "src/mcp.json", "test/tools.json", "tools/tools.json",
 )
-MAX_MANIFEST_BYTES = 2_000_000
 # Folders that hold no source of the project itself.
 SKIP_DIRS = (
     ".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "env", ".tox", "dist", "build",

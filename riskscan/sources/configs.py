@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskscan.functions import secrets as S
 from riskscan.functions import urls as U
+from riskscan.schemas import SERVER_SCHEMA, conform
 from riskscan.sources import jsontext as J
 
 # Where clients keep their server tables, and names for the address.
@@ -109,10 +110,10 @@ def _remote_transport(entry: Column, url: Column) -> Column:
 
 
 def servers(configs: DataFrame) -> DataFrame:
-    """Server rows of client configuration files."""
+    """Server rows of client configuration files; what only a running server tells is null."""
     entry = F.col("entry")
     url = _url(entry)
-    return config_entries(configs).select(
+    rows = config_entries(configs).select(
         F.col("name").alias("server_id"), F.col("pos").cast("long").alias("seq"), "name",
         F.when(url.isNotNull(), _remote_transport(entry, url)).otherwise("stdio").alias("transport"),
         F.when(url.isNull(), _command(entry)).alias("command"),
@@ -125,6 +126,7 @@ def servers(configs: DataFrame) -> DataFrame:
         F.col("file").alias("origin"),
         F.lit("config").alias("origin_kind"),
     )
+    return conform(rows, SERVER_SCHEMA)
 
 
 # ---- placeholders ----------------------------------------------------------------------

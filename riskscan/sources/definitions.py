@@ -12,8 +12,6 @@ from riskscan.sources.catalog import SKIPPED_DIRS
 
 JS_STRING = r"(?:\"(?:\\.|[^\"\\])*+\"|'(?:\\.|[^'\\])*+'|`(?:\\.|[^`\\$])*+`)"
 GO_STRING = r"(?:\"(?:[^\"\\\n]|\\.)*+\"|`[^`]*+`)"
-LOOK_AHEAD = 4000
-GO_LOOK_AHEAD = 2000
 
 
 def _unquoted(text: Column) -> Column:
@@ -38,15 +36,15 @@ def _pairs(text: Column, pattern: str, name_group: int, text_group: int, form: i
     )
 
 
-def _with_window(text: Column, head: str, inner: str, window: int, form: int) -> Column:
-    """Names after `head`, each with the first `inner` string in the text that follows."""
+def _with_inner(text: Column, head: str, inner: str, form: int) -> Column:
+    """Names after `head`, each with the first `inner` string up to the next `head`."""
     names = F.regexp_extract_all(text, F.lit(rf"{head}({JS_STRING if form < 10 else GO_STRING})"), F.lit(1))
     after = F.slice(F.split(text, head + (JS_STRING if form < 10 else GO_STRING), -1), F.lit(2), F.size(names) + 1)
     return F.transform(
         names,
         lambda n, i: F.struct(
             F.lit(form).alias("form"), i.alias("pos"), _unquoted(n).alias("name"),
-            _unquoted(F.regexp_extract(F.left(F.get(after, i), F.lit(window)), inner, 1)).alias("description"),
+            _unquoted(F.regexp_extract(F.get(after, i), inner, 1)).alias("description"),
         ),
     )
 
@@ -63,7 +61,7 @@ def javascript_tools(files: DataFrame) -> DataFrame:
     pair = rf"\.tool\s*\(\s*({JS_STRING})\s*,\s*({JS_STRING})"
     obj = rf"\bname\s*:\s*({JS_STRING})\s*,\s*(?:title\s*:\s*{JS_STRING}\s*,\s*)?description\s*:\s*({JS_STRING})"
     found = F.concat(
-        _with_window(text, r"(?:registerTool|addTool)\s*\(\s*", described, LOOK_AHEAD, 1),
+        _with_inner(text, r"(?:registerTool|addTool)\s*\(\s*", described, 1),
         _pairs(text, pair, 1, 2, 2),
         _pairs(text, obj, 1, 2, 3),
     )
@@ -90,8 +88,8 @@ def go_tools(files: DataFrame) -> DataFrame:
     text = F.col("text")
     # A description may be wrapped in a call; the text is then the last string of the call.
     value = rf"(?:[\w.]+\(\s*(?:{GO_STRING}\s*,\s*)?)?({GO_STRING})"
-    calls = _with_window(text, r"mcp\.NewTool\(\s*", rf"mcp\.WithDescription\(\s*{value}", GO_LOOK_AHEAD, 10)
-    bodies = F.regexp_extract_all(text, F.lit(r"(?s)\bmcp\.Tool\s*\{(.{0,20000}?)\n\s*\}"), F.lit(1))
+    calls = _with_inner(text, r"mcp\.NewTool\(\s*", rf"mcp\.WithDescription\(\s*{value}", 10)
+    bodies = F.regexp_extract_all(text, F.lit(r"(?s)\bmcp\.Tool\s*\{(.*?)\n\s*\}"), F.lit(1))
     short = F.regexp_extract_all(text, F.lit(rf"\bmcp\.Tool\s*\{{((?:[^{{}}\"`\n]|{GO_STRING})*+)\}}"), F.lit(1))
     struct = F.transform(
         F.concat(bodies, short),

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from riskscan.functions.globs import glob_regex_col
 from riskscan.operators.skew import top_k
 from riskscan.sources.catalog import SKIPPED_DIRS
 
-# Suffixes, size limit and file limit of a scan.
+# Suffixes.
 PYTHON_SUFFIX = r"\.py$"
 JS_SUFFIX = r"\.(?:js|mjs|cjs|ts|mts|cts|tsx|jsx)$"
-MAX_FILE_BYTES = 5_000_000
-MAX_FILES = 2000
 TEST_FILE = r"^test_|_test\.py$|\.(?:test|spec)\.[jt]s$|^conftest\.py$"
 # What makes a JavaScript file a bundle.
 LONG_LINE = 500
@@ -26,8 +23,8 @@ LONG_LINES = 50
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, text) of every file under a folder that may be source or a manifest."""
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{py,js,mjs,cjs,ts,mts,cts,tsx,jsx,go,rs,json,txt,toml}").text(path)
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.{py,js,mjs,cjs,ts,mts,cts,tsx,jsx,go,rs,json,txt,toml}").text(path, wholetext=True)
     )
     return files.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text")
@@ -47,10 +44,11 @@ def language(path: Column) -> Column:
     return F.when(lower.rlike(PYTHON_SUFFIX), "python").when(lower.rlike(JS_SUFFIX), "javascript")
 
 
-def source_files(files: DataFrame, ignore: DataFrame | None = None, limit: int | None = MAX_FILES) -> DataFrame:
+def source_files(files: DataFrame, ignore: DataFrame | None = None, limit: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """The files a scan reads: `files(server_id, path, size, text)` with paths relative to the project.
 
     `ignore(server_id, pattern)` holds ignore-file lines: a glob, or a folder ending in a slash.
+    Every file is read, unless `limit` or `max_bytes` is set; `left_out` lists what they leave out.
     """
     kept = files.withColumn("language", language(F.col("path"))).where(
         F.col("language").isNotNull()
@@ -58,8 +56,9 @@ def source_files(files: DataFrame, ignore: DataFrame | None = None, limit: int |
         & ~F.col("path").rlike(r"(?:^|/)\.[^/]*/")
         & ~is_test_file(F.col("path"))
         & ~F.col("path").endswith(".d.ts")
-        & (F.col("size") <= MAX_FILE_BYTES)
     )
+    if max_bytes is not None:
+        kept = kept.where(F.col("size") <= max_bytes)
     if ignore is not None:
         rules = ignore.where((F.btrim("pattern") != "") & ~F.col("pattern").startswith("#")).select(
             F.col("server_id").alias("_server"), F.btrim("pattern").alias("_pattern")
@@ -74,6 +73,13 @@ def source_files(files: DataFrame, ignore: DataFrame | None = None, limit: int |
     return top_k(kept, ["server_id"], [F.col("path")], limit, ["path"], rank="place").drop("place")
 
 
+def left_out(files: DataFrame, read: DataFrame) -> DataFrame:
+    """(server_id, path, reason) of source files that limits kept from being read."""
+    source = files.where(language(F.col("path")).isNotNull()).select("server_id", "path", "size")
+    rest = source.join(read.select("server_id", "path"), ["server_id", "path"], "left_anti")
+    return rest.select("server_id", "path", F.lit("not read: over the limits of this scan, or not source of the project").alias("reason"))
+
+
 def split_lines(text: Column) -> Column:
     return F.split(text, r"\r\n|\n|\r")
 
@@ -94,14 +100,15 @@ SERVER_CONSTRUCTOR = {
 }
 
 
-def server_files(files: DataFrame, first: int = 5) -> DataFrame:
-    """Per project and language, the first files that construct a server object."""
+def server_files(files: DataFrame, first: int | None = None) -> DataFrame:
+    """The files that construct a server object; with `first`, so many per project and language."""
     builds = F.lit(False)
     for lang, pattern in SERVER_CONSTRUCTOR.items():
         builds = builds | ((F.col("language") == lang) & F.col("text").rlike(pattern))
-    place = F.row_number().over(W.partitionBy("server_id", "language").orderBy("path"))
-    # The limit on files per project bounds this window.
-    return files.where(builds).withColumn("place", place).where(F.col("place") <= first).drop("place")
+    found = files.where(builds)
+    if first is None:
+        return found
+    return top_k(found, ["server_id", "language"], [F.col("path")], first, ["path"], rank="place").drop("place")
 
 
 ENV_READ = (
@@ -114,8 +121,7 @@ def env_reads(files: DataFrame) -> DataFrame:
     """Environment variables the code reads by name, with the place of the first read."""
     whole = F.regexp_extract_all("text", F.lit(ENV_READ), F.lit(0))
     names = F.transform(whole, lambda m: F.regexp_extract(m, r"([A-Z][A-Z0-9_]{2,})['\"]?\s*\]?$", 1))
-    own = files.where(~((F.col("language") == "javascript") & is_minified(F.col("text"))))
-    rows = own.select("server_id", "path", F.posexplode(names).alias("pos", "name"))
+    rows = files.select("server_id", "path", F.posexplode(names).alias("pos", "name"))
     return rows.groupBy("server_id", "name").agg(F.min(F.struct("path", "pos")).alias("first"))
 
 

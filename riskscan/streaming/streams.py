@@ -58,15 +58,18 @@ def planted_hits(texts: DataFrame, planted: DataFrame) -> DataFrame:
     return texts.join(values, "server_id").where(F.contains("text", F.col("value"))).select("server_id", "ts", "location")
 
 
-def alerts(events: DataFrame) -> DataFrame:
-    """Suspicious programs and outside connections as they happen."""
+def alerts(events: DataFrame, servers: DataFrame | None = None, late: str = "10 minutes") -> DataFrame:
+    """Suspicious programs and outside connections as they happen, each once within the watermark.
+
+    `servers` is a static table: what package launchers fetch at startup raises no alert.
+    """
     programs = R.suspicious_processes(events.where(F.col("kind") == "process")).select(
         "ts", "server_id", F.lit("process").alias("alert"), F.col("program").alias("what"), "phase"
     )
-    outside = R.outside_connections(events.where(F.col("kind") == "connection")).select(
+    outside = R.outside_connections(events.where(F.col("kind") == "connection"), servers).select(
         "ts", "server_id", F.lit("connection").alias("alert"), F.col("remote_address").alias("what"), "phase"
     )
-    return programs.unionByName(outside)
+    return distinct_events(programs.unionByName(outside), ["server_id", "alert", "what", "phase"], late)
 
 
 # ---- windows and watermarks -------------------------------------------------------------------
@@ -108,27 +111,39 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "
 # ---- state ------------------------------------------------------------------------------------
 
 
+def _ending(ttl_ms: int | None) -> str:
+    """State with a time to live needs processing time; a run over what is available at once keeps none."""
+    return "None" if ttl_ms is None else "ProcessingTime"
+
+
 class DriftProcessor(StatefulProcessor):
-    """Keeps the accepted hash of a tool and reports each new one once.
+    """Keeps the accepted hash of a tool and reports each other one once.
 
-    The first hash seen is trusted. A changed hash is reported and remembered as reported;
-    the accepted hash stays until it is accepted from outside.
+    The first hash seen is trusted. Another hash is reported and remembered as reported; the
+    accepted hash stays until it is accepted from outside. State that is not used any more ends
+    by itself after a time.
     """
 
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getValueState("accepted", "hash string")
-        self.reported = handle.getMapState("reported", "hash string", "seen boolean")
+        self.accepted = handle.getValueState("accepted", "hash string", self.ttl_ms)
+        self.reported = handle.getMapState("reported", "hash string", "seen boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        # Order inside a batch is arbitrary; the heap of one tool's rows in one batch is small.
-        for row in sorted(rows, key=lambda r: (r.ts, r.hash)):
-            if not self.accepted.exists():
-                self.accepted.update((row.hash,))
-                continue
-            old = self.accepted.get()[0]
-            if row.hash != old and not self.reported.containsKey((row.hash,)):
-                self.reported.updateValue((row.hash,), (True,))
-                yield Row(server_id=key[0], tool=key[1], ts=row.ts, change="changed", before_hash=old, after_hash=row.hash)
+        # Only the first time of each hash is kept: a tool has few, however often it is observed.
+        first: dict = {}
+        for row in rows:
+            if row.hash not in first or row.ts < first[row.hash]:
+                first[row.hash] = row.ts
+        seen = sorted(first.items(), key=lambda x: (x[1], x[0]))
+        old = self.accepted.get()[0] if self.accepted.exists() else seen[0][0]
+        self.accepted.update((old,))
+        for hash_, ts in seen:
+            if hash_ != old and not self.reported.containsKey((hash_,)):
+                self.reported.updateValue((hash_,), (True,))
+                yield Row(server_id=key[0], tool=key[1], ts=ts, change="changed", before_hash=old, after_hash=hash_)
 
     def close(self) -> None:
         pass
@@ -137,21 +152,24 @@ class DriftProcessor(StatefulProcessor):
 DRIFT_SCHEMA = "server_id string, tool string, ts timestamp, change string, before_hash string, after_hash string"
 
 
-def drift(snapshots: DataFrame) -> DataFrame:
-    """Changed definitions in a stream of observations (ts, server_id, tool, hash)."""
+def drift(snapshots: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Changed definitions in a stream of observations (ts, server_id, tool, hash).
+
+    A stream that runs on should pass `ttl_ms`: state that nothing touches for so long ends.
+    """
     return snapshots.groupBy("server_id", "tool").transformWithState(
-        statefulProcessor=DriftProcessor(), outputStructType=DRIFT_SCHEMA, outputMode="Append", timeMode="None"
+        statefulProcessor=DriftProcessor(ttl_ms), outputStructType=DRIFT_SCHEMA, outputMode="Append", timeMode=_ending(ttl_ms)
     )
 
 
 class TimeoutProcessor(StatefulProcessor):
     """Counts time-outs in a row per server and reports when the limit is reached."""
 
-    def __init__(self, limit: int) -> None:
-        self.limit = limit
+    def __init__(self, limit: int, ttl_ms: int | None = None) -> None:
+        self.limit, self.ttl_ms = limit, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n int")
+        self.count = handle.getValueState("count", "n int", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         n = self.count.get()[0] if self.count.exists() else 0
@@ -165,22 +183,22 @@ class TimeoutProcessor(StatefulProcessor):
         pass
 
 
-def timeout_breaks(calls: DataFrame, limit: int = 2) -> DataFrame:
+def timeout_breaks(calls: DataFrame, limit: int = 2, ttl_ms: int | None = None) -> DataFrame:
     """Calls at which the limit of time-outs in a row is reached: `calls(server_id, ts, seq, timed_out)`."""
     return calls.groupBy("server_id").transformWithState(
-        statefulProcessor=TimeoutProcessor(limit), outputStructType="server_id string, ts timestamp, seq bigint",
-        outputMode="Append", timeMode="None",
+        statefulProcessor=TimeoutProcessor(limit, ttl_ms), outputStructType="server_id string, ts timestamp, seq bigint",
+        outputMode="Append", timeMode=_ending(ttl_ms),
     )
 
 
 class BudgetProcessor(StatefulProcessor):
     """Marks events of a key beyond the first N of a session; a session ends after a quiet time."""
 
-    def __init__(self, budget: int, quiet_ms: int) -> None:
-        self.budget, self.quiet_ms = budget, quiet_ms
+    def __init__(self, budget: int, quiet_ms: int, ttl_ms: int | None = None) -> None:
+        self.budget, self.quiet_ms, self.ttl_ms = budget, quiet_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("used", "n int, last bigint")
+        self.used = handle.getValueState("used", "n int, last bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         n, last = self.used.get() if self.used.exists() else (0, None)
@@ -196,22 +214,22 @@ class BudgetProcessor(StatefulProcessor):
         pass
 
 
-def event_budget(events: DataFrame, budget: int, quiet: str = "30 minutes") -> DataFrame:
+def event_budget(events: DataFrame, budget: int, quiet: str = "30 minutes", ttl_ms: int | None = None) -> DataFrame:
     """Every event with its place in the session of its server, and whether it is over the budget."""
     amount, unit = quiet.split()
     per = {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")]
     return events.groupBy("server_id").transformWithState(
-        statefulProcessor=BudgetProcessor(budget, int(amount) * per),
+        statefulProcessor=BudgetProcessor(budget, int(amount) * per, ttl_ms),
         outputStructType="server_id string, ts timestamp, seq bigint, place int, over boolean",
-        outputMode="Append", timeMode="None",
+        outputMode="Append", timeMode=_ending(ttl_ms),
     )
 
 
 # ---- running --------------------------------------------------------------------------------
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is available and stop, writing Parquet.
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> int:
+    """Process what is available and stop, writing Parquet. Returns how many rows came too late for their watermark.
 
     Append output goes straight to a file sink, which is exactly-once. Update output goes
     through `foreachBatch`, one folder per batch, so a repeated batch overwrites itself.
@@ -222,6 +240,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     else:
         query = writer.outputMode(mode).foreachBatch(batch_writer(path)).start()
     query.awaitTermination()
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:

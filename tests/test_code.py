@@ -43,21 +43,21 @@ def hits(spark):
 @pytest.mark.parametrize(
     ("file", "category", "tool", "params", "detail"),
     [
-        ("ping.py", "command", "ping", ["host"], "runs through a shell"),
+        ("ping.py", "command", "ping", ["host"], "starts a shell command"),
         ("calc.py", "code-eval", "calculate", ["expr"], "eval()"),
         ("load.py", "deserialization", "load", ["blob"], "pickle.loads()"),
         ("note.py", "file-read", "read_note", ["name"], "open()"),
         ("get.py", "network", "get", ["url"], "requests.get()"),
         ("sql.py", "sql", "find", ["name"], ".execute()"),
         ("tpl.py", "template", "render", ["text"], "jinja2.Template()"),
-        ("helper.py", "command", "go", ["a"], "runs through a shell"),
-        ("alias.py", "command", "al", ["q"], "runs through a shell"),
-        ("sync.py", "sensitive-path", "sync", [], "mentions '~/.ssh/id_rsa'"),
-        ("hook.py", "exfil-endpoint", None, [], "hardcoded destination 'https://abc.ngrok-free.app/c'"),
-        ("env.py", "env-dump", None, [], "reads the whole environment"),
-        ("boot.py", "obfuscated-exec", None, [], "runs code that is decoded at run time"),
-        ("back.py", "reverse-shell", None, [], "connects a socket to a shell (os.dup2)"),
-        ("stay.py", "persistence", None, [], "mentions '~/.bashrc'"),
+        ("helper.py", "command", "go", ["a"], "starts a shell command"),
+        ("alias.py", "command", "al", ["q"], "starts a shell command"),
+        ("sync.py", "sensitive-path", "sync", [], "names '~/.ssh/id_rsa'"),
+        ("hook.py", "exfil-endpoint", None, [], "fixed address 'https://abc.ngrok-free.app/c'"),
+        ("env.py", "env-dump", None, [], "takes the environment as a whole"),
+        ("boot.py", "obfuscated-exec", None, [], "decodes text and runs it"),
+        ("back.py", "reverse-shell", None, [], "puts a socket in the place of standard input (dup2)"),
+        ("stay.py", "persistence", None, [], "names '~/.bashrc'"),
     ],
 )
 def test_python_facts(hits, file, category, tool, params, detail):
@@ -95,7 +95,10 @@ def test_javascript_facts(spark):
         [("s", "a.ts", "javascript", JS), ("s", "min.js", "javascript", "eval(x);" * 1000)],
         "server_id string, path string, language string, text string",
     )
-    got = sorted((r.line, r.category, r.tainted) for r in C.javascript_hits(files).collect())
+    rows = C.javascript_hits(files).collect()
+    got = sorted((r.line, r.category, r.tainted) for r in rows if r.file == "a.ts")
+    # Every statement of a bundle is read.
+    assert {(r.line, r.category) for r in rows if r.file == "min.js"} == {(1, "code-eval")} and sum(r.file == "min.js" for r in rows) == 1000
     assert got == [
         (3, "command", True), (4, "command", False), (5, "command", True), (6, "obfuscated-exec", False), (7, "code-eval", False),
         (8, "code-eval", False), (9, "file-write", True), (10, "network", False), (12, "env-dump", False),
@@ -104,6 +107,33 @@ def test_javascript_facts(spark):
     assert [(r.path, r.whole) for r in C.minified_files(files).collect()] == [("min.js", True)]
 
 
+def test_what_is_long_is_read_too(spark):
+    """Wide lines, long literals, calls over several lines, chains of assignments and deep imports."""
+    wide = "a=1;" * 160 + "eval(userInput);"
+    literal = "const u = 'https://" + "x" * 400 + ".webhook.site/1';"
+    chain = HEAD + "@app.tool()\ndef go(v0: str):\n" + "".join(f"    v{i + 1} = v{i}\n" for i in range(20)) + "    os.system(v20)\n"
+    call = HEAD + "@app.tool()\ndef go(a: str, b=max(1, 2), c: str = ''):\n    subprocess.run(\n        'ls ' + c,  # (\n        shell=True,\n    )\n"
+    files = spark.createDataFrame(
+        [("s", "w.js", "javascript", wide), ("s", "l.js", "javascript", literal), ("s", "chain.py", "python", chain), ("s", "call.py", "python", call)],
+        "server_id string, path string, language string, text string",
+    )
+    got = {(r.file, r.category): r for r in C.code_hits(files).collect()}
+    assert ("w.js", "code-eval") in got and ("l.js", "exfil-endpoint") in got
+    assert got["chain.py", "command"].tainted_params == ["v0"]
+    assert (got["call.py", "command"].tainted_params, got["call.py", "command"].detail) == (["c"], "starts a shell command")
+    deep = spark.createDataFrame(
+        [("s", "a/b/c/d/e/f/g/h/i.js", "javascript", "import '../../../../../../../../top.js'"), ("s", "top.js", "javascript", "")],
+        "server_id string, path string, language string, text string",
+    )
+    assert [(r.src, r.dst) for r in G.import_edges(deep).collect()] == [("a/b/c/d/e/f/g/h/i.js", "top.js")]
+
+
+def test_reach_goes_on_to_the_end(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", False) for i in range(16)], "src string, dst string, sanitized boolean")
+    seeds = spark.createDataFrame([("n0", "o")], "node string, origin string")
+    assert G.value_spread(edges, seeds).count() == 17
+
+
 def test_minified(spark):
     texts = ["var a=1;" * 1000, "\n".join(["x"] * 1000 + ["y" * 600] * 60), "const a = 1;\n" * 1000 + "z" * 600, ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -122,8 +152,10 @@ def test_source_tree(spark):
     paths = ["a.py", "b.d.ts", "c.ts", "tests/d.py", "test_e.py", ".h/f.py", "node_modules/g.js", "h.txt", "skip/i.js", "j_test.py", "gen_k.js"]
     files = spark.createDataFrame([("s", p, 10, "x") for p in paths] + [("s", "big.py", 9_000_000, "x")], "server_id string, path string, size long, text string")
     ignore = spark.createDataFrame([("s", "skip/"), ("s", "gen_*.js"), ("s", "# note")], "server_id string, pattern string")
-    assert {r.path for r in T.source_files(files, ignore).collect()} == {"a.py", "c.ts"}
+    assert {r.path for r in T.source_files(files, ignore).collect()} == {"a.py", "c.ts", "big.py"}
     assert T.source_files(files, limit=1).count() == 1
+    some = T.source_files(files, ignore, max_bytes=5_000_000)
+    assert {r.path for r in some.collect()} == {"a.py", "c.ts"} and "big.py" in {r.path for r in T.left_out(files, some).collect()}
     reads = spark.createDataFrame(
         [("s", "a.ts", "javascript", "process.env.NOTION_TOKEN process.env['ENABLE_TOKEN_PASSTHROUGH'] process.env.BASE_URL"),
          ("s", "b.py", "python", "os.getenv('OPENAI_API_KEY')\nos.environ['PORT_NUMBER']")],

@@ -56,13 +56,13 @@ def test_fleet_and_usage(spark, found, statuses):
     tools = spark.createDataFrame([("s", "a"), ("s", "b")], "server_id string, name string")
     errors = spark.createDataFrame([("s", "rules", "x" * 300)], "server_id string, stage string, message string")
     got = {r.server_id: r for r in SU.fleet_summary(found, scores, tools, errors).collect()}
-    assert got["s"].findings == {"A-001": "critical", "B-001": "medium"} and got["s"].tools == 2 and len(got["s"].errors[0]) == 160
+    assert got["s"].findings == {"A-001": "critical", "B-001": "medium"} and got["s"].tools == 2 and len(got["s"].errors[0]) == 300
     assert got["w"].findings == {} and got["w"].tools == 0
     usage = spark.createDataFrame([(1, 0, 5, 6, None), (2, 1, 5, 6, 0.5)], "calls int, failed_calls int, input_tokens int, output_tokens int, cost_usd double")
     assert SU.usage_totals(usage).first().asDict() == {"calls": 3, "failed_calls": 1, "input_tokens": 10, "output_tokens": 12, "cost_usd": 0.5}
     line = lambda st, safe: spark.range(1).select(SU.status_line(F.lit(st), F.lit(safe).cast("boolean"))).first()[0]
-    assert line("failed", False).startswith("failed: the server did not start") and line("completed", True) == "completed (no known issues)"
-    assert "did not finish" in line("partial", None)
+    assert line("failed", False).startswith("failed: no start") and line("completed", True) == "completed (nothing found)"
+    assert "not every check" in line("partial", None)
     flags = spark.createDataFrame([("s", False, True)], "server_id string, connect_skipped boolean, static_only boolean")
     one = lambda col, *vs: spark.createDataFrame([("s", v) for v in vs], f"server_id string, {col} string")
     notes = SU.run_notes(flags, one("name", "A_KEY"), one("path", *"abcd"), one("tool", "t"), one("tool", "u").limit(0)).first().notes
@@ -88,13 +88,23 @@ def test_sarif(spark, found):
     assert {r["level"] for r in run["results"]} == {"error", "warning"}
 
 
+def test_logs_are_bounded_exactly(spark, monkeypatch):
+    monkeypatch.setattr(K, "RESULTS_PER_RUN", 50)
+    from builders import candidates as rows_of
+
+    made = V.validate(rows_of(spark, *[candidate(rule="A-001", location=f"l{i}", target_name=f"t{i}") for i in range(230)]))
+    sizes = sorted(len(json.loads(r.value)["runs"][0]["results"]) for r in K.sarif_documents(made, "x").collect())
+    assert sizes == [30, 50, 50, 50, 50]
+
+
 def test_markdown(spark, found, statuses, tmp_path):
     rows = K.markdown_rows(found, SU.server_summary(found, statuses), S.server_scores(found, statuses))
     K.write_markdown(rows, str(tmp_path / "md"))
     lines = "\n".join(r.value for r in spark.read.text(str(tmp_path / "md")).collect())
     assert "‮" not in lines and "\\u202e" in lines and "Bad \\| thing" in lines
     text = [r.line for r in rows.orderBy("section", "server_id", "part", "place").collect()]
-    assert text[0] == "| s | completed | D | 45 | 1 | 1 | 1 | 0 | 0 |"
+    assert text[0].startswith("| Server | Status |") and "\n|---|" in text[0]
+    assert text[1] == "| s | completed | D | 45 | 1 | 1 | 1 | 0 | 0 |"
     order = [i for i, line in enumerate(text) if "#### [CRITICAL]" in line or "#### [HIGH]" in line or "#### [MEDIUM]" in line]
     assert order == sorted(order) and "[CRITICAL]" in text[order[0]]
     assert any("Suppressed or likely false positives (1)" in line for line in text) and any("Why this score" in line for line in text)

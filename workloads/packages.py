@@ -259,8 +259,8 @@ def launch_packages(spark, sf_dir):
     """
     with p as (select p_brand as server_id, p_partkey as k, p_size % 5 as kind from part)
     select server_id, 'lib-' || cast(k as varchar) as target_name,
-           '''lib-' || cast(k as varchar) || ''' ' || case kind when 0 then 'comes from ''git+https://h.example/' || cast(k as varchar) || ''''
-             when 1 then 'allows any version (''*'')' else 'allows any version (''latest'')' end || '.' as description
+           '''lib-' || cast(k as varchar) || ''' ' || case kind when 0 then 'is fetched from ''git+https://h.example/' || cast(k as varchar) || ''''
+             when 1 then 'may be any version (''*'')' else 'may be any version (''latest'')' end || '.' as description
     from p where kind < 3
     """,
 )

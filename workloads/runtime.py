@@ -8,6 +8,7 @@ from riskscan.operators import drift as D
 from riskscan.operators import graph as G
 from riskscan.operators import runtime as R
 from riskscan.operators.skew import first_per
+from riskscan.streaming import streams as S
 from workloads import query, table
 
 
@@ -63,24 +64,23 @@ def event_first_seen(spark, sf_dir):
 )
 def event_tumbling(spark, sf_dir):
     """STR-04 in batch."""
-    rows = events(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(
-        F.count(F.lit(1)).alias("events"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents")
-    )
-    return rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "events", "cents")
+    ev = events(spark, sf_dir).withColumn("value", F.round(F.col("value") * 100).cast("bigint"))
+    rows = S.tumbling(ev, "event_type", "1 hour")
+    return rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "events", F.col("total").alias("cents"))
 
 
 @query(
     "event_sliding",
     """
-    with e as (select ts, unnest([0, 1, 2, 3]) as k from events)
-    select strftime(time_bucket(interval 15 minutes, ts) - k * interval 15 minutes, '%Y-%m-%d %H:%M:%S') as start, count(*) as events
+    with e as (select ts, event_type, unnest([0, 1, 2, 3]) as k from events)
+    select strftime(time_bucket(interval 15 minutes, ts) - k * interval 15 minutes, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as events
     from e group by all
     """,
 )
 def event_sliding(spark, sf_dir):
     """STR-04, sliding: one hour every fifteen minutes."""
-    rows = events(spark, sf_dir).groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    return rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+    rows = S.tumbling(events(spark, sf_dir), "event_type", "1 hour", slide="15 minutes")
+    return rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "events")
 
 
 @query(
@@ -95,10 +95,8 @@ def event_sliding(spark, sf_dir):
 def event_sessions(spark, sf_dir):
     """STR-05 in batch: bursts of activity."""
     ev = events(spark, sf_dir).withColumn("server_id", server())
-    rows = ev.groupBy(F.session_window("ts", "6 hours").alias("s"), "server_id").agg(
-        F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "error").alias("errors")
-    )
-    return rows.select("server_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", "errors")
+    rows = S.sessions(ev, "server_id", "6 hours")
+    return rows.select("server_id", F.date_format("session.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", "errors")
 
 
 @query(
@@ -124,13 +122,13 @@ def resource_limits(spark, sf_dir):
     "observed_drift",
     f"""
     with e as (select {SERVER_SQL} as server_id, event_type as tool, ts, event_id, 'h' || cast(cast(json_extract(props, '$.k') as integer) // 25 as varchar) as hash from events),
-    l as (select *, lag(hash) over (partition by server_id, tool order by ts, hash) as before from e),
-    c as (select server_id, tool, hash, min((ts, before)) as f from l where before is not null and before <> hash group by all)
-    select server_id, tool, hash as after_hash, f[2] as before_hash, strftime(f[1], '%Y-%m-%d %H:%M:%S') as ts from c
+    b as (select server_id, tool, arg_min(hash, (ts, hash)) as base from e group by all),
+    c as (select server_id, tool, hash, base, min(ts) as first from e join b using (server_id, tool) where hash <> base group by all)
+    select server_id, tool, hash as after_hash, base as before_hash, strftime(first, '%Y-%m-%d %H:%M:%S') as ts from c
     """,
 )
 def observed_drift(spark, sf_dir):
-    """WIN-09, STR-01 in batch: each new definition once, with the one before it."""
+    """WIN-09, STR-01 in batch: each definition other than the first seen, once."""
     number = F.try_variant_get(F.parse_json("props"), "$.k", "int")
     snaps = events(spark, sf_dir).select(
         "ts", server().alias("server_id"), F.col("event_type").alias("tool"),
@@ -156,12 +154,12 @@ EDGE_SQL = """
     + """
     seeds as (select distinct 'n' || cast(p_partkey as varchar) as node, p_brand as origin from part),
     r as (select node, origin, 0 as depth from seeds
-          union select e.dst, r.origin, r.depth + 1 from r join e on e.src = r.node where not e.sanitized and r.depth < 4)
-    select node, origin, min(depth) as depth from r group by all
+          union select e.dst, r.origin, 0 from r join e on e.src = r.node where not e.sanitized)
+    select distinct node, origin from r
     """,
 )
 def value_spread(spark, sf_dir):
-    """UDF-10: which inputs reach which variables in a few rounds; sanitised edges pass nothing."""
+    """UDF-10: which inputs reach which variables, to the end; sanitised edges pass nothing."""
     li = table(spark, sf_dir, "lineitem")
     edges = li.select(
         F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("src"),
@@ -170,7 +168,7 @@ def value_spread(spark, sf_dir):
     )
     node = F.concat(F.lit("n"), F.col("p_partkey").cast("string"))
     seeds = table(spark, sf_dir, "part").select(node.alias("node"), F.col("p_brand").alias("origin"))
-    return G.value_spread(edges, seeds, max_rounds=4).select("node", "origin", "depth")
+    return G.value_spread(edges, seeds).select("node", "origin")
 
 
 @query(

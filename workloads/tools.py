@@ -76,8 +76,8 @@ def with_signals(spark, sf_dir):
     + """
     select brand as server_id, k as tool_seq, name as tool,
            case kind when 0 then 'exec' when 1 then 'fs-read' when 2 then 'network' else 'database' end as capability, kind <> 1 as strong,
-           case kind when 0 then 'free text parameter ''command''' when 1 then 'path parameter ''path'' on a tool that is not about files'
-                when 2 then 'free text URL parameter ''url''' else 'free text SQL parameter ''sql''' end as reason
+           case kind when 0 then 'any text may be given for ''command''' when 1 then 'takes the path ''path'', though it doesn''t speak of files'
+                when 2 then 'any address may be given for ''url''' else 'any statement may be given for ''sql''' end as reason
     from t where kind < 4
     """,
 )
@@ -122,19 +122,11 @@ def reader_sender_pairs(spark, sf_dir):
     "call_policy",
     TOOLS_SQL
     + """
-    select brand as server_id, k as seq, case kind when 0 then 'may have side effects (exec)' when 2 then 'may have side effects (network)'
-           when 3 then 'may have side effects (database)' end as skip_reason from t
+    select brand as server_id, k as seq, case kind when 0 then 'able to act: exec' when 2 then 'able to act: network'
+           when 3 then 'able to act: database' end as skip_reason from t
     """,
 )
 def call_policy(spark, sf_dir):
     """FLT-17: which tools must not be called."""
     rows = K.with_signals(brand_tools(spark, sf_dir))
     return rows.select("server_id", "seq", K.skip_reason().alias("skip_reason"))
-
-
-@query("tool_rule_hits")
-def tool_rule_hits(spark, sf_dir):
-    """All rules about tools, names and servers over every part (rows only: it mixes many rules)."""
-    tools = with_signals(spark, sf_dir)
-    found = RT.tool_candidates(tools).unionByName(RT.name_candidates(tools)).unionByName(RT.server_candidates(tools))
-    return found.groupBy("server_id", "rule_id", "severity").agg(F.count(F.lit(1)).alias("hits"))
