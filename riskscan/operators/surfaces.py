@@ -119,13 +119,17 @@ def schema_nodes(tools: DataFrame) -> DataFrame:
 def _deeper_texts(node: Column) -> Column:
     """Every string below the placed depth, however deep: values, and keys that are no words of the schema language."""
     raw = F.to_json(node["schema"])
-    quoted = r'"((?:[^"\\]|\\.)*)"'
-    plain = lambda s: F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), s, F.lit('"'))), "$", "string")
-    values = F.regexp_extract_all(raw, F.lit(quoted + r"(?!\s*:)"), F.lit(1))
-    keys = F.filter(F.regexp_extract_all(raw, F.lit(quoted + r"\s*:"), F.lit(1)), lambda k: ~k.isin(*SCHEMA_WORDS))
+    string = F.lit(r'"((?:[^"\\]|\\.)*+)"(\s*:)?')
+    found, colons = F.regexp_extract_all(raw, string, F.lit(1)), F.regexp_extract_all(raw, string, F.lit(2))
     place = F.concat(node["path"], F.lit(" > (deeper)"))
-    found = F.array_distinct(F.concat(F.transform(values, lambda v: _text("param-value", place, plain(v))), F.transform(keys, lambda k: _text("param-name", place, plain(k)))))
-    return F.filter(found, lambda t: t["text"].isNotNull())
+
+    def named(s: Column, i: Column) -> Column:
+        is_key = F.get(colons, i) != ""
+        plain = F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), s, F.lit('"'))), "$", "string")
+        kind = F.when(is_key, "param-name").otherwise("param-value")
+        return F.struct(kind.alias("kind"), place.alias("place"), F.when(~(is_key & s.isin(*SCHEMA_WORDS)), plain).alias("text"))
+
+    return F.filter(F.array_distinct(F.transform(found, named)), lambda t: t["text"].isNotNull())
 
 
 def tool_surfaces(tools: DataFrame) -> DataFrame:
