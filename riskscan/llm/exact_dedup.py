@@ -94,6 +94,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = identities(df, id_col, text_col, block)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     groups = rows.groupBy("_n", "_name").agg(best.alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    # Written first: a join of two tables can be split at a hot group, one that ends a grouping can't.
+    groups = saved(groups, "groups")
     return rows.join(groups, ["_n", "_name"]).select(
         "doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256"
     )
