@@ -5,7 +5,7 @@ its group's members (a join of the groups' counts per shard, never pairs of memb
 move to the shard that holds most of them. A quota for each pair of shards decides how much may
 move: what goes both ways, and beyond that what the goal has room for, so that no shard gets more
 than its even part. Larger gains go first, whole groups together, and a group that doesn't fit is
-cut. Rounds end when nothing may move. Documents without links then fill every shard up to the
+cut; what is left turns to other shards with room. Rounds end when nobody asks to move. Documents without links then fill every shard up to the
 even part, along running sums of their sizes.
 
 All steps are DataFrame operations. What reaches the driver is a table of shards by shards.
@@ -80,11 +80,12 @@ def propagated(nodes: DataFrame, links: DataFrame, even: float, shards: int = SH
     in several groups. even: the size that no shard may pass by a move.
     """
     labels = saved(nodes.select("_row", "_size", _bucket("_row", shards, "start").cast("int").alias("_shard")), "labels")
+    closed: set[int] = set()
     for _ in range(rounds):
         load = {r["_shard"]: float(r["_bytes"]) for r in labels.groupBy("_shard").agg(F.sum("_size").alias("_bytes")).collect()}
         room = {s: even - load.get(s, 0.0) for s in range(shards)}
         counts = [F.count_if(F.col("_shard") == s).alias(f"_c{s}") for s in range(shards)]
-        groups = links.join(labels.select("_row", "_shard"), "_row").groupBy("_group").agg(*counts)
+        groups = saved(links.join(labels.select("_row", "_shard"), "_row").groupBy("_group").agg(*counts), "counts")
         seen = links.join(groups, "_group").groupBy("_row").agg(F.min("_group").alias("_group"), *[F.sum(f"_c{s}").alias(f"_c{s}") for s in range(shards)])
         here = seen.join(labels, "_row")
         # Shards with room, and the own one; equal ones in an order that a group's members share.
@@ -92,7 +93,7 @@ def propagated(nodes: DataFrame, links: DataFrame, even: float, shards: int = SH
             F.struct(F.col(f"_c{s}").alias("n"), F.xxhash64("_group", F.lit(s)).alias("tie"), F.lit(s).alias("shard"), (F.col("_shard") == s).alias("own"))
             for s in range(shards)
         ]
-        open_ones = [F.when((F.col("_shard") == s) | F.lit(room[s] > 0), choices[s]) for s in range(shards)]
+        open_ones = [F.when((F.col("_shard") == s) | F.lit(room[s] > 0 and s not in closed), choices[s]) for s in range(shards)]
         all_counts = F.array(*[F.col(f"_c{s}") for s in range(shards)])
         best = here.withColumns({"_best": F.greatest(*open_ones), "_own": F.element_at(all_counts, F.col("_shard") + 1)})
         movers = best.filter("_best.shard != _shard").select(
@@ -101,13 +102,16 @@ def propagated(nodes: DataFrame, links: DataFrame, even: float, shards: int = SH
         movers = saved(movers, "movers")
         wanted = {(r["_shard"], r["_goal"]): float(r["_bytes"]) for r in movers.groupBy("_shard", "_goal").agg(F.sum("_size").alias("_bytes")).collect()}
         accepted = saved(_accepted(movers, quotas(wanted, room), shards), "accepted")
-        moved = accepted.count() if wanted else 0
-        if moved:
+        got = {r["_goal"] for r in accepted.select("_goal").distinct().collect()}
+        # A shard too full for any of those that ask is none to ask for: they turn to others.
+        refused = {goal for _, goal in wanted} - got
+        closed |= refused
+        if got:
             after = saved(labels.join(accepted, "_row", "left").select("_row", "_size", F.coalesce("_goal", "_shard").alias("_shard")), "labels")
             forget(labels)
             labels = after
-        forget(movers, accepted)
-        if not moved:
+        forget(movers, accepted, groups)
+        if not got and not refused:
             break
     return labels
 
@@ -148,6 +152,8 @@ def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), size.alias("_size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.sha2(F.encode(text, "UTF-8"), 256).alias("_sha"))
     rows = saved(rows, "rows")
     groups = rows.groupBy("_sha").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_group")).filter("_n > 1").select("_sha", "_group")
+    # Written first: a join of two tables can be split at a hot group, one that ends a grouping can't.
+    groups = saved(groups, "groups")
     links = saved(rows.join(groups, "_sha").select("_row", "_size", "_group"), "links")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("bytes")).first()
     even = float(total["bytes"] or 0) / shards
