@@ -267,13 +267,13 @@ def severity_rollup(spark, sf_dir):
     "gate_code",
     STATUS_SQL
     + """
-    , w as (select max(sev) filter (status <> 'likely-false-positive') as sev from st),
-    g as (select *, case sev when 4 then 'critical' when 3 then 'high' when 2 then 'medium' when 1 then 'low' else 'info' end as worst from w)
-    select 'from high' as run, cast(case when sev >= 3 then 1 else 0 end as integer) as code, worst from g
-    union all select 'never', 0, worst from g
-    union all select 'partial', 2, worst from g
-    union all select 'partial, from critical', case when sev >= 4 then 1 else 2 end, worst from g
-    union all select 'failed', 2, worst from g
+    , top as (select max(sev) filter (status <> 'likely-false-positive') as sev from st),
+    run as (select *, case sev when 4 then 'critical' when 3 then 'high' when 2 then 'medium' when 1 then 'low' else 'info' end as worst from top)
+    select 'from high' as run, cast(case when sev >= 3 then 1 else 0 end as integer) as code, worst from run
+    union all select 'never', 0, worst from run
+    union all select 'partial', 2, worst from run
+    union all select 'partial, from critical', case when sev >= 4 then 1 else 2 end, worst from run
+    union all select 'failed', 2, worst from run
     """,
 )
 def gate_code(spark, sf_dir):
@@ -448,9 +448,9 @@ def markdown_lines(spark, sf_dir):
     "sarif_logs",
     STATUS_SQL
     + f"""
-    , n as (select server_id, count(*) as n from st group by all),
-    c as (select server_id, n, unnest(range(cast(ceil(n / {K.RESULTS_PER_RUN}) as bigint))) as chunk from n)
-    select server_id, cast(chunk as integer) as chunk, cast(least({K.RESULTS_PER_RUN}, n - chunk * {K.RESULTS_PER_RUN}) as integer) as results from c
+    , sizes as (select server_id, count(*) as n from st group by all),
+    chunks as (select server_id, n, unnest(range(cast(ceil(n / {K.RESULTS_PER_RUN}) as bigint))) as chunk from sizes)
+    select server_id, cast(chunk as integer) as chunk, cast(least({K.RESULTS_PER_RUN}, n - chunk * {K.RESULTS_PER_RUN}) as integer) as results from chunks
     """,
 )
 def sarif_logs(spark, sf_dir):
