@@ -71,7 +71,7 @@ def op3_toxicity(spark, sf_dir):
     model = toxicity.fitted(documents, labels.filter(~held_out))
     rows = toxicity.scored(documents.select("doc_id", "lang", "text"), model)
     return rows.select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "doc_id", held_out.alias("held_out"), "score", ((F.col("score") >= 0.5) & F.lit(model.learned)).cast("int").alias("predicted"),
         toxicity.rejected(model).alias("rejected"),
     )
 
