@@ -1,38 +1,32 @@
-"""Licence scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
+"""Licence scans: overlapping windows of texts meet templates in their shingles, exact containment counts.
 
 Templates are put into classes by size; the block of a class is a power of two that holds its
 templates with a quarter more, for words put in between. A text is read in windows of two blocks
-that overlap by half, so a notice lies whole in one window. A sketch of a window or template is
-its smallest shingle hash in each of a number of bins (one permutation of the hashes, a band per
-bin), and the two meet if they agree in any band.
-
-The setting is chosen for a high collision probability. A shared shingle is hidden from a window's
-sketch only by a smaller one in its bin. With max(256, 8 * block) bins and windows of 2 * block
-shingles that is less likely than 1/8, and 1/64 up to blocks of 8; a template of n shingles with
-0.8 n of them in a window is missed only if all those are hidden: `miss_bound` gives the bound,
-below 1 in 1,000 for every template here. Windows of one shingle hide nothing.
-
-Whether a window's sketch has a template's value is worked out for the values of templates only:
-window shingles meet the templates' bands in a broadcast join of bounded size, and what agrees is
-kept if it is the smallest in its bin. All steps are DataFrame operations; texts stay in their rows.
+that overlap by half, so a notice or a whole licence lies in one window.
+
+Every shingle of every template is looked up in the windows of its class: the hash brings the two
+together, the text decides. What a window holds of a template is counted, so nothing is missed and
+a template costs a window no more than the shingles they share, however long both are. Templates
+come from a list or a table and are dealt into passes of about PASS shingles, which are broadcast;
+a template is whole in its pass, so passes share nothing. All steps are DataFrame operations; texts
+stay in their rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscan.llm.tables import whole
+from riskscan.llm.tables import saved, whole
 
 #: Words in a shingle, containment that counts.
 WORDS, THRESHOLD = 5, 0.8
-#: Least number of bins, and bins per shingle of a block beyond it.
-BINS, BINS_PER_SHINGLE = 256, 8
-#: Templates that may be given: the bands of so many, of up to TEMPLATE_WORDS words, are broadcast.
-TEMPLATES, TEMPLATE_WORDS = 500, 2_000
+#: Shingles of templates in a pass, about: so many are broadcast.
+PASS = 200_000
 WORD = "[\\p{L}\\p{N}_]+"
 
 # Notices as licences and their users word them, with SPDX names.
@@ -96,6 +90,15 @@ NOTICES: list[tuple[str, str]] = [
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
 ]
 
+#: Whole licence texts: a file per SPDX name.
+TEXTS = Path(__file__).with_name("licence_texts")
+
+
+def known() -> list[tuple[int, str, str]]:
+    """The notices and the whole licence texts, numbered."""
+    bodies = [(path.stem, path.read_text(encoding="utf-8")) for path in sorted(TEXTS.glob("*.txt"))]
+    return [(n, licence, text) for n, (licence, text) in enumerate([*NOTICES, *bodies])]
+
 
 def words_of(text: str) -> list[str]:
     return re.findall(r"\w+", text.lower())
@@ -112,19 +115,9 @@ def block_of(shingles: int, threshold: float = THRESHOLD) -> int:
     return 1 if shingles == 1 else 1 << math.ceil(math.log2(shingles / threshold))
 
 
-def bins_of(block: int) -> int:
-    return max(BINS, BINS_PER_SHINGLE * block)
-
-
-def window_of(block: int) -> int:
-    return 1 if block == 1 else 2 * block
-
-
 def miss_bound(shingles: int, threshold: float = THRESHOLD) -> float:
-    """Upper bound of the probability that a template with enough shingles in a window is not retrieved."""
-    block = block_of(shingles, threshold)
-    hidden = (window_of(block) - 1) / (2 * bins_of(block))
-    return hidden ** math.ceil(threshold * shingles) if hidden else 0.0
+    """Upper bound of the probability that a template with enough shingles in a window is not found: all are looked up."""
+    return 0.0
 
 
 def anchors(templates: list[tuple[int, str, str]], threshold: float = THRESHOLD) -> list[str]:
@@ -148,32 +141,37 @@ def _hash(shingle: Column) -> Column:
     return F.xxhash64(shingle)
 
 
-def _bin(value: Column, bins: Column) -> Column:
-    """Bins are ranges of the high bits; bins is a power of two."""
-    return F.shiftrightunsigned(value, 32) % bins
+def _shingles(words: Column) -> Column:
+    last = F.greatest(F.lit(1), F.size(words) - WORDS + 1)
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, WORDS), " "))
+
+
+def template_table(spark: SparkSession, templates: list[tuple[int, str, str]]) -> DataFrame:
+    """template, licence, text."""
+    quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = [f"({int(number)}, {quoted(licence)}, {quoted(text)})" for number, licence, text in templates] or ["(0, '', '')"]
+    return spark.sql(f"select * from values {', '.join(rows)} as t(template, licence, text)")
+
+
+def template_shingles(templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """template, licence, _n, _block, _shingle: a row per distinct shingle of each template; saved."""
+    words = F.regexp_extract_all(F.lower(whole("text")), F.lit(WORD), F.lit(0))
+    own = templates.select("template", "licence", words.alias("_words")).filter(F.size("_words") > 0)
+    own = own.select("template", "licence", F.array_distinct(_shingles(F.col("_words"))).alias("_own")).withColumn("_n", F.size("_own"))
+    block = F.when(F.col("_n") == 1, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_n") / threshold))).cast("int"))
+    return saved(own.select("template", "licence", "_n", block.alias("_block"), F.explode("_own").alias("_shingle")), "licence_shingles")
 
 
-def template_bands(spark: SparkSession, templates: list[tuple[int, str, str]]) -> DataFrame:
-    """_block, _value, template, licence, _shingles: a row per band of each template's sketch."""
-    if len(templates) > TEMPLATES or any(len(words_of(t)) > TEMPLATE_WORDS for _, _, t in templates):
-        raise ValueError(f"at most {TEMPLATES} templates of at most {TEMPLATE_WORDS} words")
-    rows = []
-    for number, licence, text in templates:
-        own = shingles_of(text)
-        if own:
-            quoted = ", ".join("'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'" for s in own)
-            name = licence.replace("\\", "\\\\").replace("'", "\\'")
-            rows.append(f"({int(number)}, '{name}', {block_of(len(own))}, {bins_of(block_of(len(own)))}, array({quoted}))")
-    if not rows:
-        rows = ["(0, '', 1, 1, cast(array() as array<string>))"]
-    table = spark.sql(f"select * from values {', '.join(rows)} as t(template, licence, _block, _bins, _shingles)")
-    each = table.withColumn("_value", F.explode(F.transform("_shingles", _hash)))
-    least = each.groupBy("template", "_block", "_bins", _bin(F.col("_value"), F.col("_bins")).alias("_bin")).agg(F.min("_value").alias("_value"))
-    return least.join(table.select("template", "licence", "_shingles"), "template").select("_block", "_value", "template", "licence", "_shingles")
+def _any_of(words: list[str]) -> str:
+    """A pattern for a text that holds one of the words; words with the same first letter are tried together."""
+    starts: dict[str, list[str]] = {}
+    for word in words:
+        starts.setdefault(word[0], []).append(re.escape(word[1:]))
+    return "(?<![\\p{L}\\p{N}_])(?:" + "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in starts.items()) + ")" if starts else "^$a"
 
 
 def licensed(
-    df: DataFrame, templates: list[tuple[int, str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+    df: DataFrame, templates: DataFrame | list[tuple[int, str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """doc_id, licence, template, containment, first_word: the templates that a text holds.
 
@@ -181,16 +179,19 @@ def licensed(
     shingles (lower case, words only) in one window, if it is at least the threshold, and the number
     of the word where the first such window begins. A template of fewer than five words is one
     shingle and is held only by a text of exactly these words. Null and empty texts hold nothing.
-    Repeated rows are reported each. Only the two named columns are read.
+    Repeated rows are reported each. Only the two named columns are read. templates: a table with
+    template, licence and text or a list of these, of any number and length; else `known`.
     """
     spark = df.sparkSession
-    given = templates if templates is not None else [(n, licence, text) for n, (licence, text) in enumerate(NOTICES)]
-    bands = template_bands(spark, given)
-    blocks = sorted({block_of(len(shingles_of(t))) for _, _, t in given if shingles_of(t)}) or [1]
-    must = anchors(given, threshold)
+    given = templates if isinstance(templates, DataFrame) else template_table(spark, known() if templates is None else templates)
+    shingles = template_shingles(given, threshold)
+    blocks = sorted(r[0] for r in shingles.select("_block").distinct().collect()) or [1]
+    passes = max(1, -(-shingles.count() // PASS))
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.lower(whole(text_col)).alias("_text"))
-    # A text without any of these words can't hold enough of a template: this loses nothing.
-    rows = rows.filter(F.col("_text").rlike("|".join(re.escape(w) for w in must) if must else "^$a"))
+    if passes == 1:
+        # A text without any of these words can't hold enough of a template: this loses nothing.
+        listed = [(r["template"], r["licence"], r["text"]) for r in given.select("template", "licence", whole("text").alias("text")).collect()]
+        rows = rows.filter(F.col("_text").rlike(_any_of(anchors(listed, threshold))))
     rows = rows.select("_row", "doc_id", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words"))
     last = F.greatest(F.lit(1), F.size("_words") - WORDS + 1)
     hashes = F.transform(F.sequence(F.lit(1), last), lambda i: _hash(F.array_join(F.slice(F.col("_words"), i, WORDS), " ")))
@@ -203,14 +204,18 @@ def licensed(
         starts, lambda i: F.struct(i.alias("start"), F.slice("_hashes", i, length).alias("hashes"), F.slice("_words", i, length + WORDS - 1).alias("words"))
     )
     windows = spans.select("_row", "doc_id", "_block", F.explode(cut).alias("_w"))
-    each = windows.withColumn("_value", F.explode("_w.hashes"))
-    # Agreeing in a band: the shared value is the smallest of its bin in the window, as it is in the template.
-    bins = F.greatest(F.lit(BINS), BINS_PER_SHINGLE * F.col("_block"))
-    smaller = F.exists("_w.hashes", lambda h: (h < F.col("_band")) & (_bin(h, bins) == _bin(F.col("_band"), bins)))
-    found = each.join(F.broadcast(bands.withColumn("_band", F.col("_value"))), ["_block", "_value"]).filter(~smaller)
-    last = F.greatest(F.lit(1), F.size("_w.words") - WORDS + 1)
-    texts = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("_w.words", i, WORDS), " "))
-    share = F.size(F.array_intersect("_shingles", texts)) / F.size("_shingles")
-    matched = found.select("_row", "doc_id", "licence", "template", F.col("_w.start").alias("_start"), share.alias("_share")).filter(F.col("_share") >= threshold)
-    best = matched.groupBy("_row", "doc_id", "licence", "template").agg(F.max("_share").alias("containment"), F.min("_start").alias("first_word"))
-    return best.select("doc_id", "licence", "template", "containment", "first_word")
+    each = windows.select("*", F.posexplode("_w.hashes").alias("_at", "_value"))
+    # A shingle counts once in a window, where it stands first.
+    first = F.array_position("_w.hashes", F.col("_value")) == F.col("_at") + 1
+    same = F.array_join(F.slice("_w.words", F.col("_at") + 1, WORDS), " ") == F.col("_shingle")
+    keys = ["_row", "doc_id", "licence", "template"]
+    out = None
+    for number in range(passes):
+        own = shingles.filter(F.pmod(F.xxhash64("template", "licence"), F.lit(passes)) == number).withColumn("_value", _hash(F.col("_shingle")))
+        found = each.join(F.broadcast(own), ["_block", "_value"]).filter(first & same).select(*keys, "_n", F.col("_w.start").alias("_start"))
+        share = (F.count(F.lit(1)) / F.col("_n")).alias("_share")
+        matched = found.groupBy(*keys, "_n", "_start").agg(share).filter(F.col("_share") >= threshold)
+        best = matched.groupBy(*keys).agg(F.max("_share").alias("containment"), F.min("_start").alias("first_word"))
+        best = best.select("doc_id", "licence", "template", "containment", "first_word")
+        out = best if out is None else out.unionByName(best)
+    return out
