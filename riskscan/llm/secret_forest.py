@@ -1,7 +1,8 @@
 """Secret scans: wide candidates, false positives removed by a random forest.
 
-Candidates are runs of letters, digits and a few signs that are long enough for a key. Their
-features are the length, the transitions between characters (changes of character class, and how
+Candidates are runs of letters, digits and a few signs that are long enough for a key, and whole
+values, with all their signs and from six characters on: what stands in quotes, is assigned to a
+key name, is the password of a URL, or has the format of an issued key. Their features are the length, the transitions between characters (changes of character class, and how
 common their letter pairs are in the corpus), how much of them the corpus' own words cover, what
 the path looks like, and the neighbouring words. The forest is trained on labelled findings, a
 bounded sample of them, and scores every candidate.
@@ -21,6 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskscan.functions.secrets import ISSUED_KEYS
 from riskscan.llm.tables import forget, is_empty, saved, whole
 
 #: Shortest candidate.
@@ -34,6 +36,23 @@ DICTIONARY_DOCS = 3
 NEAR = 60
 #: Names whose assigned values the weak labels call secrets.
 KEY_NAMES = "(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+#: A key name and the sign that assigns to it.
+GIVEN = f"{KEY_NAMES}[A-Za-z0-9_-]{{0,64}}[\"'`]?\\s*(?:=>|:=|=|:)\\s*"
+#: An unquoted value: it ends at white space, quotes, brackets, commas and semicolons, and before closing dots and colons.
+BARE = "([^\\s\"'`,;<>(){}\\[\\]]{5,}[^\\s\"'`,;<>(){}\\[\\].:])"
+#: Whole values inside a word, with the group that holds the value.
+VALUES = (
+    ("[\"'`]([^\\s\"'`]{6,})[\"'`]", 1),
+    ("\"([^\\s\"]{6,})\"", 1),
+    (GIVEN + BARE, 3),
+    ("://[^\\s/:@\"'`]{0,256}:([^\\s/\"'`]{6,})@", 1),
+    *((kind.regex, 0) for kind in ISSUED_KEYS if " " not in kind.regex),
+)
+#: A value that the words before assign.
+LATER, VALUE_LATER = f"{GIVEN}$", f"^{BARE}"
+NAME_LAST, SIGN_FIRST = f"{KEY_NAMES}[A-Za-z0-9_-]{{0,64}}[\"'`]?\\s*$", f"^(?:=>|:=|=|:){BARE}"
+#: What a word with a whole value matches, given the words before.
+VALUED = "|".join(f"(?:{regex})" for regex, _ in VALUES)
 VALUE_FEATURES = ("length", "turns", "digits", "uppers", "signs", "distinct", "pairs", "covered")
 PLACE_FEATURES = ("quoted", "assigned", "before_known", "after_known", "before_length", "in_path", "source_path", "test_path")
 
@@ -41,28 +60,47 @@ PLACE_FEATURES = ("quoted", "assigned", "before_known", "after_known", "before_l
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
     """One row per candidate: _row, doc_id, path, word_no, part_no, value, near, before, after; saved.
 
-    Words are what stands between white space; a word may hold several candidates. near is what
-    stands directly before the candidate, within its word and in the word before; before and after
-    are the neighbouring words. Null and empty texts have none; a path that is null counts as empty.
+    Words are what stands between white space; a word may hold several candidates, its runs first
+    and then whole values that are no run themselves. near is what stands directly before the
+    candidate, within its word and in the two words before; before and after are the neighbouring
+    words. Values hold no white space. Null and empty texts have none; a path that is null counts
+    as empty.
     """
     path = F.coalesce(F.col(path_col), F.lit("")) if path_col in df.columns else F.lit("")
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), path.alias("path"), whole(text_col).alias("_text"))
     # Most texts hold none: they are not cut into words.
-    rows = rows.filter(F.col("_text").rlike(CANDIDATE)).select("_row", "doc_id", "path", F.split("_text", "\\s+").alias("_words"))
-    hits = F.filter(F.sequence(F.lit(1), F.size("_words")), lambda i: F.element_at("_words", i.cast("int")).rlike(CANDIDATE))
-    at = rows.withColumn("word_no", F.explode(hits))
+    some = F.col("_text").rlike(CANDIDATE) | F.col("_text").rlike(VALUED)
+    rows = rows.filter(some).select("_row", "doc_id", "path", F.split("_text", "\\s+").alias("_words"))
 
-    def word(offset: int) -> Column:
-        place = F.col("word_no") + offset
+    def word(place: Column) -> Column:
         return F.when((place < 1) | (place > F.size("_words")), "").otherwise(F.get("_words", place - 1))
 
-    two = F.concat(word(-2), F.lit(" "), word(-1))
-    own = at.select("_row", "doc_id", "path", "word_no", word(0).alias("_word"), F.right(two, F.lit(NEAR)).alias("_two"), F.right(word(-1), F.lit(NEAR)).alias("before"), F.left(word(1), F.lit(NEAR)).alias("after"))
+    def two(place: Column) -> Column:
+        return F.right(F.concat(word(place - 2), F.lit(" "), word(place - 1)), F.lit(NEAR))
+
+    def later(before: Column, own: Column) -> Column:
+        return (own.rlike(VALUE_LATER) & before.rlike(LATER)) | (own.rlike(SIGN_FIRST) & before.rlike(NAME_LAST))
+
+    def hit(i: Column) -> Column:
+        own = F.element_at("_words", i.cast("int"))
+        # Only words of six characters or more can hold a value.
+        return (F.length(own) >= 6) & (own.rlike(CANDIDATE) | own.rlike(VALUED) | later(two(i.cast("int")), own))
+
+    at = rows.withColumn("word_no", F.explode(F.filter(F.sequence(F.lit(1), F.size("_words")), hit)))
+    no = F.col("word_no")
+    own = at.select("_row", "doc_id", "path", "word_no", word(no).alias("_word"), two(no).alias("_two"), F.right(word(no - 1), F.lit(NEAR)).alias("before"), F.left(word(no + 1), F.lit(NEAR)).alias("after"))
     cut = own.withColumns({"_values": F.regexp_extract_all("_word", F.lit(CANDIDATE), F.lit(0)), "_between": F.split("_word", CANDIDATE, -1)})
-    each = cut.select("*", F.posexplode("_values").alias("part_no", "value"))
-    left = F.right(F.get("_between", F.col("part_no")), F.lit(NEAR))
-    near = F.when(F.col("part_no") == 0, F.concat(F.col("_two"), F.lit(" "), left)).otherwise(left)
-    return saved(each.select("_row", "doc_id", "path", "word_no", "part_no", "value", near.alias("near"), "before", "after"), "candidates")
+    inside = [F.regexp_extract_all("_word", F.lit(regex), F.lit(group)) for regex, group in VALUES]
+    assigned = F.when(F.col("_two").rlike(LATER), F.regexp_extract("_word", VALUE_LATER, 1)).when(F.col("_two").rlike(NAME_LAST), F.regexp_extract("_word", SIGN_FIRST, 1))
+    more = F.array_except(F.concat(*inside, F.array(F.coalesce(assigned, F.lit("")))), F.array_append("_values", F.lit("")))
+    left = lambda i: F.right(F.get("_between", i), F.lit(NEAR))
+    runs = F.transform(
+        "_values", lambda v, i: F.struct(v.alias("value"), F.when(i == 0, F.concat(F.col("_two"), F.lit(" "), left(i))).otherwise(left(i)).alias("near"))
+    )
+    front = lambda v: F.concat(F.col("_two"), F.lit(" "), F.substr("_word", F.lit(1), F.instr(F.col("_word"), v) - 1))
+    wholes = F.transform(more, lambda v: F.struct(v.alias("value"), F.right(front(v), F.lit(NEAR)).alias("near")))
+    each = cut.select("*", F.posexplode(F.concat(runs, wholes)).alias("part_no", "_found"))
+    return saved(each.select("_row", "doc_id", "path", "word_no", "part_no", "_found.value", "_found.near", "before", "after"), "candidates")
 
 
 def dictionary(df: DataFrame, text_col: str = "text", least: int = DICTIONARY_DOCS) -> DataFrame:
@@ -93,12 +131,12 @@ def value_features(values: DataFrame, words: DataFrame) -> DataFrame:
     size = F.length("value")
 
     def share(kind: str) -> Column:
-        return F.length(F.regexp_replace("value", f"[^{kind}]", "")) / size
+        return F.length(F.regexp_replace("value", f"[{kind[1:] if kind[0] == '^' else '^' + kind}]", "")) / size
 
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]+", "l"), "[A-Z]+", "u"), "[0-9]+", "d"), "[^lud]+", "s")
     plain = values.withColumns(
         {
-            "length": size.cast("double"), "turns": (F.length(kinds) - 1) / size, "digits": share("0-9"), "uppers": share("A-Z"), "signs": share("+/=_\\-"),
+            "length": size.cast("double"), "turns": (F.length(kinds) - 1) / size, "digits": share("0-9"), "uppers": share("A-Z"), "signs": share("^A-Za-z0-9"),
             "distinct": F.size(F.array_distinct(F.split("value", ""))) / size,
         }
     )
