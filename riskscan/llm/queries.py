@@ -128,3 +128,25 @@ def op1_secret_scan(spark, sf_dir):
     found = S.candidates(documents)
     learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     return S.scan(documents, found, S.by_assignment(found.filter(learn))).withColumn("held_out", ~learn)
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    """Runs of repeated words in all documents; every tenth one has a stretch of a known period put in."""
+    from riskscan.llm.periodic_runs import periodic_runs
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = periodic_runs(table(spark, sf_dir, "documents"), seed=F.when(h % 10 == 0, F.floor(h / 10)))
+    # Greatest length / period without rounding: by cross-multiplication.
+    more = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    order = lambda x, y: (
+        F.when(more(x, y) > 0, -1).when(more(x, y) < 0, 1).when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1)
+        .when(x["period"] < y["period"], -1).when(x["period"] > y["period"], 1).otherwise(0)
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = rows.withColumn("best", F.get(F.array_sort("runs", order), F.lit(0)))
+    return best.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.floor(F.expr("best.length * 1000 div best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
