@@ -150,3 +150,20 @@ def op11_periodic_runs(spark, sf_dir):
         F.col("best.period").alias("period"), F.floor(F.expr("best.length * 1000 div best.period")).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
     )
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf_dir):
+    """Links between the tokens of a byte-level and a piece tokenizer in all documents, with their counts over the corpus."""
+    import public_tokenizers
+
+    from riskscan.llm import token_alignment as A
+    from riskscan.llm.tables import saved
+
+    a_path, b_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = A.aligned(table(spark, sf_dir, "documents"), a_path, b_path)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    rows = saved(rows.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return A.scored(rows, A.aligner(a_path, b_path).b_size).select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared"
+    )
