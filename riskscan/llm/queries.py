@@ -167,3 +167,14 @@ def op13_token_alignment(spark, sf_dir):
     return A.scored(rows, A.aligner(a_path, b_path).b_size).select(
         F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared"
     )
+
+
+@query("op12_language_id")
+def op12_language_id(spark, sf_dir):
+    """The language of all documents by context trees learned from three quarters of them."""
+    from riskscan.llm import language_ppm as L
+
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = L.fitted(documents.filter(~held_out).select("doc_id", "text", "lang"))
+    return L.predicted(documents.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
