@@ -33,6 +33,8 @@ SAMPLE_ROWS, SAMPLE_CHARS, ALL_CHARS = 800, 500_000, 16_000_000
 #: Bytes of texts that are scored as one array.
 TOGETHER = 1 << 20
 UNKNOWN = "und"
+#: Values of the hash that orders ids.
+HASHES = 1 << 40
 
 
 class Level(NamedTuple):
@@ -143,9 +145,13 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHA
     Languages are a set of tags, each of which is a part of the model.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).withColumn("_h", F.xxhash64("doc_id"))
-    # Only ids go to the window; all but the first of each language are dropped before the shuffle.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    picked = saved(usable.select("doc_id", "lang", "_h").filter("doc_id is not null").distinct().withColumn("_k", place).filter(F.col("_k") <= rows), "picked")
+    ids = usable.filter("doc_id is not null").select("doc_id", "lang", "_h")
+    # Only the lowest hashes can be picked: a language with more ids than wanted sends its share of them to the window.
+    share = F.least(F.lit(1.0), F.lit(8.0 * rows) / F.approx_count_distinct("doc_id"))
+    wanted = ids.groupBy("lang").agg(F.floor(share * F.lit(float(HASHES))).alias("_below"))
+    low = ids.join(F.broadcast(wanted), "lang").filter(F.pmod("_h", F.lit(HASHES)) <= F.col("_below"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(HASHES)), "doc_id"))
+    picked = saved(low.distinct().withColumn("_k", place).filter(F.col("_k") <= rows), "picked")
     counted = picked.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     each = max(1, min(chars, together // max(1, counted.count())))
     picked = picked.join(F.broadcast(counted.withColumn("_most", F.greatest(F.lit(1), F.floor(F.lit(each) / F.col("_n"))).cast("int"))), "lang")

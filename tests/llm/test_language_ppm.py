@@ -95,3 +95,13 @@ def test_sample_is_bounded(spark):
     got = L.sample(labelled, rows=40, chars=2000, together=3000).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()
     assert sorted(r["lang"] for r in got) == ["l0", "l1", "l2"]
     assert all(r["n"] == 40 and 0 < r["c"] <= 1000 for r in got)
+
+
+def test_a_frequent_language_sends_few_ids_to_its_window(spark):
+    """The picked rows are those of the lowest hashes, as if all had been ordered."""
+    rows = [(i, f"word{i}", "big" if i % 20 else "small") for i in range(6000)] + [(1, "word1", "big")] * 500
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["text"] for r in L.sample(labelled, rows=30).collect()}
+    order = labelled.distinct().withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(L.HASHES)))
+    want = {r["text"] for x in ("big", "small") for r in order.filter(F.col("lang") == x).orderBy("h", "doc_id").limit(30).collect()}
+    assert got == want and len(got) == 60
