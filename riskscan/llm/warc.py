@@ -21,10 +21,10 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskscan.llm.tables import arrow_rows, fresh_folder, saved, whole
+from riskscan.llm.tables import arrow_rows, fresh_folder, is_empty, saved, whole
 
 #: Bytes after which a new archive is begun.
 ARCHIVE = 256 << 20
@@ -35,11 +35,6 @@ LEAST_SHARED = 0
 INDEX = "page_id {id}, url string, archive string, offset bigint, length bigint, payload_digest string, record_type string, refers_to {id}"
 
 
-def digest(payload: Column) -> Column:
-    """Hex SHA-1 of a payload, for grouping."""
-    return F.sha1(payload)
-
-
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -56,14 +51,14 @@ def _member(fields: list[tuple[str, str]], payload: bytes) -> bytes:
     return pack.compress(head.encode() + payload + b"\r\n\r\n") + pack.flush()
 
 
-def _record(page_id: object, url: str, payload: bytes, at: str, shown: str, revisit: bool, refers_to: object) -> bytes:
+def _record(page_id: object, url: str, payload: bytes, size: int, at: str, shown: str, revisit: bool, refers_to: object) -> bytes:
     """A response with its payload, or a revisit of the page named, which keeps the header only."""
     url = "".join(url.split())
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", at)]
     fields += [("WARC-Target-URI", url or f"urn:page:{page_id}"), ("WARC-Payload-Digest", f"sha1:{shown}")]
     if revisit:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to))]
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     return _member([*fields, ("Content-Type", "application/http; msgtype=response")], head if revisit else head + payload)
 
 
@@ -74,20 +69,44 @@ def _open(folder: str):
 
 
 def revisits(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
-    """_row, _id, url, _payload, _refers: of equal payloads of at least `least` bytes the largest page_id is the response.
+    """_id, url, _payload, _size, _digest, _refers, _revisit: one row per record. pages: _id, url, _payload.
+
+    Of equal payloads of at least `least` bytes the largest page_id is the response; of rows that
+    share it, one with the greatest URL. The others revisit it and carry no payload. A payload
+    whose pages all have no id has one response too. Payloads are equal if their SHA-256 and size are.
 
-    Of rows that repeat this id one is the response, the others revisit it. A payload whose
-    pages all have no id has one response too.
+    Rows are told apart by what they hold and counted, never by numbers given on the way: pages
+    that come from a shuffle may come in another order when they are read again.
     """
-    shared = F.octet_length("_payload") >= least
-    # Short payloads are alone, each under a key of its own.
-    key = F.when(shared, digest(F.col("_payload"))).otherwise(F.concat(F.lit("row "), F.col("_row").cast("string")))
-    keyed = pages.withColumn("_key", key)
-    narrow = saved(keyed.select("_key", "_id", "_row"), "payload-keys")
-    order = F.struct(F.col("_id").isNotNull().alias("some"), "_id", "_row")
-    first = narrow.groupBy("_key").agg(F.max(order).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    again = narrow.join(first, "_key").filter("_row != _first._row").select("_row", F.col("_first._id").alias("_refers"), F.lit(True).alias("_revisit"))
-    return keyed.drop("_key").join(again, "_row", "left")
+    payload, shared = F.col("_payload"), F.octet_length("_payload") >= least
+    digests = {"_size": F.octet_length(payload).cast("long"), "_digest": F.sha1(payload), "_key": F.sha2(payload, 256)}
+    sized = pages.select("_id", "url", "_payload").withColumns(digests)
+    none, no = F.lit(None).cast(pages.schema["_id"].dataType), F.lit(False)
+    short = sized.filter(~shared).select("_id", "url", "_payload", "_size", "_digest", none.alias("_refers"), no.alias("_revisit"))
+    keyed = sized.filter(shared)
+    # Repeated rows are counted by part, so that no row of this table stands for a hot page alone.
+    rows = keyed.withColumn("_part", F.spark_partition_id()).groupBy("_key", "_size", "_digest", "_id", "url", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    rows = saved(rows, "payload-keys")
+    order = F.struct(F.col("_id").isNotNull().alias("some"), "_id", "url", "_part")
+    first = rows.groupBy("_key", "_size").agg(F.max(order).alias("_first"))
+    with_first = rows.join(first, ["_key", "_size"])
+    same = F.col("_id").eqNullSafe(F.col("_first._id")) & F.col("url").eqNullSafe(F.col("_first.url"))
+    more = F.col("_n") - F.when(same & (F.col("_part") == F.col("_first._part")), 1).otherwise(0)
+    copies = with_first.withColumn("_more", more).filter("_more > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_more"))))
+    again = copies.select("_id", "url", F.lit(None).cast("binary").alias("_payload"), "_size", "_digest", F.col("_first._id").alias("_refers"), F.lit(True).alias("_revisit"))
+    chosen = saved(with_first.filter(same).groupBy("_key", "_size", "_id", "url").agg(F.sum("_n").alias("_same")), "responses")
+
+    def responses(wanted: DataFrame) -> DataFrame:
+        w = wanted.select(*[F.col(c).alias(f"_of{c}") for c in ("_key", "_size", "_id", "url")])
+        at = [keyed[c].eqNullSafe(w[f"_of{c}"]) for c in ("_key", "_size", "_id", "url")]
+        return keyed.join(w, at[0] & at[1] & at[2] & at[3]).drop(*w.columns)
+
+    once = responses(chosen.filter("_same = 1"))
+    repeated = chosen.filter("_same > 1")
+    if not is_empty(repeated):
+        once = once.unionByName(responses(repeated).dropDuplicates(["_key", "_size"]))
+    answered = once.select("_id", "url", "_payload", "_size", "_digest", none.alias("_refers"), no.alias("_revisit"))
+    return answered.unionByName(again) if least <= 0 else answered.unionByName(again).unionByName(short)
 
 
 class _Archives:
@@ -119,7 +138,7 @@ class _Archives:
 
 
 def written(pages: DataFrame, folder: str, archive: int = ARCHIVE) -> DataFrame:
-    """The index, saved: one row per record. pages: _id, url, _payload, _refers, _revisit."""
+    """The index, saved: one row per record. pages: what `revisits` gives."""
     arrow_rows(pages.sparkSession, 300)
     begun = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -129,8 +148,8 @@ def written(pages: DataFrame, folder: str, archive: int = ARCHIVE) -> DataFrame:
             for batch in batches:
                 rows, digests, kinds = [], [], []
                 for row in batch.to_pylist():
-                    shown, again = base32_sha1(row["_payload"]), bool(row["_revisit"])
-                    rows.append(archives.put(_record(row["_id"], row["url"] or "", row["_payload"], begun, shown, again, row["_refers"])))
+                    shown, again = base64.b32encode(bytes.fromhex(row["_digest"])).decode(), row["_revisit"]
+                    rows.append(archives.put(_record(row["_id"], row["url"] or "", row["_payload"] or b"", row["_size"], begun, shown, again, row["_refers"])))
                     digests.append(shown)
                     kinds.append("revisit" if again else "response")
                 names, offsets, lengths = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
@@ -145,7 +164,7 @@ def written(pages: DataFrame, folder: str, archive: int = ARCHIVE) -> DataFrame:
             archives.close()
 
     id_type = pages.schema["_id"].dataType.simpleString()
-    return saved(pages.select("_id", "url", "_payload", "_refers", "_revisit").mapInArrow(run, INDEX.format(id=id_type)), "index")
+    return saved(pages.select("_id", "url", "_payload", "_size", "_digest", "_refers", "_revisit").mapInArrow(run, INDEX.format(id=id_type)), "index")
 
 
 def ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = RANGE) -> list[tuple[int, int, int]]:
@@ -223,5 +242,4 @@ def archived(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     spark = df.sparkSession
     folder = fresh_folder(spark, "warc")
     source = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.encode(whole(html_col), "UTF-8").alias("_payload"))
-    rows = source.withColumn("_row", F.monotonically_increasing_id())
-    return written(revisits(rows, least), folder), folder
+    return written(revisits(source, least), folder), folder

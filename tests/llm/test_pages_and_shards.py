@@ -128,6 +128,34 @@ def test_archives_are_bounded_and_may_be_empty(spark):
     assert none.count() == 0 and warc.read(none, folder).count() == 0
 
 
+@pytest.mark.parametrize("small_parts", [False, True])
+def test_no_payload_is_lost_on_pages_from_a_shuffle(spark, small_parts):
+    """Copies of many pages, through a repartition, a join and a union, with large and with small shuffle parts."""
+    texts = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.concat(F.lit("text "), F.col("id") % 130).alias("html"))
+    base = texts.unionByName(texts.filter("page_id % 50 = 0"))
+    named = spark.range(400).select(F.col("id").alias("page_id"), (F.col("id") + 1).alias("extra"))
+    made = {
+        "repartition": base.repartition(7), "by id": base.repartition(13, "page_id"), "join": base.join(named.repartition(9), "page_id").select("page_id", "url", "html"),
+        "union": base.filter("page_id < 200").repartition(5).unionByName(base.filter("page_id >= 200").repartition(3)), "distinct": base.groupBy("page_id", "url", "html").agg(F.count("*").alias("n")).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n"),
+    }
+    rows = [(r.page_id, r.html) for r in base.collect()]
+    want = Counter()
+    for html in {h for _, h in rows}:
+        own = sorted(i for i, h in rows if h == html)
+        want.update((i, "revisit", own[-1]) for i in own[:-1])
+        want[own[-1], "response", None] += 1
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "60kb" if small_parts else "64mb")
+    try:
+        for name, df in made.items():
+            index, folder = warc.archived(df)
+            back = warc.read(index, folder).collect()
+            assert Counter((r.page_id, r.read_type, r.refers_to) for r in back) == want, name
+            assert {r.payload.decode() for r in back if r.read_type == "response"} == {h for _, h in rows}, name
+    finally:
+        spark.conf.unset(key)
+
+
 def test_ranges():
     assert warc.ranges([(0, 10), (10, 5), (40, 5), (200, 5)], gap=30, most=100) == [(0, 45, 3), (200, 205, 1)]
     assert warc.ranges([(0, 60), (60, 60)], gap=30, most=100) == [(0, 60, 1), (60, 120, 1)]
