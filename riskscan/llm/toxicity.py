@@ -183,6 +183,11 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str], seed: int = 7)
         there = (hashes[np.minimum(r, size - 2)] == h) if size > 1 else np.zeros(len(h), bool)
         ids.append(np.concatenate([MARGIN, np.where(there, r + 1, 0).astype(np.int32), MARGIN]))
     model = Model(hashes, embeddings, filters, biases, out, out_bias, learned=size > 1 and len(set(labels[fitting].tolist())) == 2)
+    if not model.learned:
+        # Nothing tells texts apart: all score the share of label 1, which is next to 0 without rows.
+        ones = float(labels.mean()) if len(labels) else 0.0
+        model.scale, model.shift = 0.0, float(np.log(max(ones, 1e-9) / max(1 - ones, 1e-9)))
+        return model
     # Adagrad; pooling sends each filter's gradient to one place in a text, so only the words there move.
     dense = {"out": model.out} | {f"f{k}": f for k, f in enumerate(filters)} | {f"b{k}": v for k, v in enumerate(biases)}
     memory = {key: np.full(value.shape, 1e-3) for key, value in dense.items()}

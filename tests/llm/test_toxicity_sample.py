@@ -56,3 +56,18 @@ def test_sample_takes_short_texts_first_and_bounds_long_ones(spark):
 
 def test_level():
     assert [toxicity.level(x, 30) for x in ([], [5], [10, 20], [100], [4, 50, 60], [30, 30, 30])] == [0, 5, 20, 30, 13, 10]
+
+
+@pytest.mark.parametrize("labels", ["false", "toxic = 1", "toxic = 0", "doc_id < 2"])
+def test_predicted_is_the_score_at_a_half_with_any_labels(spark, tmp_path, labels):
+    """The contract's column: 1 at 0.5 or more, whatever could be learned; the score is then the share of label 1."""
+    from riskscan.llm import queries
+
+    _, folder = written(spark, tmp_path, corpus(60, 40), labels)
+    got = queries.QUERIES["op3_toxicity"](spark, folder).collect()
+    assert len(got) == 60 and all(r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got)
+    assert not any(r["rejected"] for r in got)
+    if labels == "toxic = 1":
+        assert all(r["predicted"] == 1 for r in got)
+    if labels in ("false", "toxic = 0"):
+        assert all(r["predicted"] == 0 for r in got)
