@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from riskscan.functions.hashing import canonical_json, definition_hash
 
@@ -85,3 +86,34 @@ def observed_changes(snapshots: DataFrame) -> DataFrame:
     return changed.select(
         "server_id", "tool", "ts", F.lit("changed").alias("change"), "before_hash", F.col("hash").alias("after_hash"), F.lit(IN_SESSION).alias("when")
     )
+
+
+def replayed_changes(observations: DataFrame, acceptances: DataFrame | None = None, pins: DataFrame | None = None) -> DataFrame:
+    """What a stream of observations and acceptances reports, from the tables of both.
+
+    `observations(ts, server_id, tool, hash, arrival)`, `acceptances(ts, server_id, tool, hash,
+    arrival)`, `pins(server_id, tool, hash)`; `arrival` numbers what arrived together. An acceptance
+    counts from the arrival it came with on, and the last of an arrival wins; one without a hash
+    trusts what is seen next. From then on each hash other than the accepted one is reported once:
+    (server_id, tool, ts, change, before_hash, after_hash). Without a pin the first hash is trusted.
+
+    Observations are reduced to one row per tool, hash and arrival before anything is ordered.
+    """
+    key = ["server_id", "tool"]
+    seen = observations.groupBy(*key, "arrival", "hash").agg(F.min("ts").alias("ts")).withColumn("_kind", F.lit(1))
+    if acceptances is not None:
+        last = acceptances.groupBy(*key, "arrival").agg(F.max_by("hash", F.struct("ts", "hash")).alias("_accepted"))
+        seen = seen.unionByName(last.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    else:
+        seen = seen.withColumn("_accepted", F.lit(None).cast("string"))
+    upto = W.partitionBy(*key).orderBy("arrival", "_kind").rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = seen.withColumn("_epoch", F.sum(F.when(F.col("_kind") == 0, 1).otherwise(0)).over(upto))
+    first = F.min_by(F.struct("ts", "hash"), F.when(F.col("_kind") == 1, F.struct("arrival", "ts", "hash")))
+    epochs = rows.groupBy(*key, "_epoch").agg(F.max("_accepted").alias("_given"), first.alias("_first"))
+    if pins is not None:
+        old = pins.select(*key, F.col("hash").alias("_pinned"), F.lit(0).cast("bigint").alias("_epoch"))
+        epochs = epochs.join(old, [*key, "_epoch"], "left").withColumn("_given", F.coalesce("_given", "_pinned"))
+    base = epochs.select(*key, "_epoch", F.coalesce("_given", "_first.hash").alias("before_hash"))
+    found = rows.where("_kind = 1").groupBy(*key, "_epoch", "hash").agg(F.min_by("ts", F.struct("arrival", "ts")).alias("ts"))
+    changed = found.join(base, [*key, "_epoch"]).where(F.col("hash") != F.col("before_hash"))
+    return changed.select(*key, "ts", F.lit("changed").alias("change"), "before_hash", F.col("hash").alias("after_hash"))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from riskscan.functions import secrets as S
 from riskscan.functions import urls as U
 from riskscan.functions.packages import command_basename
-from riskscan.operators.skew import split_running
+from riskscan.operators.skew import split_lag, split_running
 
 # Program names.
 SHELLS = ("sh", "bash", "zsh", "dash", "fish", "cmd", "powershell", "pwsh")
@@ -217,28 +217,80 @@ def limit_breaks(ticks: DataFrame, memory_mb: float, processes: int, cpu_seconds
     return broken.groupBy("server_id").agg(F.min_by("reason", F.col("tick.start")).alias("reason"), F.min("tick.start").alias("ts"))
 
 
-def timeout_runs(calls: DataFrame, key: str, ts: str, order: Sequence[str], timed_out: Column, bucket: str = "day") -> DataFrame:
-    """Adds `in_a_row`: how many time-outs in a row end at each call (0 for other calls).
+def since_reset(
+    rows: DataFrame, key: str, ts: str, order: Sequence[str], amount: Column, reset: Column, name: str, bucket: str = "day"
+) -> DataFrame:
+    """Adds `name`: the sum of `amount` per key since the last row that is a reset, that row included.
 
-    Time-outs so far, minus time-outs so far at the last call that was none. Both are running
-    values per key, computed per time bucket with carried totals, so a busy key is not one task.
+    The sum so far, minus the sum before the last reset. Both are running values per key, computed
+    per time bucket with carried totals, so a busy key is not one task. Amounts are not negative.
     """
-    rows = calls.withColumn("_hit", timed_out.cast("int"))
+    at = F.date_trunc(bucket, F.col(ts))
     running = split_running(
-        rows, key, [F.col(c) for c in order], F.date_trunc(bucket, F.col(ts)), {"_so_far": F.col("_hit")}
-    )
-    # The running value at resets never falls, so its running maximum is the value at the last reset.
-    at_reset = F.when(F.col("_hit") == 0, F.col("_so_far"))
-    marked = running.withColumn("_reset", at_reset).withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
+        rows.withColumn("_amount", amount.cast("bigint")).withColumn("_is_reset", reset), key, [F.col(c) for c in order], at,
+        {"_so_far": F.col("_amount")},
+    )
+    # The sum before a reset never falls, so its running maximum is the value at the last reset.
+    before = F.when(F.col("_is_reset"), F.col("_so_far") - F.col("_amount"))
+    marked = running.withColumn("_reset", before).withColumn("_bucket", at)
     inside = W.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     tops = marked.groupBy(key, "_bucket").agg(F.max("_reset").alias("_top"))
     carried = tops.select(key, "_bucket", F.coalesce(F.max("_top").over(earlier), F.lit(0)).alias("_before"))
     joined = marked.withColumn("_in", F.max("_reset").over(inside)).join(carried, [key, "_bucket"])
     last = F.greatest(F.coalesce("_in", F.lit(0)), F.col("_before"))
-    return joined.withColumn("in_a_row", F.when(F.col("_hit") == 1, F.col("_so_far") - last).otherwise(F.lit(0))).drop(
-        "_hit", "_so_far", "_reset", "_bucket", "_in", "_before"
-    )
+    return joined.withColumn(name, F.col("_so_far") - last).drop("_amount", "_is_reset", "_so_far", "_reset", "_bucket", "_in", "_before")
+
+
+def timeout_runs(calls: DataFrame, key: str, ts: str, order: Sequence[str], timed_out: Column, bucket: str = "day") -> DataFrame:
+    """Adds `in_a_row`: how many time-outs in a row end at each call (0 for other calls).
+
+    `timed_out` may be a number: a row of n stands for n time-outs in a row.
+    """
+    rows = calls.withColumn("_hit", timed_out.cast("int"))
+    found = since_reset(rows, key, ts, order, F.col("_hit"), F.col("_hit") == 0, "_run", bucket)
+    return found.withColumn("in_a_row", F.when(F.col("_hit") > 0, F.col("_run")).otherwise(F.lit(0))).drop("_hit", "_run")
+
+
+def session_places(
+    events: DataFrame, key: str, ts: str, order: Sequence[str], quiet: str = "30 minutes", amount: Column | None = None, bucket: str = "day"
+) -> DataFrame:
+    """Adds `place`: the number of an event in the session of its key; a session ends after a quiet time.
+
+    A row with an `amount` of n stands for the last of n events. A busy key is cut into time buckets.
+    """
+    rows = events.withColumn("_weight", F.lit(1) if amount is None else amount)
+    lagged = split_lag(rows, [key], order, F.date_trunc(bucket, F.col(ts)), {"_previous": ts})
+    apart = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_previous").cast("timestamp"))
+    fresh = F.coalesce(apart > seconds(quiet) * 1_000_000, F.lit(True))
+    return since_reset(lagged, key, ts, order, F.col("_weight"), fresh, "place", bucket).drop("_weight", "_previous")
+
+
+def seconds(span: str) -> int:
+    """Seconds of a span such as "30 minutes"."""
+    amount, unit = span.split()
+    return int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")]
+
+
+def connection_programs(processes: DataFrame, connections: DataFrame, within: str = "10 minutes") -> DataFrame:
+    """Connections with the program that made them: the last one seen under the process id at most `within` before.
+
+    `processes(server_id, pid, ts, name)`, `connections(server_id, pid, ts, remote_address)`; adds
+    `program` and `started`, null if no program is known. Of programs seen at one time the last by
+    name counts. Both are cut into time spans and looked up in the span of the connection and the
+    one before, so a process id that is sampled all the time forms no pairs and no large group.
+    """
+    size = seconds(within) * 1_000_000
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = F.floor(micros / size)
+    seen = processes.groupBy("server_id", "pid", "ts").agg(F.max("name").alias("name"))
+    seen = seen.select("server_id", "pid", F.explode(F.array(span, span + 1)).alias("_span"), "ts", F.struct("ts", "name").alias("_seen"), F.lit(0).alias("_kind"))
+    asked = connections.select(*connections.columns, span.alias("_span"), F.lit(1).alias("_kind"))
+    both = asked.unionByName(seen, allowMissingColumns=True)
+    upto = W.partitionBy("server_id", "pid", "_span").orderBy("ts", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("_last", F.last("_seen", ignorenulls=True).over(upto)).where(F.col("_kind") == 1)
+    near = F.when(micros - F.unix_micros(F.col("_last.ts").cast("timestamp")) <= size, F.col("_last"))
+    return found.withColumn("_last", near).select(*connections.columns, F.col("_last.name").alias("program"), F.col("_last.ts").alias("started"))
 
 
 def offline_failures(tool_calls: DataFrame) -> DataFrame:

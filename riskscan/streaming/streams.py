@@ -1,8 +1,9 @@
 """Streaming operators over event tables.
 
-Stateless scans reuse the batch operators. Windows carry watermarks, so late rows are
+Stateless scans reuse the batch operators. Windows and joins carry watermarks, so late rows are
 dropped and state stays bounded. Stateful logic that windows cannot express keeps a few
-values per key with `transformWithState`, which needs the RocksDB state store.
+values per key with `transformWithState`, which needs the RocksDB state store. What depends on the
+order of a key's events, and what is done about late rows, is in `riskscan.streaming.ordered`.
 """
 
 from __future__ import annotations
@@ -119,9 +120,10 @@ def _ending(ttl_ms: int | None) -> str:
 class DriftProcessor(StatefulProcessor):
     """Keeps the accepted hash of a tool and reports each other one once.
 
-    The first hash seen is trusted. Another hash is reported and remembered as reported; the
-    accepted hash stays until it is accepted from outside. State that is not used any more ends
-    by itself after a time.
+    The state may start from a stored snapshot; without one the first hash seen is trusted. Another
+    hash is reported and remembered as reported; the accepted hash stays until a row says that
+    another one is accepted. That counts from the micro-batch it comes with on, and what was
+    reported before is forgotten. State that is not used any more ends by itself after a time.
     """
 
     def __init__(self, ttl_ms: int | None = None) -> None:
@@ -131,13 +133,27 @@ class DriftProcessor(StatefulProcessor):
         self.accepted = handle.getValueState("accepted", "hash string", self.ttl_ms)
         self.reported = handle.getMapState("reported", "hash string", "seen boolean", self.ttl_ms)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.accepted.update((initialState.hash,))
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        # Only the first time of each hash is kept: a tool has few, however often it is observed.
+        # Only the first time of each hash and the last acceptance are kept: a tool has few hashes, however often it is observed.
         first: dict = {}
+        said = None
         for row in rows:
-            if row.hash not in first or row.ts < first[row.hash]:
+            if row.accepted:
+                said = max(said, (row.ts, row.hash is not None, row.hash or "")) if said else (row.ts, row.hash is not None, row.hash or "")
+            elif row.hash not in first or row.ts < first[row.hash]:
                 first[row.hash] = row.ts
+        if said:
+            self.reported.clear()
+            if said[1]:
+                self.accepted.update((said[2],))
+            else:
+                self.accepted.clear()
         seen = sorted(first.items(), key=lambda x: (x[1], x[0]))
+        if not seen:
+            return
         old = self.accepted.get()[0] if self.accepted.exists() else seen[0][0]
         self.accepted.update((old,))
         for hash_, ts in seen:
@@ -152,77 +168,51 @@ class DriftProcessor(StatefulProcessor):
 DRIFT_SCHEMA = "server_id string, tool string, ts timestamp, change string, before_hash string, after_hash string"
 
 
-def drift(snapshots: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def drift(snapshots: DataFrame, ttl_ms: int | None = None, pins: DataFrame | None = None, acceptances: DataFrame | None = None) -> DataFrame:
     """Changed definitions in a stream of observations (ts, server_id, tool, hash).
 
-    A stream that runs on should pass `ttl_ms`: state that nothing touches for so long ends.
+    `pins(server_id, tool, hash)` is the stored snapshot a new stream starts from; a stream that
+    goes on from its checkpoint has its own state and reads them no more. `acceptances(ts,
+    server_id, tool, hash)` is a second stream: a hash that is accepted from now on, or none to
+    trust what is seen next. `drift.replayed_changes` gives the same from tables. A stream that
+    runs on should pass `ttl_ms`: state that nothing touches for so long ends.
     """
-    return snapshots.groupBy("server_id", "tool").transformWithState(
-        statefulProcessor=DriftProcessor(ttl_ms), outputStructType=DRIFT_SCHEMA, outputMode="Append", timeMode=_ending(ttl_ms)
+    rows = snapshots.select("ts", "server_id", "tool", "hash", F.lit(False).alias("accepted"))
+    if acceptances is not None:
+        rows = rows.unionByName(acceptances.select("ts", "server_id", "tool", "hash", F.lit(True).alias("accepted")))
+    begin = None if pins is None else pins.select("server_id", "tool", "hash").groupBy("server_id", "tool")
+    return rows.groupBy("server_id", "tool").transformWithState(
+        statefulProcessor=DriftProcessor(ttl_ms), outputStructType=DRIFT_SCHEMA, outputMode="Append", timeMode=_ending(ttl_ms), initialState=begin
     )
 
 
-class TimeoutProcessor(StatefulProcessor):
-    """Counts time-outs in a row per server and reports when the limit is reached."""
-
-    def __init__(self, limit: int, ttl_ms: int | None = None) -> None:
-        self.limit, self.ttl_ms = limit, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n int", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n = self.count.get()[0] if self.count.exists() else 0
-        for row in sorted(rows, key=lambda r: (r.ts, r.seq)):
-            n = n + 1 if row.timed_out else 0
-            if n == self.limit:
-                yield Row(server_id=key[0], ts=row.ts, seq=row.seq)
-        self.count.update((n,))
-
-    def close(self) -> None:
-        pass
-
-
-def timeout_breaks(calls: DataFrame, limit: int = 2, ttl_ms: int | None = None) -> DataFrame:
-    """Calls at which the limit of time-outs in a row is reached: `calls(server_id, ts, seq, timed_out)`."""
-    return calls.groupBy("server_id").transformWithState(
-        statefulProcessor=TimeoutProcessor(limit, ttl_ms), outputStructType="server_id string, ts timestamp, seq bigint",
-        outputMode="Append", timeMode=_ending(ttl_ms),
-    )
-
-
-class BudgetProcessor(StatefulProcessor):
-    """Marks events of a key beyond the first N of a session; a session ends after a quiet time."""
-
-    def __init__(self, budget: int, quiet_ms: int, ttl_ms: int | None = None) -> None:
-        self.budget, self.quiet_ms, self.ttl_ms = budget, quiet_ms, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("used", "n int, last bigint", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, last = self.used.get() if self.used.exists() else (0, None)
-        for row in sorted(rows, key=lambda r: (r.ts, r.seq)):
-            now = int(row.ts.timestamp() * 1000)
-            if last is not None and now - last > self.quiet_ms:
-                n = 0
-            n, last = n + 1, now
-            yield Row(server_id=key[0], ts=row.ts, seq=row.seq, place=n, over=n > self.budget)
-        self.used.update((n, last))
+# ---- joins of streams -------------------------------------------------------------------------
 
-    def close(self) -> None:
-        pass
 
+def connection_programs(processes: DataFrame, connections: DataFrame, within: str = "10 minutes", late: str = "2 minutes") -> DataFrame:
+    """Connections of a stream with the program that made them: the last one seen under the process id at most `within` before.
 
-def event_budget(events: DataFrame, budget: int, quiet: str = "30 minutes", ttl_ms: int | None = None) -> DataFrame:
-    """Every event with its place in the session of its server, and whether it is over the budget."""
-    amount, unit = quiet.split()
-    per = {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")]
-    return events.groupBy("server_id").transformWithState(
-        statefulProcessor=BudgetProcessor(budget, int(amount) * per, ttl_ms),
-        outputStructType="server_id string, ts timestamp, seq bigint, place int, over boolean",
-        outputMode="Append", timeMode=_ending(ttl_ms),
-    )
+    `processes(server_id, pid, ts, name)`, `connections(server_id, pid, ts, remote_address, phase)`:
+    an interval join under watermarks, so both sides keep no more than `within` and `late` of their
+    rows. Processes are samples: one that repeats counts once per watermark. A connection whose
+    program is not known comes out with none once the watermark has passed it. Connections that
+    are equal in all these columns are one. `runtime.connection_programs` gives the same from tables.
+    """
+    seen = processes.withWatermark("ts", late).select(
+        F.col("server_id").alias("_server"), F.col("pid").alias("_pid"), F.col("ts").alias("_started"), F.col("name").alias("_name")
+    )
+    asked = connections.withWatermark("ts", late).select("server_id", "pid", "ts", "remote_address", "phase")
+    near = (F.col("server_id") == F.col("_server")) & (F.col("pid") == F.col("_pid")) & F.expr(f"_started <= ts and _started >= ts - interval {R.seconds(within)} seconds")
+    joined = asked.join(seen, near, "left_outer")
+    best = F.max(F.struct("_started", "_name")).alias("_best")
+    one = joined.groupBy("server_id", "pid", "ts", "remote_address", "phase").agg(best)
+    return one.select("server_id", "pid", "ts", "remote_address", "phase", F.col("_best._name").alias("program"), F.col("_best._started").alias("started"))
+
+
+def outside_programs(events: DataFrame, servers: DataFrame | None = None, within: str = "10 minutes", late: str = "2 minutes") -> DataFrame:
+    """Outside connections of a stream of events with the program behind each."""
+    outside = R.outside_connections(events.where(F.col("kind") == "connection"), servers)
+    return connection_programs(events.where(F.col("kind") == "process"), outside, within, late)
 
 
 # ---- running --------------------------------------------------------------------------------

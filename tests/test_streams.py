@@ -42,16 +42,6 @@ def test_drift_reports_each_new_hash_once(spark, observations, tmp_path):
     assert {r.before_hash for r in got.collect()} == {"h0"}
 
 
-def test_timeouts_and_budget(spark, tmp_path):
-    hits = [0, 1, 1, 1, 0, 1, 1, 0, 1]
-    df = spark.createDataFrame([("s", f"2024-01-01 00:{i:02d}:00", i, bool(x)) for i, x in enumerate(hits)], "server_id string, ts string, seq long, timed_out boolean").withColumn("ts", F.col("ts").cast("timestamp"))
-    got = run(spark, S.timeout_breaks(stream_of(spark, df, tmp_path, "to")), tmp_path, "to")
-    batch = R.timeout_runs(df, "server_id", "ts", ["ts", "seq"], F.col("timed_out")).where("in_a_row = 2")
-    assert sorted(r.seq for r in got.collect()) == sorted(r.seq for r in batch.collect()) == [2, 6]
-    rows = run(spark, S.event_budget(stream_of(spark, df, tmp_path, "bu"), 3, "30 minutes"), tmp_path, "bu")
-    assert {r.seq: r.over for r in rows.collect()} == {i: i >= 3 for i in range(9)}
-
-
 def test_windows_equal_batch(spark, tmp_path):
     rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", f"u{(h + m) % 3}", "error" if m == 7 else "view", float(m)) for h in range(5) for m in (0, 7, 50)]
     df = spark.createDataFrame(rows, "ts string, user string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
