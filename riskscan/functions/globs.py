@@ -59,3 +59,41 @@ def rule_matches_col(rule_id: Column, pattern: Column) -> Column:
         F.rlike(upper, glob_regex_col(wanted))
         | F.startswith(upper, F.concat(F.rtrim(wanted, F.lit("-")), F.lit("-")))
     )
+
+
+def glob_regex_of(glob: Column) -> Column:
+    """The regular expression of `glob_regex` for a column of globs, bracketed sets included."""
+    body = lambda t: F.regexp_replace(F.substr(t, F.lit(2), F.char_length(t) - 2), r"\\", r"\\\\")
+    one = lambda t: (
+        F.when(t == "*", ".*").when(t == "?", ".")
+        .when(F.char_length(t) > 1, F.concat(F.lit("["), F.when(F.startswith(body(t), F.lit("!")), F.concat(F.lit("^"), F.substr(body(t), F.lit(2)))).otherwise(body(t)), F.lit("]")))
+        .otherwise(F.regexp_replace(t, r"([\\.\[\]{}()+^$|*?#&~\s-])", r"\\$1"))
+    )
+    tokens = F.regexp_extract_all(glob, F.lit(r"(?s)\[.[^\]]*\]|."), F.lit(0))
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, one), ""), F.lit("$"))
+
+
+def rule_matches_of(rule_id: Column, pattern: Column) -> Column:
+    """`rule_matches` where the pattern is a column of globs, bracketed sets included."""
+    upper, wanted = F.upper(rule_id), F.upper(F.btrim(pattern))
+    named = F.rlike(upper, glob_regex_of(wanted)) | F.startswith(upper, F.concat(F.rtrim(wanted, F.lit("-")), F.lit("-")))
+    return (wanted != "") & named
+
+
+def ignore_regex(pattern: Column) -> Column:
+    """The regular expression of a line of an ignore file, for paths relative to the folder of the file.
+
+    A pattern with a slash that is not its last sign is tied to the folder, others fit at any depth.
+    A star and a question mark stop at slashes, two stars between slashes don't. The leading `!` and
+    the last slash are not part of it.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(pattern, r"^!", ""), r"/+$", ""), r"^\\([#!])", "$1")
+    tied = bare.contains("/")
+    bare = F.regexp_replace(bare, "^/", "")
+    # An opening bracket without a closing one stands for itself.
+    open_ = F.when(bare.rlike(r"\[[^\]]+\]"), bare).otherwise(F.replace(F.replace(bare, F.lit("["), F.lit("\x03")), F.lit("]"), F.lit("\x04")))
+    quoted = F.regexp_replace(open_, r"([\\.{}()+^$|])", r"\\$1")
+    steps = [(r"^\*\*/|(?<=/)\*\*/", "\x01"), (r"/\*\*$", "\x02"), (r"\*+", "[^/]*"), (r"\?", "[^/]"), (r"\[!", "[^"), ("\x01", "(?:.*/)?"), ("\x02", "/.*"), ("\x03", r"\\["), ("\x04", r"\\]")]
+    for old, new in steps:
+        quoted = F.regexp_replace(quoted, old, new)
+    return F.concat(F.lit("(?s)^"), F.when(tied, "").otherwise("(?:.*/)?"), quoted, F.lit("$"))

@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskscan.functions.secrets import redact
+from riskscan.operators.skew import split_running
 from riskscan.sources import catalog as C
 from riskscan.sources import jsontext as J
 
 VERDICTS = ("likely-real", "likely-false-positive", "unsure")
-#: Tools and findings in one payload, about; a server with more gets several payloads.
-TOOLS_EACH, FINDINGS_EACH = 60, 40
 
 
 def clean(text: Column, limit: int, planted: Column | None = None) -> Column:
@@ -45,93 +44,105 @@ def parse_answer(text: Column) -> Column:
     return F.when(J.is_object(parsed), parsed)
 
 
-def payloads(
-    tools: DataFrame, findings: DataFrame, token: str, limit: int = 60_000, instructions: DataFrame | None = None
-) -> DataFrame:
-    """Texts of bounded size for the scorer: (server_id, part, payload).
+def entries(tools: DataFrame, findings: DataFrame, limit: int, instructions: DataFrame | None = None, planted: DataFrame | None = None) -> DataFrame:
+    """What payloads are made of: (server_id, kind, rank, key, piece, pieces, entry), each entry valid JSON of at most `limit` characters.
 
-    A server's tools and findings are dealt out to as many parts as they need. A text over the
-    limit is cut with a note on how much is missing.
+    Instructions, findings (worst first) and tools, without secrets and planted values, which are
+    taken out of the texts before they become JSON. An entry that would be longer comes in
+    numbered pieces: each holds a part of its JSON as text, and all parts together are the whole.
+    `planted(server_id, value)` is joined as one short list per server.
     """
+    mask = lambda c: redact(F.coalesce(c, F.lit("")))
     params = F.transform(
         C.parameter_array(F.col("input_schema")),
         lambda p: F.struct(
             p["name"].alias("key"),
-            F.coalesce(J.text_at(p["schema"], "$.description"), J.any_text_at(p["schema"], "$.type"), F.lit("")).alias("value"),
+            mask(F.coalesce(J.text_at(p["schema"], "$.description"), J.any_text_at(p["schema"], "$.type"), F.lit(""))).alias("value"),
         ),
     )
-    sizes = tools.groupBy("server_id").agg(F.count(F.lit(1)).alias("_tools")).join(
-        findings.groupBy("server_id").agg(F.count(F.lit(1)).alias("_found")), "server_id", "full_outer"
-    )
-    needed = F.greatest(F.ceil(F.coalesce("_tools", F.lit(0)) / TOOLS_EACH), F.ceil(F.coalesce("_found", F.lit(0)) / FINDINGS_EACH), F.lit(1))
-    parts = sizes.select("server_id", needed.alias("_parts"))
-
-    def dealt(df: DataFrame, *keys: str) -> DataFrame:
-        return df.join(parts, "server_id").withColumn("part", F.pmod(F.xxhash64(*keys), F.col("_parts")).cast("int"))
-
-    listed = dealt(tools, "name", "seq").groupBy("server_id", "part").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "seq", "name", F.left("description", F.lit(limit // 20)).alias("description"),
-                    F.to_json(F.map_from_entries(params)).alias("parameters"),
-                )
-            )
-        ).alias("tools")
+    tool = F.struct(F.lit("tool").alias("kind"), mask(F.col("name")).alias("name"), "seq", mask(F.col("description")).alias("description"), F.map_from_entries(F.array_distinct(params)).alias("parameters"))
+    proof = F.transform("evidence", lambda e: F.concat(mask(e["location"]), F.lit(": "), mask(e["snippet"])))
+    finding = F.struct(
+        F.lit("finding").alias("kind"), "id", F.col("rule_id").alias("rule"), mask(F.col("title")).alias("title"), "severity", "confidence",
+        F.concat_ws(" ", "target_kind", mask(F.col("target_name"))).alias("target"), mask(F.col("description")).alias("description"), proof.alias("evidence"),
     )
-    proof = F.transform("evidence", lambda e: F.concat(e["location"], F.lit(": "), e["snippet"]))
-    found = dealt(findings, "rule_id", "target_name", "description").groupBy("server_id", "part").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    (-F.col("sev_rank")).alias("rank"), "id", F.col("rule_id").alias("rule"), "title", "severity", "confidence",
-                    F.concat_ws(" ", "target_kind", "target_name").alias("target"), "description", proof.alias("evidence"),
-                )
-            )
-        ).alias("findings")
-    )
-    both = listed.join(found, ["server_id", "part"], "full_outer")
+    rows = findings.select("server_id", F.lit(1).alias("kind"), (-F.col("sev_rank")).cast("bigint").alias("rank"), F.concat_ws("\x01", "rule_id", "id").alias("key"), F.to_json(finding).alias("json"))
+    rows = rows.unionByName(tools.select("server_id", F.lit(2).alias("kind"), F.col("seq").cast("bigint").alias("rank"), F.coalesce("name", F.lit("")).alias("key"), F.to_json(tool).alias("json")))
     if instructions is not None:
-        both = both.join(instructions.select("server_id", "instructions"), "server_id", "left")
-    raw = F.to_json(F.struct(*[c for c in both.columns]))
-    return both.select("server_id", "part", fenced(clean(raw, limit), token).alias("payload"))
+        said = F.struct(F.lit("instructions").alias("kind"), mask(F.col("instructions")).alias("text"))
+        rows = rows.unionByName(instructions.select("server_id", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("key"), F.to_json(said).alias("json")))
+    if planted is not None:
+        values = planted.where(F.col("value") != "").groupBy("server_id").agg(F.collect_set("value").alias("_planted"))
+        rows = rows.join(values, "server_id", "left")
+        # Inside JSON a value stands as JSON writes it.
+        inner = lambda v: F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r'(?s)^\{"v":"(.*)"\}$', 1)
+        rows = rows.withColumn("json", F.coalesce(F.aggregate("_planted", F.col("json"), lambda acc, v: F.replace(acc, inner(v), F.lit("[REDACTED planted value]"))), F.col("json"))).drop("_planted")
+    # A piece is text in JSON: a quote or backslash takes two signs.
+    size = max(1, (limit - 120) // 2)
+    count = F.when(F.char_length("json") <= limit, 1).otherwise(F.ceil(F.char_length("json") / size)).cast("int")
+    rows = rows.withColumn("pieces", count).withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("pieces"))))
+    part = F.to_json(F.struct(F.lit("piece").alias("kind"), "piece", "pieces", F.substr("json", (F.col("piece") - 1) * size + 1, F.lit(size)).alias("text")))
+    return rows.select("server_id", "kind", "rank", "key", "piece", "pieces", F.when(F.col("pieces") == 1, F.col("json")).otherwise(part).alias("entry"))
+
+
+def payloads(
+    tools: DataFrame, findings: DataFrame, token: str, limit: int = 60_000, instructions: DataFrame | None = None, planted: DataFrame | None = None
+) -> DataFrame:
+    """Texts of bounded size for the scorer: (server_id, part, payload). Nothing is left out or cut.
+
+    A payload is a JSON object with a list of entries, between markers. Entries are at most half of
+    `limit` long and packed in order: a part is full when the running size of its server's entries
+    passes the next half of `limit`. Running sizes are worked out in stretches of a server's
+    entries with carried sums, so a server with many is not one task.
+    """
+    half = (limit - 200) // 2
+    rows = entries(tools, findings, half - 1, instructions, planted).withColumn("_size", F.char_length("entry") + 1)
+    stretch = F.struct("kind", F.floor(F.col("rank") / 1000).alias("r"), F.when(F.col("kind") == 1, F.left("key", F.lit(16))).otherwise("").alias("k"))
+    order = [F.col(c) for c in ("kind", "rank", "key", "piece")]
+    packed = split_running(rows, "server_id", order, stretch, {"_upto": F.col("_size")})
+    packed = packed.withColumn("part", F.floor((F.col("_upto") - F.col("_size")) / half).cast("int"))
+    lists = packed.groupBy("server_id", "part").agg(F.sort_array(F.collect_list(F.struct("kind", "rank", "key", "piece", "entry"))).alias("e"))
+    head = F.regexp_replace(F.to_json(F.struct("server_id", "part")), r"\}$", "")
+    text = F.concat(head, F.lit(',"entries":['), F.array_join(F.transform("e", lambda e: e["entry"]), ","), F.lit("]}"))
+    return lists.select("server_id", "part", fenced(text, token).alias("payload"))
 
 
 ANSWER_SCHEMA = (
-    "server_id string, answer string, input_tokens bigint, output_tokens bigint, cost_usd double, error string"
+    "server_id string, part int, answer string, input_tokens bigint, output_tokens bigint, cost_usd double, error string"
 )
 
 
 def ask(payload_rows: DataFrame, scorer: Callable[[str], dict], max_calls: int | None = None) -> DataFrame:
-    """Call `scorer(payload)` for every row and keep failures as text in `error`.
+    """Call `scorer(payload)` for every row and keep failures as text in `error`: one answer per part of a server.
 
     The scorer returns a dict with `text` and optionally token counts and cost. `max_calls`
-    is the call budget of a run: rows beyond it come back with an error and no call is made.
+    is the call budget of a run: parts beyond it, by server and part, come back with an error and
+    no call is made.
     """
-    rows = payload_rows
+    rows = payload_rows if "part" in payload_rows.columns else payload_rows.withColumn("part", F.lit(0))
     if max_calls is not None:
-        allowed = rows.select("server_id").orderBy("server_id").limit(max_calls).withColumn("_allowed", F.lit(True))
-        rows = rows.join(allowed, "server_id", "left").withColumn("_allowed", F.coalesce("_allowed", F.lit(False)))
+        allowed = rows.select("server_id", "part").orderBy("server_id", "part").limit(max_calls).withColumn("_allowed", F.lit(True))
+        rows = rows.join(allowed, ["server_id", "part"], "left").withColumn("_allowed", F.coalesce("_allowed", F.lit(False)))
     else:
         rows = rows.withColumn("_allowed", F.lit(True))
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                if not row[2]:
-                    out.append((row[0], None, 0, 0, None, "call budget used up"))
+            for server, part, payload, allowed in batch.itertuples(index=False):
+                if not allowed:
+                    out.append((server, part, None, 0, 0, None, "call budget used up"))
                     continue
                 try:
-                    a = scorer(row[1])
-                    out.append((row[0], a["text"], a.get("input_tokens", 0), a.get("output_tokens", 0), a.get("cost_usd"), None))
+                    a = scorer(payload)
+                    out.append((server, part, a["text"], a.get("input_tokens", 0), a.get("output_tokens", 0), a.get("cost_usd"), None))
                 except Exception as exc:  # a scorer must never stop the job
-                    out.append((row[0], None, 0, 0, None, f"{type(exc).__name__}: {exc}"[:300]))
+                    out.append((server, part, None, 0, 0, None, f"{type(exc).__name__}: {exc}"[:300]))
             yield pd.DataFrame(
-                out, columns=["server_id", "answer", "input_tokens", "output_tokens", "cost_usd", "error"]
+                out, columns=["server_id", "part", "answer", "input_tokens", "output_tokens", "cost_usd", "error"]
             ).astype({"cost_usd": "float64"})
 
-    return rows.select("server_id", "payload", "_allowed").mapInPandas(call, ANSWER_SCHEMA)
+    return rows.select("server_id", "part", "payload", "_allowed").mapInPandas(call, ANSWER_SCHEMA)
 
 
 def verdicts(answers: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscan.functions.globs import glob_regex_col
-from riskscan.operators.skew import top_k
+from riskscan.functions import globs as G
+from riskscan.operators.skew import broadcast_if_small, top_k
 from riskscan.sources.catalog import SKIPPED_DIRS
 
 # Suffixes.
@@ -44,11 +44,53 @@ def language(path: Column) -> Column:
     return F.when(lower.rlike(PYTHON_SUFFIX), "python").when(lower.rlike(JS_SUFFIX), "javascript")
 
 
+def ignored(paths: DataFrame, ignore: DataFrame) -> DataFrame:
+    """(server_id, path) of files that ignore files leave out: `paths(server_id, path)`.
+
+    `ignore(server_id, pattern)` holds lines of ignore files, with `folder` (of the file, empty for
+    the top) and `line` where there is more than one file or a line that begins with `!`. For a
+    file, and for each folder above it, the last line that fits decides: lines of deeper ignore files
+    come after those above, and `!` takes a path back in. What lies in an ignored folder is ignored.
+
+    Lines are looked up by folder and, where they name one, by file name or ending; only the others
+    meet every path below their folder. Only paths are moved, and each folder is looked at once.
+    """
+    has = lambda name, other: F.col(name) if name in ignore.columns else F.lit(other)
+    lines = ignore.select(
+        "server_id", F.coalesce(F.regexp_replace(has("folder", ""), r"^\./|^/|/+$", ""), F.lit("")).alias("folder"),
+        F.coalesce(has("line", 0), F.lit(0)).alias("line"), F.btrim("pattern").alias("pattern"),
+    ).where((F.col("pattern") != "") & ~F.col("pattern").startswith("#"))
+    bare = F.regexp_replace(F.regexp_replace("pattern", r"^!", ""), r"/+$", "")
+    name, ending = ~bare.rlike(r"[*?\[\\/]"), bare.rlike(r"^\*\.[^*?.\[\\/]+$")
+    filed = F.when(name, F.concat(F.lit("="), bare)).when(ending, F.concat(F.lit("."), F.substring_index(bare, ".", -1))).otherwise("")
+    lines = lines.select(
+        "server_id", "folder", "line", filed.alias("_filed"), F.col("pattern").startswith("!").alias("_back"), F.col("pattern").endswith("/").alias("_folders"),
+        G.ignore_regex(F.col("pattern")).alias("_fits"),
+    )
+    steps = F.split("path", "/")
+    places = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(F.array_join(F.slice(steps, F.lit(1), i), "/").alias("node"), (i < F.size(steps)).alias("is_folder")))
+    nodes = paths.select("server_id", "path", F.explode(places).alias("n")).select("server_id", F.col("n.node").alias("node"), F.col("n.is_folder").alias("is_folder")).distinct()
+    parts = F.split("node", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    last = F.element_at(parts, -1)
+    keys = F.array(F.lit(""), F.concat(F.lit("="), last), F.concat(F.lit("."), F.substring_index(last, ".", -1)))
+    asked = nodes.select("server_id", "node", "is_folder", F.explode(above).alias("folder"), keys.alias("_keys")).withColumn("_filed", F.explode("_keys")).drop("_keys")
+    met = asked.join(lines, ["server_id", "folder", "_filed"])
+    inside = F.when(F.col("folder") == "", F.col("node")).otherwise(F.substr("node", F.char_length("folder") + 2))
+    hit = met.where(F.rlike(inside, F.col("_fits")) & (~F.col("_folders") | F.col("is_folder")))
+    told = hit.groupBy("server_id", "node").agg(F.max_by("_back", F.struct(F.char_length("folder"), "line", "_back")).alias("_back"))
+    out = told.where("not _back").select("server_id", "node")
+    every = paths.select("server_id", "path", F.explode(F.transform(places, lambda p: p["node"])).alias("node"))
+    return every.join(out, ["server_id", "node"], "left_semi").select("server_id", "path").distinct()
+
+
 def source_files(files: DataFrame, ignore: DataFrame | None = None, limit: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """The files a scan reads: `files(server_id, path, size, text)` with paths relative to the project.
 
-    `ignore(server_id, pattern)` holds ignore-file lines: a glob, or a folder ending in a slash.
-    Every file is read, unless `limit` or `max_bytes` is set; `left_out` lists what they leave out.
+    `ignore` holds the lines of ignore files, as `ignored` has them. Which paths they leave out is
+    worked out on paths alone; texts are joined with that list, by a broadcast as long as it has no
+    more than 100,000 rows. Every file is read, unless `limit` or `max_bytes` is set; `left_out`
+    lists what they leave out.
     """
     kept = files.withColumn("language", language(F.col("path"))).where(
         F.col("language").isNotNull()
@@ -60,14 +102,7 @@ def source_files(files: DataFrame, ignore: DataFrame | None = None, limit: int |
     if max_bytes is not None:
         kept = kept.where(F.col("size") <= max_bytes)
     if ignore is not None:
-        rules = ignore.where((F.btrim("pattern") != "") & ~F.col("pattern").startswith("#")).select(
-            F.col("server_id").alias("_server"), F.btrim("pattern").alias("_pattern")
-        )
-        hit = (F.col("server_id") == F.col("_server")) & (
-            (F.col("_pattern").endswith("/") & F.startswith("path", F.col("_pattern")))
-            | F.rlike(F.col("path"), glob_regex_col(F.col("_pattern")))
-        )
-        kept = kept.join(rules, hit, "left_anti")
+        kept = kept.join(broadcast_if_small(ignored(kept.select("server_id", "path"), ignore)), ["server_id", "path"], "left_anti")
     if limit is None:
         return kept
     return top_k(kept, ["server_id"], [F.col("path")], limit, ["path"], rank="place").drop("place")
