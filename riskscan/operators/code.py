@@ -16,7 +16,9 @@ from pyspark.sql.window import Window as W
 from riskscan import patterns as P
 from riskscan.functions import secrets as S
 from riskscan.functions import urls as U
-from riskscan.operators.graph import value_spread
+from riskscan.operators import flow as FL
+from riskscan.operators.graph import reach_by_chains
+from riskscan.operators.skew import written
 from riskscan.schemas import CODE_HIT_SCHEMA, conform
 from riskscan.sources.source_tree import LONG_LINE, is_minified, split_lines
 
@@ -376,7 +378,7 @@ def python_lines(files: DataFrame) -> DataFrame:
     lined = lined.withColumn("in_owner", F.last("owner", ignorenulls=True).over(upto))
     inside = F.col("in_def").isNotNull() & (F.coalesce("last_edge", F.lit(-1)) < F.col("in_def.pos"))
     return lined.select(
-        *FILE_KEY, "aliases", "pos", "line_text",
+        *FILE_KEY, "aliases", "pos", "line_text", "indent",
         F.when(inside, F.col("in_def.name")).alias("function"),
         F.when(inside, F.col("in_owner.tool")).alias("tool"),
         F.col("def_").isNotNull().alias("is_def"),
@@ -384,10 +386,6 @@ def python_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def _node(function: Column, name: Column) -> Column:
-    return F.concat_ws("\x01", F.col("server_id"), F.col("path"), function, name)
-
-
 def _params(files: DataFrame) -> DataFrame:
     """Parameters of every function: (server_id, path, function, place, param)."""
     # Default values may hold brackets of their own.
@@ -407,48 +405,49 @@ def _params(files: DataFrame) -> DataFrame:
     return first.select(*FUNCTION_KEY, F.posexplode(given).alias("place", "param"))
 
 
-def assignments(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges between variables: (src, dst, sanitized).
+ASSIGN = r"^([A-Za-z_][\w, ]*?)\s*(?::[^=]+)?((?:[-+*/|&^%]|//|\*\*)?)=(?!=)\s*(.+)$"
+FOR = r"^(?:async\s+)?for\s+([\w, ()]+?)\s+in\s+(.+?):?$"
+WITH = r"^(?:async\s+)?with\s+(.+?)\s+as\s+(\w+)\s*:?$"
+
+
+def definitions(lines: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Definitions of variables (*FUNCTION_KEY, name, pos, level), and which names each takes its value from (*FUNCTION_KEY, to, pos, frm).
 
-    Plain, annotated and augmented assignments, loops and `with`; and arguments passed to
-    a function of the same file, by place.
+    Plain, annotated and augmented assignments, loops and `with`, which hold inside their block, and
+    parameters. A name that only goes through a function that cleans it gives nothing on.
     """
     text = F.col("line_text")
-    assign = r"^([A-Za-z_][\w, ]*?)\s*(?::[^=]+)?(?:[-+*/|&^%]|//|\*\*)?=(?!=)\s*(.+)$"
-    loop = r"^(?:async\s+)?for\s+([\w, ()]+?)\s+in\s+(.+?):?$"
-    with_ = r"^(?:async\s+)?with\s+(.+?)\s+as\s+(\w+)\s*:?$"
-    target = F.coalesce(*[F.nullif(F.regexp_extract(text, p, g), F.lit("")) for p, g in ((loop, 1), (with_, 2), (assign, 1))])
-    value = F.coalesce(*[F.nullif(F.regexp_extract(text, p, g), F.lit("")) for p, g in ((loop, 2), (with_, 1), (assign, 2))])
+    part = lambda p, g: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
+    opens = part(FOR, 1).isNotNull() | part(WITH, 2).isNotNull()
+    value = F.coalesce(part(FOR, 2), part(WITH, 1), F.when(~opens & part(ASSIGN, 2).isNotNull(), F.concat_ws(" + ", part(ASSIGN, 1), part(ASSIGN, 3))), part(ASSIGN, 3))
     code = lines.where(F.col("function").isNotNull() & ~F.col("is_def") & ~F.col("is_note"))
-    set_ = code.select(*FUNCTION_KEY, target.alias("target"), value.alias("value")).where(F.col("target").isNotNull())
-    left = F.regexp_replace("value", SANITISER_CALL, "")
-    spread = set_.select(
-        *FUNCTION_KEY,
-        F.explode(F.array_distinct(F.regexp_extract_all("target", F.lit(f"({NAMES})")))).alias("to"),
-        F.array_distinct(F.regexp_extract_all("value", F.lit(f"({NAMES})"))).alias("seen"),
-        F.array_distinct(F.regexp_extract_all(left, F.lit(f"({NAMES})"))).alias("passed"),
-    ).select(*FUNCTION_KEY, "to", "passed", F.explode("seen").alias("frm"))
-    inner = spread.select(
-        _node(F.col("function"), F.col("frm")).alias("src"), _node(F.col("function"), F.col("to")).alias("dst"),
-        (~F.array_contains("passed", F.col("frm"))).alias("sanitized"),
+    set_ = code.select(
+        *FUNCTION_KEY, "pos", (F.col("indent") + F.when(opens, 1).otherwise(0)).alias("level"), F.coalesce(part(FOR, 1), part(WITH, 2), part(ASSIGN, 1)).alias("target"), value.alias("value")
+    ).where(F.col("target").isNotNull())
+    names = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"({NAMES})")))
+    to = set_.select(*FUNCTION_KEY, "pos", "level", F.explode(names(F.col("target"))).alias("name"), names(F.regexp_replace("value", SANITISER_CALL, "")).alias("from_"))
+    begin = lines.where("is_def").groupBy(*FUNCTION_KEY).agg(F.min("pos").alias("pos"))
+    given = params.join(begin, list(FUNCTION_KEY)).select(*FUNCTION_KEY, F.col("param").alias("name"), "pos", F.lit(0).alias("level"))
+    return (
+        to.select(*FUNCTION_KEY, "name", "pos", "level").unionByName(given),
+        to.select(*FUNCTION_KEY, F.col("name").alias("to"), "pos", F.explode("from_").alias("frm")),
     )
-    calls = code.select(*FUNCTION_KEY, "line_text", F.explode(F.array_distinct(F.regexp_extract_all("line_text", F.lit(CALL)))).alias("name"))
+
+
+def handed_over(lines: DataFrame, params: DataFrame) -> DataFrame:
+    """Names handed to functions of the same file: (*FUNCTION_KEY, pos, frm, callee, param), by place or keyword."""
+    code = lines.where(F.col("function").isNotNull() & ~F.col("is_def") & ~F.col("is_note"))
+    calls = code.select(*FUNCTION_KEY, "pos", "line_text", F.explode(F.array_distinct(F.regexp_extract_all("line_text", F.lit(CALL)))).alias("name"))
     calls = calls.select(
-        *FILE_KEY, "function", F.substring_index("name", ".", -1).alias("callee"),
+        *FILE_KEY, "function", "pos", F.substring_index("name", ".", -1).alias("callee"),
         F.posexplode(F.split(F.regexp_replace(_arguments(F.col("line_text"), F.col("name")), SANITISER_CALL, ""), ",")).alias("place", "arg"),
     )
-    params = _params(files).withColumnRenamed("function", "callee")
+    params = params.withColumnRenamed("function", "callee")
     keyword = F.regexp_extract("arg", r"^\s*(\w+)\s*=(?!=)", 1)
     into = calls.join(params, [*FILE_KEY, "callee"]).where(
         (F.col("callee") != F.col("function")) & F.when(keyword != "", keyword == F.col("param")).otherwise(calls["place"] == params["place"])
     )
-    across = into.select(
-        *FILE_KEY, "function", "callee", "param", F.explode(F.regexp_extract_all("arg", F.lit(f"({NAMES})"))).alias("frm")
-    ).select(
-        _node(F.col("function"), F.col("frm")).alias("src"), _node(F.col("callee"), F.col("param")).alias("dst"),
-        F.lit(False).alias("sanitized"),
-    )
-    return inner.unionByName(across).where(F.col("src") != F.col("dst"))
+    return into.select(*FUNCTION_KEY, "pos", "callee", "param", F.explode(F.regexp_extract_all("arg", F.lit(f"({NAMES})"))).alias("frm"))
 
 
 def _arguments(line: Column, name: Column) -> Column:
@@ -458,29 +457,48 @@ def _arguments(line: Column, name: Column) -> Column:
 
 
 def input_reach(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Variables that tool input reaches: (server_id, path, function, variable, tool, param)."""
-    tools = lines.where(F.col("is_def") & F.col("tool").isNotNull()).select(*FUNCTION_KEY, "tool").distinct()
-    seeds = _params(files).join(tools, list(FUNCTION_KEY)).select(
-        _node(F.col("function"), F.col("param")).alias("node"), F.concat_ws("\x01", "tool", "param").alias("origin")
+    """Uses of variables that tool input reaches: (server_id, path, function, pos, variable, tool, param).
+
+    Values go from definition to definition: each use takes what the definitions that reach it
+    have, so a variable that was assigned anew or cleaned before the use has its new value there.
+    """
+    key = list(FUNCTION_KEY)
+    own = written(_params(files))
+    defs, taken = definitions(lines, own)
+    defs, given = written(defs), handed_over(lines, own)
+    inner = lines.where(F.col("function").isNotNull())
+    code = inner.where(~F.col("is_note") & ~F.col("is_def") & (F.col("line_text") != ""))
+    known = defs.select(*key, "name").distinct()
+    uses = code.select(*key, "pos", F.explode(F.array_distinct(F.regexp_extract_all("line_text", F.lit(f"({NAMES})")))).alias("name")).join(known, [*key, "name"])
+    shape = inner.select(*key, "pos", "indent", F.col("line_text").rlike(r"^(?:async\s+)?(?:for|while)\b").alias("is_loop"))
+    at, edges = FL.reaching(shape, defs, uses, key)
+    at = written(at)
+    placed = FL.numbered(defs, key)
+    ends = placed.select(*key, F.col("name").alias("to"), "pos", F.col("node").alias("dst"))
+    frm = at.select(*key, F.col("name").alias("frm"), "pos", F.col("node").alias("src"))
+    assigned = taken.join(ends, [*key, "to", "pos"]).join(frm, [*key, "frm", "pos"]).select("src", "dst")
+    first = placed.groupBy(*key, "name").agg(F.min_by("node", "pos").alias("node"))
+    params = first.select(*FILE_KEY, F.col("function").alias("callee"), F.col("name").alias("param"), F.col("node").alias("dst"))
+    across = given.join(frm, [*key, "frm", "pos"]).join(params, [*FILE_KEY, "callee", "param"]).select("src", "dst")
+    every = edges.unionByName(assigned).unionByName(across)
+    tools = lines.where(F.col("is_def") & F.col("tool").isNotNull()).select(*key, "tool").distinct()
+    seeds = own.join(tools, key).join(first.withColumnRenamed("name", "param"), [*key, "param"]).select(
+        "node", F.concat_ws("\x01", "tool", "param").alias("origin")
     )
-    spread = value_spread(assignments(lines, files), seeds)
+    spread = reach_by_chains(every, seeds)
     part = lambda c, i: F.get(F.split(c, "\x01"), F.lit(i))
-    return spread.select(
-        part("node", 0).alias("server_id"), part("node", 1).alias("path"), part("node", 2).alias("function"),
-        part("node", 3).alias("variable"), part("origin", 0).alias("tool"), part("origin", 1).alias("param"),
-    ).distinct()
+    reached = spread.select("node", part("origin", 0).alias("tool"), part("origin", 1).alias("param"))
+    return at.join(reached, "node").select(*key, "pos", F.col("name").alias("variable"), "tool", "param").distinct()
 
 
 def python_hits(files: DataFrame) -> DataFrame:
     """Hits in Python lines, with the tool input that reaches them."""
-    lines = python_lines(files)
+    lines = written(python_lines(files))
     reached = input_reach(files, lines)
-    # Variables of one function: a few per line of it.
-    per_function = reached.groupBy(*FUNCTION_KEY).agg(
-        F.collect_set(F.struct("variable", "tool", "param")).alias("inputs")
-    )
+    # Variables of one line: a few.
+    per_line = reached.groupBy(*FUNCTION_KEY, "pos").agg(F.collect_set(F.struct("variable", "tool", "param")).alias("inputs"))
     code = lines.where(~F.col("is_note") & ~F.col("is_def") & (F.col("line_text") != ""))
-    code = code.join(per_function, list(FUNCTION_KEY), "left")
+    code = code.join(per_line, [*FUNCTION_KEY, "pos"], "left")
     calls = code.select(
         *FUNCTION_KEY, "tool", "pos", "line_text", "aliases", "inputs",
         F.posexplode(F.regexp_extract_all("line_text", F.lit(CALL))).alias("nr", "name"),

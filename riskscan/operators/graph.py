@@ -44,6 +44,94 @@ def reach(
     return seen
 
 
+def _doubled(steps: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """node, up, dist, low: how far the beginning of each node's chain is, by doubling the steps taken.
+
+    `steps(node, up)` gives each node at most one node before it. `low` is the smallest node passed.
+    The second value says whether nothing goes round: what does never ends, and its `low` is then
+    the smallest node of its circle.
+    """
+    table = written(steps.select("node", "up", F.lit(1).cast("bigint").alias("dist"), F.least("node", "up").alias("low")))
+    reached = 1
+    while True:
+        far = table.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("dist").alias("_dist"), F.col("low").alias("_low"))
+        both = table.join(far, table["up"] == far["_node"], "left")
+        moved = F.col("_node").isNotNull()
+        table = written(
+            both.select(
+                "node", F.coalesce("_up", "up").alias("up"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+                F.least("low", "_low").alias("low"), moved.alias("moved"),
+            )
+        )
+        if table.where("moved").isEmpty():
+            return table, True
+        reached *= 2
+        if reached > 2 * most:
+            return table, False
+        table = table.drop("moved")
+
+
+def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Chains of nodes that only lead on: (node, head, rank), and the edges between chains (head, at, dst, steps).
+
+    `edges(src, dst)`, distinct, without loops. A step belongs to a chain if it is the only one out
+    of its source and the only one into its target; a circle of such steps is cut before its smallest
+    node. Every other edge leaves the last node of a chain, `at`, and enters the first of one. None
+    if there is no chain. Rounds are as many as the logarithm of the longest chain.
+    """
+    single = lambda a: edges.groupBy(a).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(a)
+    inner = written(edges.join(single("src"), "src").join(single("dst"), "dst").select("src", "dst"))
+    size = inner.count()
+    if size == 0:
+        return None
+    steps = inner.select(F.col("dst").alias("node"), F.col("src").alias("up"))
+    found, ended = _doubled(steps, size)
+    if not ended:
+        cut = found.where("moved and node = low").select("node")
+        steps = written(steps.join(cut, "node", "left_anti"))
+        inner = steps.select(F.col("up").alias("src"), F.col("node").alias("dst"))
+        found, _ = _doubled(steps, size)
+    members = found.select("node", F.col("up").alias("head"), F.col("dist").alias("rank"))
+    heads = members.select(F.col("head").alias("node")).distinct().select("node", F.col("node").alias("head"), F.lit(0).cast("bigint").alias("rank"))
+    members = written(members.unionByName(heads))
+    between = edges.join(inner, ["src", "dst"], "left_anti")
+    placed = between.join(members.withColumnRenamed("node", "src"), "src", "left")
+    at = F.coalesce("rank", F.lit(0))
+    return members, written(placed.select(F.coalesce("head", "src").alias("head"), at.alias("at"), "dst", (at + 1).alias("steps")))
+
+
+def reach_by_chains(edges: DataFrame, seeds: DataFrame, keep: Sequence[str] = ("origin",)) -> DataFrame:
+    """The same as `reach`, in as many rounds as there are branches on the way instead of steps.
+
+    Chains are found first and passed at once; the rounds run over their first nodes only, and what
+    was found is spread over the members of each chain at the end.
+    """
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    found = chains(written(e))
+    if found is None:
+        return reach(edges, seeds, keep)
+    members, links = found
+    key = ["head", *keep]
+    start = seeds.select("node", *keep).distinct().join(members, "node", "left")
+    start = written(start.select(F.coalesce("head", "node").alias("head"), *keep, F.coalesce("rank", F.lit(0)).cast("bigint").alias("at"), "node"))
+    step = start.where("at > 0").select("head", *keep, F.col("at").alias("_from")).join(links, "head")
+    inside = step.select(F.col("dst").alias("head"), *keep, (F.col("steps") - F.col("_from")).alias("depth"))
+    best = start.where("at = 0").select(*key, F.lit(0).cast("bigint").alias("depth")).unionByName(inside)
+    best = frontier = written(best.groupBy(*key).agg(F.min("depth").alias("depth")))
+    while not frontier.isEmpty():
+        new = frontier.join(links, "head").select(F.col("dst").alias("head"), *keep, (F.col("depth") + F.col("steps")).alias("depth"))
+        new = new.groupBy(*key).agg(F.min("depth").alias("depth"))
+        old = best.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("depth").alias("_depth"))
+        same = F.lit(True)
+        for c in key:
+            same = same & (new[c].eqNullSafe(old[f"_{c}"]))
+        frontier = written(new.join(old, same, "left").where(F.col("_depth").isNull() | (F.col("depth") < F.col("_depth"))).select(*key, "depth"))
+        best = written(best.unionByName(frontier).groupBy(*key).agg(F.min("depth").alias("depth")))
+    spread = best.join(members, "head", "left").select(F.coalesce("node", "head").alias("node"), *keep, (F.col("depth") + F.coalesce("rank", F.lit(0))).alias("depth"))
+    late = start.where("at > 0").select("head", *keep, "at").join(members, "head").where("rank >= at").select("node", *keep, (F.col("rank") - F.col("at")).alias("depth"))
+    return spread.unionByName(late).groupBy("node", *keep).agg(F.min("depth").cast("int").alias("depth"))
+
+
 def value_spread(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Which inputs reach which variables: sanitised assignments pass nothing on.
 
@@ -58,7 +146,7 @@ def import_closure(edges: DataFrame, entries: DataFrame, limit: int | None = Non
     `edges(src, dst)`, `entries(node, origin)`. The whole closure, unless `limit` asks for the
     first files per entry by depth and name.
     """
-    found = reach(edges, entries, max_rounds=max_rounds)
+    found = reach_by_chains(edges, entries) if max_rounds is None else reach(edges, entries, max_rounds=max_rounds)
     if limit is None:
         return found
     return top_k(found, ["origin"], [F.col("depth"), F.col("node")], limit, ["node"], rank="place").drop("place")
