@@ -73,13 +73,6 @@ def glob_regex_of(glob: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, one), ""), F.lit("$"))
 
 
-def rule_matches_of(rule_id: Column, pattern: Column) -> Column:
-    """`rule_matches` where the pattern is a column of globs, bracketed sets included."""
-    upper, wanted = F.upper(rule_id), F.upper(F.btrim(pattern))
-    named = F.rlike(upper, glob_regex_of(wanted)) | F.startswith(upper, F.concat(F.rtrim(wanted, F.lit("-")), F.lit("-")))
-    return (wanted != "") & named
-
-
 def ignore_regex(pattern: Column) -> Column:
     """The regular expression of a line of an ignore file, for paths relative to the folder of the file.
 

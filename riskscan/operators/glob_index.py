@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riskscan.functions import globs as G
-from riskscan.operators.skew import broadcast_if_small
+from riskscan.operators.skew import broadcast_if_small, written
 
 #: Lengths of fixed beginnings and ends that are filed, longest first, and of inner parts.
 LENGTHS, INNER = (16, 8, 4, 2), 4
@@ -82,6 +82,12 @@ def index(suppressions: DataFrame) -> DataFrame:
     return own.drop("_keys").join(best.select("order", F.col("b.kind").alias("kind"), F.col("b.key").alias("key")), "order")
 
 
+def _test(glob: Column) -> Column:
+    """How a glob is tested: any (0), equal (1), begins with (2), ends with (3), by its expression (4)."""
+    how = F.when(glob == "*", 0).when(~glob.rlike(WILD), 1).when(glob.rlike(r"^[^*?\[]*\*$"), 2).when(glob.rlike(r"^\*[^*?\[]*$"), 3).otherwise(4)
+    return F.struct(how.alias("how"), F.when(how < 4, F.btrim(glob, F.lit("*"))).alias("fixed"), F.when(how == 4, G.glob_regex_of(glob)).alias("regex"))
+
+
 def suppress(findings: DataFrame, suppressions: DataFrame, today: date) -> DataFrame:
     """`findings.suppress` for suppressions in a table: (order, rule, server, target, reason, expires).
 
@@ -92,14 +98,21 @@ def suppress(findings: DataFrame, suppressions: DataFrame, today: date) -> DataF
     any_ = lambda name: F.coalesce(name, F.lit("*"))
     wanted = suppressions.select("order", "rule", any_("server").alias("server"), any_("target").alias("target"), F.coalesce("reason", F.lit("")).alias("reason"), "expires")
     wanted = wanted.where(F.btrim(F.coalesce("rule", F.lit(""))) != "")
-    filed = index(wanted)
+    # What has to be tested is worked out once per suppression, not once per pair.
+    wanted = wanted.withColumn("_pattern", F.upper(F.btrim("rule"))).withColumn("_head", F.concat(F.rtrim("_pattern", F.lit("-")), F.lit("-")))
+    wanted = wanted.select("*", _test(F.col("server")).alias("_server"), _test(F.col("target")).alias("_target"), _test(F.col("_pattern")).alias("_rule"))
+    filed = written(index(wanted))
     kinds = {r["kind"] for r in filed.select("kind").distinct().collect()}
     triples = findings.select(*TRIPLE).distinct()
     asked = triples.withColumn("_k", F.explode(look_up_keys(F.col("rule_id"), F.col("server_id"), F.col("target_name"), kinds)))
     asked = asked.select(*TRIPLE, F.col("_k.kind").alias("kind"), F.col("_k.key").alias("key"))
     met = asked.join(broadcast_if_small(filed), ["kind", "key"])
-    fits = lambda value, glob: (F.col(glob) == "*") | F.rlike(F.col(value), G.glob_regex_of(F.col(glob)))
-    hit = met.where(G.rule_matches_of(F.col("rule_id"), F.col("rule")) & fits("server_id", "server") & fits("target_name", "target"))
+    fits = lambda value, test: (
+        F.when(test["how"] == 0, True).when(test["how"] == 1, value == test["fixed"]).when(test["how"] == 2, F.startswith(value, test["fixed"]))
+        .when(test["how"] == 3, F.endswith(value, test["fixed"])).otherwise(F.rlike(value, test["regex"]))
+    )
+    names = F.startswith(F.upper("rule_id"), F.col("_head")) | fits(F.upper("rule_id"), F.col("_rule"))
+    hit = met.where(names & fits(F.col("server_id"), F.col("_server")) & fits(F.col("target_name"), F.col("_target")))
     live = F.col("expires").isNull() | (F.col("expires") >= F.lit(today))
     ended = F.concat(F.lit("No longer suppressed, this ended on "), F.date_format("expires", "yyyy-MM-dd"), F.lit(" and has expired: "), F.col("reason"))
     hit = hit.select(*TRIPLE, "order", live.alias("live"), F.when(live, F.concat(F.lit("Suppressed: "), F.col("reason"))).otherwise(ended).alias("note"))

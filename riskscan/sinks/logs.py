@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -128,7 +129,8 @@ class _LogWriter:
 
 class LogWriter(_LogWriter, DataSourceWriter):
     def commit(self, messages: list) -> None:
-        self.finish(messages, f"log-{uuid.uuid4().hex[:12]}")
+        # Names of later commits come later, so that a reader that follows the folder finds them.
+        self.finish(messages, f"log-{time.time_ns():020d}")
 
     def abort(self, messages: list) -> None:
         self.drop(messages)

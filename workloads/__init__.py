@@ -38,4 +38,4 @@ def lit_sql(value: str) -> str:
 
 
 def load() -> None:
-    from workloads import details, findings, packages, rules, runtime, streams, texts, tools  # noqa: F401
+    from workloads import details, findings, packages, rules, runtime, streams, tables, texts, tools  # noqa: F401
