@@ -1,15 +1,19 @@
-"""Licence scans: overlapping windows of texts meet templates in their shingles, exact containment counts.
+"""Licence scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
 Templates are put into classes by size; the block of a class is a power of two that holds its
 templates with a quarter more, for words put in between. A text is read in windows of two blocks
-that overlap by half, so a notice or a whole licence lies in one window.
-
-Every shingle of every template is looked up in the windows of its class: the hash brings the two
-together, the text decides. What a window holds of a template is counted, so nothing is missed and
-a template costs a window no more than the shingles they share, however long both are. Templates
-come from a list or a table and are dealt into passes of about PASS shingles, which are broadcast;
-a template is whole in its pass, so passes share nothing. All steps are DataFrame operations; texts
-stay in their rows.
+that overlap by half, so a notice or a whole licence lies in one window. The sketch of a window or
+of a template is its smallest shingle hash in each of `BINS` bins (one permutation, a band per bin),
+and the two meet if they agree in any band. The setting makes that near certain: `miss_bound` is
+below 1 in 1,000 for a template of which 0.8 lies in a window, whatever its length, and below 1 in
+100,000 beyond ten shingles. A template of one shingle is its own band and is never missed.
+
+What meets is verified once: the template's distinct shingles that stand in the window are counted
+as text. Templates come from a list or a table and are dealt into passes of about PASS shingles,
+which are broadcast; a template is whole in its pass. In each pass only texts with one of the words
+that its templates can't do without are looked at (`anchors`), which loses nothing. These texts are
+written once, so that retrieval and verification see the same rows; no other text is moved. All
+steps are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from riskscan.llm.tables import saved, whole
 
 #: Words in a shingle, containment that counts.
 WORDS, THRESHOLD = 5, 0.8
+#: Bands of a sketch.
+BINS = 256
 #: Shingles of templates in a pass, about: so many are broadcast.
 PASS = 200_000
 WORD = "[\\p{L}\\p{N}_]+"
@@ -115,9 +121,23 @@ def block_of(shingles: int, threshold: float = THRESHOLD) -> int:
     return 1 if shingles == 1 else 1 << math.ceil(math.log2(shingles / threshold))
 
 
+def window_of(block: int) -> int:
+    return 1 if block == 1 else 2 * block
+
+
 def miss_bound(shingles: int, threshold: float = THRESHOLD) -> float:
-    """Upper bound of the probability that a template with enough shingles in a window is not found: all are looked up."""
-    return 0.0
+    """Upper bound of the probability that a template with enough shingles in a window is not retrieved.
+
+    Of `all_` different shingles of both, `held` are in both. Taken by rising hash, the i-th is one
+    of these with a probability of held / all_, and the first of its bin with at least 1 - (i - 1) / BINS: then
+    a band agrees. With few shingles a closer bound: each of those held has to be hidden by a smaller one.
+    """
+    if shingles <= 1:
+        return 0.0
+    held = math.ceil(threshold * shingles)
+    all_ = window_of(block_of(shingles, threshold)) + shingles - held
+    none = math.prod(1 - held / all_ * (1 - i / BINS) for i in range(min(all_, BINS)))
+    return min(none, min(1.0, (all_ - 1) / BINS) ** held)
 
 
 def anchors(templates: list[tuple[int, str, str]], threshold: float = THRESHOLD) -> list[str]:
@@ -141,9 +161,17 @@ def _hash(shingle: Column) -> Column:
     return F.xxhash64(shingle)
 
 
-def _shingles(words: Column) -> Column:
-    last = F.greatest(F.lit(1), F.size(words) - WORDS + 1)
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, WORDS), " "))
+def _shingles(words: Column, size: int | Column = WORDS) -> Column:
+    last = F.greatest(F.lit(1), F.size(words) - size + 1)
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, size), " "))
+
+
+def sketch(hashes: Column) -> Column:
+    """The smallest hash of each bin that has any."""
+    placed = F.array_sort(F.transform(hashes, lambda h: F.struct((F.shiftrightunsigned(h, 32) % BINS).alias("bin"), h.alias("hash"))))
+    # The sorted array is bound to a name, so that it is made once and not for each of its members.
+    firsts = F.transform(F.array(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["bin"] != x["bin"])))
+    return F.transform(F.get(firsts, F.lit(0)), lambda x: x["hash"])
 
 
 def template_table(spark: SparkSession, templates: list[tuple[int, str, str]]) -> DataFrame:
@@ -153,13 +181,18 @@ def template_table(spark: SparkSession, templates: list[tuple[int, str, str]]) -
     return spark.sql(f"select * from values {', '.join(rows)} as t(template, licence, text)")
 
 
-def template_shingles(templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """template, licence, _n, _block, _shingle: a row per distinct shingle of each template; saved."""
+def template_sketches(templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """template, licence, _text, _size, _n, _block, _own, _bands: each template with its distinct shingles and its sketch; saved.
+
+    `_size` is the words of its shingles: five, or all it has if they are fewer.
+    """
     words = F.regexp_extract_all(F.lower(whole("text")), F.lit(WORD), F.lit(0))
-    own = templates.select("template", "licence", words.alias("_words")).filter(F.size("_words") > 0)
-    own = own.select("template", "licence", F.array_distinct(_shingles(F.col("_words"))).alias("_own")).withColumn("_n", F.size("_own"))
-    block = F.when(F.col("_n") == 1, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_n") / threshold))).cast("int"))
-    return saved(own.select("template", "licence", "_n", block.alias("_block"), F.explode("_own").alias("_shingle")), "licence_shingles")
+    own = templates.select("template", "licence", whole("text").alias("_text"), words.alias("_words")).filter(F.size("_words") > 0)
+    own = own.withColumn("_size", F.least(F.lit(WORDS), F.size("_words"))).withColumn("_own", F.array_distinct(_shingles(F.col("_words"), F.col("_size"))))
+    n = F.size("_own")
+    block = F.when(n == 1, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(n / threshold))).cast("int"))
+    bands = sketch(F.transform("_own", _hash))
+    return saved(own.select("template", "licence", "_text", "_size", n.alias("_n"), block.alias("_block"), "_own", bands.alias("_bands")), "licence_sketches")
 
 
 def _any_of(words: list[str]) -> str:
@@ -170,6 +203,40 @@ def _any_of(words: list[str]) -> str:
     return "(?<![\\p{L}\\p{N}_])(?:" + "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in starts.items()) + ")" if starts else "^$a"
 
 
+def _retrieved(rows: DataFrame, own: DataFrame, blocks: list[int]) -> DataFrame:
+    """_row, _block, _start, licence, template: the windows of classes of several shingles that agree with a template in a band."""
+    bands = own.filter("_block > 1").select("_block", "licence", "template", F.explode("_bands").alias("_value"))
+    hashes = F.transform(_shingles(F.col("_words")), _hash)
+    spans = rows.select("_row", hashes.alias("_hashes")).withColumn("_block", F.explode(F.array(*map(F.lit, blocks))))
+    starts = F.sequence(F.lit(1), F.size("_hashes"), F.col("_block"))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("start"), sketch(F.slice("_hashes", i, 2 * F.col("_block"))).alias("bands")))
+    windows = spans.select("_row", "_block", F.explode(cut).alias("_w")).select("_row", "_block", F.col("_w.start").alias("_start"), F.explode("_w.bands").alias("_value"))
+    met = windows.join(F.broadcast(bands), ["_block", "_value"])
+    return met.select("_row", "_block", "_start", "licence", "template").distinct()
+
+
+def _verified(rows: DataFrame, met: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """_row, licence, template, _start, _share: what was retrieved and holds enough of the template's shingles, as text."""
+    named = own.select(F.col("licence").alias("_l"), F.col("template").alias("_t"), "_own", "_n")
+    same = met["licence"].eqNullSafe(F.col("_l")) & met["template"].eqNullSafe(F.col("_t"))
+    window = F.slice("_words", F.col("_start"), 2 * F.col("_block") + WORDS - 1)
+    share = F.size(F.array_intersect("_own", _shingles(window))) / F.col("_n")
+    found = rows.join(met, "_row").join(F.broadcast(named), same).select("_row", "licence", "template", "_start", share.alias("_share"))
+    return found.filter(F.col("_share") >= threshold)
+
+
+def _single(rows: DataFrame, own: DataFrame, sizes: list[int]) -> DataFrame:
+    """The same for templates of one shingle, of five words or fewer: the shingle itself is looked up."""
+    out = None
+    for size in sizes:
+        at = F.posexplode(_shingles(F.col("_words"), size)).alias("_at", "_shingle")
+        each = rows.filter(F.size("_words") >= size).select("_row", at)
+        wanted = own.filter((F.col("_block") == 1) & (F.col("_size") == size)).select("licence", "template", F.get("_own", F.lit(0)).alias("_shingle"))
+        found = each.join(F.broadcast(wanted), "_shingle").select("_row", "licence", "template", (F.col("_at") + 1).alias("_start"), F.lit(1.0).alias("_share"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def licensed(
     df: DataFrame, templates: DataFrame | list[tuple[int, str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -178,44 +245,35 @@ def licensed(
     One row per input row and template: the largest share of the template's distinct five-word
     shingles (lower case, words only) in one window, if it is at least the threshold, and the number
     of the word where the first such window begins. A template of fewer than five words is one
-    shingle and is held only by a text of exactly these words. Null and empty texts hold nothing.
-    Repeated rows are reported each. Only the two named columns are read. templates: a table with
-    template, licence and text or a list of these, of any number and length; else `known`.
+    shingle of all its words, held by a text in which they stand in a row. Null and empty texts and
+    templates hold nothing and match nothing. Repeated rows are reported each. Only the two named
+    columns are read. templates: a table with template, licence and text or a list of these, of any
+    number and length; else `known`.
     """
     spark = df.sparkSession
     given = templates if isinstance(templates, DataFrame) else template_table(spark, known() if templates is None else templates)
-    shingles = template_shingles(given, threshold)
-    blocks = sorted(r[0] for r in shingles.select("_block").distinct().collect()) or [1]
-    passes = max(1, -(-shingles.count() // PASS))
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.lower(whole(text_col)).alias("_text"))
-    if passes == 1:
-        # A text without any of these words can't hold enough of a template: this loses nothing.
-        listed = [(r["template"], r["licence"], r["text"]) for r in given.select("template", "licence", whole("text").alias("text")).collect()]
-        rows = rows.filter(F.col("_text").rlike(_any_of(anchors(listed, threshold))))
-    rows = rows.select("_row", "doc_id", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words"))
-    last = F.greatest(F.lit(1), F.size("_words") - WORDS + 1)
-    hashes = F.transform(F.sequence(F.lit(1), last), lambda i: _hash(F.array_join(F.slice(F.col("_words"), i, WORDS), " ")))
-    rows = rows.withColumn("_hashes", hashes)
-    # A window takes along its own hashes and words only: rows stay small however long the text is.
-    spans = rows.withColumn("_block", F.explode(F.array(*map(F.lit, blocks))))
-    length = F.when(F.col("_block") == 1, 1).otherwise(2 * F.col("_block"))
-    starts = F.sequence(F.lit(1), F.size("_hashes"), F.col("_block"))
-    cut = F.transform(
-        starts, lambda i: F.struct(i.alias("start"), F.slice("_hashes", i, length).alias("hashes"), F.slice("_words", i, length + WORDS - 1).alias("words"))
-    )
-    windows = spans.select("_row", "doc_id", "_block", F.explode(cut).alias("_w"))
-    each = windows.select("*", F.posexplode("_w.hashes").alias("_at", "_value"))
-    # A shingle counts once in a window, where it stands first.
-    first = F.array_position("_w.hashes", F.col("_value")) == F.col("_at") + 1
-    same = F.array_join(F.slice("_w.words", F.col("_at") + 1, WORDS), " ") == F.col("_shingle")
-    keys = ["_row", "doc_id", "licence", "template"]
+    sketches = template_sketches(given, threshold)
+    passes = max(1, -(-(sketches.agg(F.sum("_n")).first()[0] or 0) // PASS))
+    source = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.lower(whole(text_col)).alias("_text"))
+    schema = sketches.schema
     out = None
     for number in range(passes):
-        own = shingles.filter(F.pmod(F.xxhash64("template", "licence"), F.lit(passes)) == number).withColumn("_value", _hash(F.col("_shingle")))
-        found = each.join(F.broadcast(own), ["_block", "_value"]).filter(first & same).select(*keys, "_n", F.col("_w.start").alias("_start"))
-        share = (F.count(F.lit(1)) / F.col("_n")).alias("_share")
-        matched = found.groupBy(*keys, "_n", "_start").agg(share).filter(F.col("_share") >= threshold)
-        best = matched.groupBy(*keys).agg(F.max("_share").alias("containment"), F.min("_start").alias("first_word"))
-        best = best.select("doc_id", "licence", "template", "containment", "first_word")
-        out = best if out is None else out.unionByName(best)
-    return out
+        own = sketches.filter(F.pmod(F.xxhash64("template", "licence"), F.lit(passes)) == number)
+        # About PASS shingles: the words that its templates need, and which classes there are.
+        listed = own.select("template", "licence", "_text", "_block", "_size").collect()
+        must = _any_of(anchors([(r["template"], r["licence"], r["_text"]) for r in listed], threshold))
+        rows = saved(source.filter(F.col("_text").rlike(must)).select("_row", "doc_id", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words")), "licence_texts")
+        blocks, sizes = sorted({r["_block"] for r in listed if r["_block"] > 1}), sorted({r["_size"] for r in listed if r["_block"] == 1})
+        parts = []
+        if blocks:
+            parts.append(_verified(rows, saved(_retrieved(rows, own, blocks), "licence_windows"), own, threshold))
+        if sizes:
+            parts.append(_single(rows, own, sizes))
+        for matched in parts:
+            best = matched.groupBy("_row", "licence", "template").agg(F.max("_share").alias("containment"), F.min("_start").alias("first_word"))
+            best = best.join(rows.select("_row", "doc_id"), "_row").select("doc_id", "licence", "template", "containment", "first_word")
+            out = best if out is None else out.unionByName(best)
+    if out is not None:
+        return out
+    kinds = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, licence {schema['licence'].dataType.simpleString()}, template {schema['template'].dataType.simpleString()}"
+    return spark.createDataFrame([], f"{kinds}, containment double, first_word int")
