@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskscan.llm.tables import forget, is_empty, saved, whole
+from riskscan.llm.tables import forget, fresh, is_empty, saved, whole
 
 #: Bytes in a block.
 BLOCK = 4096
@@ -104,11 +104,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` that stay, with all their columns; of repeated rows one."""
     groups = saved(exact_groups(df, id_col, text_col), "exact")
-    stay = groups.filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    keep, sha = fresh(df, "_keep"), fresh(df, "_sha")
+    stay = groups.filter("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(sha))
     digest = F.sha2(F.encode(normalised(df[text_col]), "UTF-8"), 256)
     # A row stays if its id and text do; ids that occur once, which is usual, need no more than this.
-    kept = df.join(stay, df[id_col].eqNullSafe(F.col("_keep")) & (digest == F.col("_sha")), "left_semi")
+    kept = df.join(stay, df[id_col].eqNullSafe(stay[keep]) & (digest == stay[sha]), "left_semi")
     again = groups.groupBy("doc_id", "text_sha256").count().filter("count > 1")
     if is_empty(again):
         return kept
-    return kept.withColumn("_sha", F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return kept.withColumn(sha, F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)).dropDuplicates([id_col, sha]).drop(sha)

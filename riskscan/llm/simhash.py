@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskscan.llm.components import components
-from riskscan.llm.tables import arrow_rows, forget, is_empty, pieces, saved, whole
+from riskscan.llm.tables import arrow_rows, forget, fresh, is_empty, pieces, saved, whole
 
 #: Words in a shingle, seed of its hash, bits that may differ.
 WORDS, SEED, DISTANCE = 3, 42, 3
@@ -152,12 +152,13 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows that repeat this id one stays. Rows without an id can't be told apart, so all stay.
     """
     groups = saved(near_groups(df, id_col, text_col), "near")
-    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep"))
-    again = stay.groupBy("_keep").count().filter("count > 1").select(F.col("_keep").alias("_twice"))
-    kept = df.join(stay, df[id_col] == F.col("_keep"), "left_semi")
+    keep, twice = fresh(df, "_keep"), fresh(df, "_twice")
+    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(keep))
+    again = stay.groupBy(keep).count().filter("count > 1").select(F.col(keep).alias(twice))
+    kept = df.join(stay, df[id_col] == stay[keep], "left_semi")
     if not is_empty(again):
-        once = kept.join(again, kept[id_col] == F.col("_twice"), "left_anti")
-        kept = once.unionByName(kept.join(again, kept[id_col] == F.col("_twice"), "left_semi").dropDuplicates([id_col]))
+        once = kept.join(again, kept[id_col] == again[twice], "left_anti")
+        kept = once.unionByName(kept.join(again, kept[id_col] == again[twice], "left_semi").dropDuplicates([id_col]))
     if is_empty(groups.filter(F.col("doc_id").isNull())):
         return kept
     return kept.unionByName(df.filter(df[id_col].isNull()))

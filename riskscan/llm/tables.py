@@ -42,6 +42,14 @@ def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to be none of the frame's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """At most this many rows go to Python at once: texts are long and workers share little memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
