@@ -13,8 +13,12 @@ about 0.19 at a threshold of 0.8. Windows and items meet when they agree in any
 values, so such a pair is missed with a probability below 2 in a million. Candidates are verified
 by the exact containment of the item's shingles in the whole document, compared as text.
 
-The items are the small side: they are read in blocks of a bounded number, each block one pass
-over the documents, which stay in their rows; nothing but the matches leaves a row.
+An item of fewer than five words is one shingle of all its words: windows of as many words of a
+document are looked up as they are, so it is found inside longer documents too.
+
+The items are the small side: they are read in blocks of a bounded number of items and characters,
+each block one pass over the documents, which stay in their rows; nothing but the matches leaves a
+row. What a document takes in memory depends on its own length and not on the longest item's.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from pyspark.sql import functions as F
 
 from riskscan.llm.tables import arrow_rows, whole, word_pieces
 
-#: Words in a shingle, containment that counts, MinHash values, items in a pass.
-WORDS, THRESHOLD, HASHES, ITEMS = 5, 0.8, 64, 20_000
+#: Words in a shingle, containment that counts, MinHash values, items in a pass and their characters.
+WORDS, THRESHOLD, HASHES, ITEMS, ITEM_CHARS = 5, 0.8, 64, 20_000, 30_000_000
+#: From this block on, documents are not filled up to whole blocks.
+WIDE = 64
 #: Shingles looked up at a time; words remembered per worker.
 PIECE_SHINGLES, REMEMBERED = 1 << 18, 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -101,11 +107,16 @@ class Search:
         self.shingles: list[set[str]] = []
         self.ids: list[int] = []
         classes: dict[int, list[tuple[int, np.ndarray]]] = {}
+        #: Items of fewer words than a shingle has, by their number of words: text and numbers.
+        self.short: dict[int, dict[str, list[int]]] = {}
         for item, text in items:
             words = [w for piece in word_pieces(text) for w in piece]
             own = set(shingle_texts(words, size))
             if not own:
                 continue
+            if len(words) < size:
+                self.short.setdefault(len(words), {}).setdefault(" ".join(words), []).append(item)
+                continue
             classes.setdefault(1 << (len(own) - 1).bit_length(), []).append((len(self.ids), np.unique(self.hasher.shingles(words))))
             self.ids.append(item)
             self.shingles.append(own)
@@ -119,6 +130,11 @@ class Search:
                 order = np.argsort(low, kind="stable")
                 rows.append((low[order], numbers[order]))
             self.classes[block] = rows
+        #: Per number of words: a hasher and the sorted hashes of the short items.
+        self.short_hashes = {}
+        for count, texts in sorted(self.short.items()):
+            hasher = Hasher(count)
+            self.short_hashes[count] = hasher, np.unique(np.concatenate([hasher.shingles(t.split(" ")) for t in texts]))
 
     def parts(self, text: str) -> Iterator[list[str]]:
         """The words of a text in lists that overlap by more than a window."""
@@ -148,16 +164,20 @@ class Search:
 
     def _look_up(self, held: list[tuple[int, np.ndarray]], found: dict[int, set[int]]) -> None:
         for block, rows in self.classes.items():
-            filled, owner = [], []
-            for number, hashes in held:
-                blocks = -(-len(hashes) // block)
-                filled += [hashes, np.repeat(hashes[-1:], blocks * block - len(hashes))]
-                owner.append(np.full(blocks, number))
-            owners = np.concatenate(owner)
-            # Blocks stand in columns, so that a minimum runs over whole rows.
-            turned = np.ascontiguousarray(np.concatenate(filled).reshape(-1, block).T)
+            owners = np.concatenate([np.full(-(-len(hashes) // block), number) for number, hashes in held])
+            if block < WIDE:
+                filled = []
+                for _, hashes in held:
+                    filled += [hashes, np.repeat(hashes[-1:], -len(hashes) % block)]
+                # Blocks stand in columns, so that a minimum runs over whole rows.
+                turned = np.ascontiguousarray(np.concatenate(filled).reshape(-1, block).T)
+            else:
+                turned = np.concatenate([hashes for _, hashes in held])
+                ends = np.cumsum([len(hashes) for _, hashes in held])
+                starts = np.concatenate([np.arange(end - len(hashes), end, block) for end, (_, hashes) in zip(ends, held, strict=True)])
             for factor, offset, (items, numbers) in zip(self.factors, self.offsets, rows, strict=True):
-                low = _turned(turned, factor, offset).min(axis=0)
+                values = _turned(turned, factor, offset)
+                low = values.min(axis=0) if block < WIDE else np.minimum.reduceat(values, starts)
                 # Windows of two blocks; those of one block are for texts that have no more. A window over
                 # the end of a text belongs to both texts: verification tells them apart.
                 for windows, ends in ((low, (0,)), (np.minimum(low[:-1], low[1:]), (0, 1))):
@@ -178,15 +198,29 @@ class Search:
         shares = [(self.ids[n], len(own & there) / len(own)) for n, own in wanted.items()]
         return [(item, share) for item, share in shares if share >= self.threshold]
 
+    def short_held_by(self, text: str) -> list[tuple[int, float]]:
+        """The items of few words that stand in the text, each once."""
+        there: dict[tuple[int, str], None] = {}
+        for words in self.parts(text) if self.short else ():
+            for count, (hasher, wanted) in self.short_hashes.items():
+                if len(words) < count:
+                    continue
+                for i in np.flatnonzero(np.isin(hasher.shingles(words), wanted)).tolist():
+                    said = " ".join(words[i : i + count])
+                    if said in self.short[count]:
+                        there[count, said] = None
+        return [(item, 1.0) for count, said in there for item in self.short[count][said]]
+
     def matches(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         found = self.candidates(texts)
-        return [self.held_by(text, found[i]) if i in found else [] for i, text in enumerate(texts)]
+        return [(self.held_by(text, found[i]) if i in found else []) + self.short_held_by(text) for i, text in enumerate(texts)]
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", rows: int = ITEMS) -> Iterator[list[tuple[int, str]]]:
-    """The different items (id and text) in blocks of about `rows`, dealt out by a hash."""
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", rows: int = ITEMS, chars: int = ITEM_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The different items (id and text) in blocks of about `rows` and about `chars` characters, dealt out by a hash."""
     different = items.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).distinct()
-    parts = max(1, -(-different.count() // rows))
+    size = different.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars")).first()
+    parts = max(1, -(-size["n"] // rows), -(-size["chars"] // chars))
     for part in range(parts):
         own = different.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
         yield [(r["id"], r["text"]) for r in own.orderBy("id", "text").toLocalIterator()]
@@ -196,8 +230,8 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id, item_id, containment: every item that a document holds to the threshold.
 
     Containment is the share of the item's distinct five-word shingles (lower case, words only)
-    that occur in the document. An item of fewer than five words is one shingle of all its words
-    and is held only by a document of exactly these words. Null and empty texts and items hold
+    that occur in the document. An item of fewer than five words is one shingle of all its words,
+    held by a document in which they stand in a row. Null and empty texts and items hold
     and match nothing. Repeated rows are reported as often as they occur, repeated items once. Of
     the tables only ids and texts are read.
     """

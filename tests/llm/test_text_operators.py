@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -132,17 +135,24 @@ def test_sample_is_bounded(spark):
     assert got["y"].value_counts().to_dict() == {0: 20, 1: 20}
 
 
-def shingles(text):
+def shingles(text, size=5):
     words = re.findall(r"\w+", (text or "").lower())
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def share_held(item, text):
+    """The share of an item's shingles in a text; an item of fewer than five words has shingles of as many."""
+    size = min(5, len(re.findall(r"\w+", (item or "").lower())))
+    own = shingles(item, size) if size else set()
+    return len(own & shingles(text, size)) / len(own) if own else 0
 
 
 def leak_tables():
     r = random.Random(8)
     words = ["v%d" % i for i in range(400)]
     text = lambda n: " ".join(r.choice(words) for _ in range(n))
-    items = [(i, text(r.randint(6, 60))) for i in range(60)] + [(100, "only three words"), (101, None), (102, ""), (103, text(300))]
-    docs = []
+    items = [(i, text(r.randint(6, 60))) for i in range(60)] + [(100, "only three words"), (101, None), (102, ""), (103, text(300)), (104, "V7"), (105, "v1 v2"), (106, "only four words here"), (107, "v1 v2")]
+    docs = [(300, "v1 v2 " * 3), (301, "there are only four words here, and more"), (302, "four words here"), (303, "xv7 v77"), (304, "v1\nV2")]
     for i in range(200):
         words_ = text(r.randint(1, 900)).split()
         for _ in range(r.choice([0, 0, 1, 2])):
@@ -152,14 +162,15 @@ def leak_tables():
             at = r.randrange(len(words_) + 1)
             words_[at:at] = own
         docs.append((i, " ".join(words_)))
-    docs += [(500, items[-1][1]), (501, "Only, THREE words!"), (502, "here are only three words more"), (503, None), (504, ""), (None, items[0][1]), (505, items[1][1]), (505, items[1][1])]
+    docs += [(500, items[63][1]), (501, "Only, THREE words!"), (502, "here are only three words more"), (503, None), (504, ""), (None, items[0][1]), (505, items[1][1]), (505, items[1][1])]
     return docs, items
 
 
 @pytest.mark.parametrize("piece", [1 << 18, 40])
 def test_leaks_against_brute_force(spark, piece):
     docs, items = leak_tables()
-    want = sorted((d or -1, i, round(len(shingles(t) & shingles(x)) / len(shingles(x)), 9)) for d, t in docs for i, x in items if shingles(x) and len(shingles(t) & shingles(x)) >= 0.8 * len(shingles(x)))
+    want = sorted((d or -1, i, round(share_held(x, t), 9)) for d, t in docs for i, x in items if share_held(x, t) >= 0.8)
+    assert {100, 104, 105, 106, 107} <= {i for _, i, _ in want} and (502, 100, 1.0) in want
     search = decontamination.Search([(i, t or "") for i, t in items])
     decontamination_piece, decontamination.PIECE_SHINGLES = decontamination.PIECE_SHINGLES, piece
     try:
@@ -187,6 +198,32 @@ def test_items_in_several_blocks_and_none(spark):
     assert decontamination.leaks(frame(spark, []), table).count() == 0
 
 
+def test_a_long_item_takes_no_memory_of_short_documents():
+    """An item of 300,000 words and 300 short texts in one batch: less than 300 MB on top of what importing takes."""
+    code = (
+        "import resource, random\n"
+        "from riskscan.llm import decontamination as D\n"
+        "r = random.Random(1)\n"
+        "item = ' '.join('w%d' % r.randrange(50000) for _ in range(300000))\n"
+        "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024\n"
+        "before = peak()\n"
+        "search = D.Search([(1, item), (2, 'a b c d e f g h')])\n"
+        "texts = ['some short text number %d of these' % i for i in range(300)]\n"
+        "assert search.matches(texts) == [[]] * 300\n"
+        "assert search.matches([item + ' and more', 'x a b c d e f g h'])[1] == [(2, 1.0)]\n"
+        "print(peak() - before)\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=str(Path(decontamination.__file__).parents[2]))
+    assert done.returncode == 0, done.stderr[-1500:]
+    assert int(done.stdout) < 300
+
+
+def test_blocks_of_items_are_bounded_by_characters(spark):
+    table = spark.createDataFrame([(i, f"{i} " + "word " * 200) for i in range(20)], "item_id long, text string")
+    blocks = list(decontamination.item_blocks(table, chars=4000))
+    assert sum(map(len, blocks)) == 20 and len(blocks) >= 4
+
+
 def test_pieces_end_between_words():
     text = " ".join("wörd%d" % i for i in range(200))
     assert [w for p in word_pieces(text, 17) for w in p] == re.findall(r"\w+", text)
