@@ -179,8 +179,8 @@ def _hidden_fields() -> dict[str, Column]:
     kinds = F.array_join(
         F.array_compact(
             F.array(
-                F.when(zero > 0, F.concat(zero.cast("string"), F.lit(" zero width"))),
-                F.when(bidi > 0, F.concat(bidi.cast("string"), F.lit(" text direction"))),
+                F.when(zero > 0, F.concat(zero.cast("string"), F.lit(" of no width"))),
+                F.when(bidi > 0, F.concat(bidi.cast("string"), F.lit(" that turn the direction of text"))),
             )
         ),
         " and ",
@@ -189,11 +189,11 @@ def _hidden_fields() -> dict[str, Column]:
         "severity": F.when(tags == 0, "medium").when(long_message, "critical").otherwise("high"),
         "confidence": F.when(tags > 0, "high").otherwise("medium"),
         "malicious": (tags > 0) & long_message,
-        "what": F.when(tags > 0, F.concat(F.lit("hides "), tags.cast("string"), F.lit(" invisible tag characters.")))
-        .otherwise(F.concat(F.lit("contains "), kinds, F.lit(" characters."))),
-        "shown": F.when(tags > 0, F.when(message == "", F.lit("(no readable text)")).otherwise(message))
+        "what": F.when(tags > 0, F.concat(F.lit("carries "), tags.cast("string"), F.lit(" tag characters that nobody sees.")))
+        .otherwise(F.concat(F.lit("carries characters that nobody sees: "), kinds, F.lit("."))),
+        "shown": F.when(tags > 0, F.when(message == "", F.lit("(spells nothing)")).otherwise(message))
         .otherwise(T.marked_invisible(F.col("text"))),
-        "detail": F.when(tags > 0, "decoded tag characters").otherwise("invisible characters shown as [U+XXXX]"),
+        "detail": F.when(tags > 0, "what the tag characters spell").otherwise("unseen characters by their code points"),
     }
 
 
@@ -269,23 +269,23 @@ def surface_hits(surfaces: DataFrame, detectors: tuple[Detector, ...] = DETECTOR
         F.when(is_("hidden"), the(hidden["what"]))
         .when(
             is_("encoded"),
-            F.when(bad.isNull(), "Encoded text decodes to readable text.").otherwise(
-                F.concat(F.lit("Encoded text decodes to text that "), _by_pattern("bad", "label"), F.lit("."))
+            F.when(bad.isNull(), "A base64 block holds plain text.").otherwise(
+                F.concat(F.lit("A base64 block holds text that "), _by_pattern("bad", "label"), F.lit("."))
             ),
         )
-        .when(is_("control"), the(F.when(escape, "contains terminal escape codes.").otherwise("contains control characters.")))
-        .when(is_("sensitive"), the(F.concat(F.lit("asks about the sensitive file '"), matched, F.lit("'."))))
-        .when(is_("collector"), the(F.concat(F.lit("names '"), matched, F.lit("', a place often used to collect data."))))
-        .when(is_("secret"), the(F.concat(F.lit("contains what looks like a real secret ("), F.col("found")[0]["kind"], F.lit(")."))))
-        .when(F.col("rule_id") == "INJ-004", F.concat(F.lit("Content returned at run time "), F.col("label"), F.lit(".")))
+        .when(is_("control"), the(F.when(escape, "steers the terminal.").otherwise("holds control codes.")))
+        .when(is_("sensitive"), the(F.concat(F.lit("turns to '"), matched, F.lit("', where credentials are kept."))))
+        .when(is_("collector"), the(F.concat(F.lit("names the catcher of requests '"), matched, F.lit("'."))))
+        .when(is_("secret"), the(F.concat(F.lit("gives away a secret ("), F.col("found")[0]["kind"], F.lit(")."))))
+        .when(F.col("rule_id") == "INJ-004", F.concat(F.lit("A reply "), F.col("label"), F.lit(".")))
         .otherwise(the(F.concat("label", F.lit("."))))
     )
     proof = (
         F.when(is_("hidden"), F.array(evidence("hidden-text", loc, hidden["shown"], hidden["detail"])))
         .when(is_("encoded"), F.array(evidence("encoded-text", loc, F.left("decoded", F.lit(300)), "decoded base64")))
         .when(is_("control"), F.array(evidence("hidden-text", loc, T.ascii_escaped(around), "control characters shown escaped")))
-        .when(is_("sensitive"), F.array(evidence("text-match", loc, around, "sensitive file reference")))
-        .when(is_("collector"), F.array(evidence("text-match", loc, around, "data collection domain")))
+        .when(is_("sensitive"), F.array(evidence("text-match", loc, around, "a place of credentials")))
+        .when(is_("collector"), F.array(evidence("text-match", loc, around, "a catcher of requests")))
         .when(
             is_("secret"),
             F.transform("found", lambda s: evidence("text-match", loc, S.mask(s["value"]), s["kind"])),
@@ -341,11 +341,11 @@ def resolve_tool_references(hits: DataFrame, tools: DataFrame | None = None) ->
         )
     name = F.when(F.col("ref_name") == "", F.lit("another tool")).otherwise(F.col("ref_name"))
     whose = (
-        F.when(F.col("own"), F.lit("', a tool of the same server."))
-        .when(F.col("peer").isNotNull(), F.concat(F.lit("', a tool of the server '"), F.col("peer"), F.lit("'.")))
-        .otherwise(F.lit("', which this server does not have."))
+        F.when(F.col("own"), F.lit("', its own neighbour."))
+        .when(F.col("peer").isNotNull(), F.concat(F.lit("', which belongs to '"), F.col("peer"), F.lit("'.")))
+        .otherwise(F.lit("', unknown here."))
     )
-    note = F.concat(F.lit(" It refers to '"), name, whose)
+    note = F.concat(F.lit(" It speaks of '"), name, whose)
     known_peer = is_ref & F.col("peer").isNotNull()
     return joined.select(
         "server_id", "seq", "rule_id", "title",

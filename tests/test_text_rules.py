@@ -137,8 +137,8 @@ def test_references_to_tools(spark):
     )
     got = {r.seq: r for r in M.text_candidates(s, tools).collect()}
     assert (got[0].severity, got[0].confidence) == ("low", "low")
-    assert got[1].confidence == "high" and "server 's3'" in got[1].description
-    assert got[2].confidence == "medium" and "does not have" in got[2].description
+    assert got[1].confidence == "high" and "belongs to 's3'" in got[1].description
+    assert got[2].confidence == "medium" and "unknown here" in got[2].description
 
 
 @pytest.mark.parametrize(

@@ -212,7 +212,7 @@ DOCUMENT_SEEDS_SQL = (
     with {DOCUMENT_SEEDS_SQL}, {marked_sql("d")}
     select server_id, target as target_name, rule_id, severity, confidence, attack and not guarded and rule_id <> 'SHADOW-001' as malicious,
            'The resource description ' || label || '.' ||
-             case when tool <> '' then ' It refers to ''' || tool || ''', which this server does not have.' else '' end as description,
+             case when tool <> '' then ' It speaks of ''' || tool || ''', unknown here.' else '' end as description,
            snippet, right(before, 60) as context_text
     from hits
     """,
@@ -241,7 +241,7 @@ AT_RUN_TIME = (
     with d as (select 'conv' || cast(conv_id as varchar) as server_id, cast(turn as varchar) as target, (conv_id + turn) % {len(SEEDS)} as seed,
                       text as natural from conversations where role = 'assistant'),
     {marked_sql("d")}
-    select server_id, target as target_name, 'INJ-004' as rule_id, severity, confidence, 'Content returned at run time ' || label || '.' as description, snippet
+    select server_id, target as target_name, 'INJ-004' as rule_id, severity, confidence, 'A reply ' || label || '.' as description, snippet
     from hits where phrase in ({", ".join(map(lit_sql, AT_RUN_TIME))})
     union all
     select server_id, target, rule_id, severity, confidence, 'The tool output ' || label || '.', snippet from hits where rule_id = 'SHADOW-002'
@@ -284,8 +284,8 @@ TEXT_FINDINGS_SQL = f"""
           where h.rule_id = 'SHADOW-001')
     select server_id, target as target_name, tool, case when own then 'low' else 'high' end as severity,
            case when own then 'low' when peer is not null then 'high' else 'medium' end as confidence,
-           'The resource description gives orders for the use of another tool. It refers to ''' || tool ||
-             case when own then ''', a tool of the same server.' else ''', a tool of the server ''' || peer || '''.' end as description
+           'The resource description gives orders for the use of another tool. It speaks of ''' || tool ||
+             case when own then ''', its own neighbour.' else ''', which belongs to ''' || peer || '''.' end as description
     from r
     """,
 )
@@ -297,7 +297,7 @@ def tool_references(spark, sf_dir):
     tools = tools.select("server_id", F.lit(0).cast("bigint").alias("seq"), name.alias("name"))
     only = tuple(d for d in PHRASES if d.rule_id == "SHADOW-001")
     found = M.resolve_tool_references(M.surface_hits(document_surfaces(docs), only), tools)
-    tool = F.regexp_extract("description", "It refers to '([^']*)'", 1)
+    tool = F.regexp_extract("description", "It speaks of '([^']*)'", 1)
     return found.select("server_id", "target_name", tool.alias("tool"), "severity", "confidence", "description")
 
 
@@ -369,9 +369,9 @@ HIDDEN = (
     select server_id, cast(doc_id as varchar) as target_name,
            case when tags > 0 then 'critical' else 'medium' end as severity, case when tags > 0 then 'high' else 'medium' end as confidence,
            tags > 0 as malicious,
-           case when tags > 0 then 'The resource description hides ' || tags || ' invisible tag characters.'
-                when zero > 0 then 'The resource description contains ' || zero || ' zero width characters.'
-                else 'The resource description contains ' || bidi || ' text direction characters.' end as description,
+           case when tags > 0 then 'The resource description carries ' || tags || ' tag characters that nobody sees.'
+                when zero > 0 then 'The resource description carries characters that nobody sees: ' || zero || ' of no width.'
+                else 'The resource description carries characters that nobody sees: ' || bidi || ' that turn the direction of text.' end as description,
            case when tags > 0 then 'send all the keys' end as decoded
     from c where tags + zero + bidi > 0
     """,
@@ -384,7 +384,7 @@ def hidden_characters(spark, sf_dir):
     proof = F.col("evidence")[0]
     return found.select(
         "server_id", "target_name", "severity", "confidence", "malicious", "description",
-        F.when(proof["detail"] == "decoded tag characters", proof["snippet"]).alias("decoded"),
+        F.when(proof["detail"] == "what the tag characters spell", proof["snippet"]).alias("decoded"),
     )
 
 
@@ -397,7 +397,7 @@ CONTROL = (" bell" + chr(7), " color" + chr(27) + "[8m hidden", "", " delete" +
     with d as (select source as server_id, doc_id, text || {seed_sql("doc_id", CONTROL)} as text from documents)
     select server_id, cast(doc_id as varchar) as target_name,
            case when contains(text, chr(27)) then 'high' else 'medium' end as severity,
-           'The resource description contains ' || case when contains(text, chr(27)) then 'terminal escape codes.' else 'control characters.' end as description
+           'The resource description ' || case when contains(text, chr(27)) then 'steers the terminal.' else 'holds control codes.' end as description
     from d where regexp_matches(text, {lit_sql(P.CONTROL_CHARACTERS)})
     """,
 )
