@@ -3,7 +3,9 @@
 A page is read into blocks of text, each with its place in the element tree. A block's costs of
 being called content or boilerplate, from a small logistic classifier, are the capacities to the
 two terminals. Blocks that follow one another, and blocks that follow one another under the same
-parent, are joined by smoothness edges, the stronger the nearer they are in the tree. The labels
+parent, are joined by smoothness edges, the stronger the nearer they are in the tree. The classifier
+is fitted to blocks whose place in the page says what they are (`fitted`); its costs are bounded, so
+that edges and places weigh as much as they do. The labels
 of least total cost are a minimum cut: blocks whose costs outweigh all their edges are settled
 first, which is exact, and maximum flow separates the rest.
 
@@ -14,16 +16,21 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import defaultdict, deque
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskscan.llm.tables import arrow_rows, whole
 
+#: The same without quotes, for tags whose quotes are never closed.
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: Tags with quotes open to the end of the page that are looked for; from there on quotes are not read.
+UNCLOSED = 16
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>""")
 COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][^\s=/>"']*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -50,22 +57,27 @@ CLOSES = {
 ELEMENTS = {"nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "search": -8.0, "header": -8.0, "address": -2.0, "fieldset": -4.0}
 #: The same for roles.
 ROLES = {"navigation": -8.0, "banner": -8.0, "contentinfo": -8.0, "complementary": -8.0, "search": -8.0, "menu": -8.0, "menubar": -8.0, "alert": -8.0, "dialog": -8.0, "alertdialog": -8.0, "form": -8.0, "toolbar": -8.0}
-#: Words of class and id that name boilerplate.
+#: Words of class and id that name boilerplate wherever they stand.
 NAMES = {
     "ad", "ads", "adv", "advert", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist",
-    "consent", "cookie", "cookies", "copyright", "dialog", "disclaimer", "discussion", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal",
-    "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promoted",
-    "promotion", "related", "recommended", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor",
-    "sponsored", "subscribe", "toolbar", "topbar", "tracking", "warning", "widget",
+    "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation",
+    "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promoted", "replies", "sharing", "sidebar",
+    "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
+#: Words that may as well name a part of the article: inside it the block's own features decide.
+DOUBTFUL = {"dialog", "disclaimer", "discussion", "form", "promotion", "recommended", "related", "reply", "search", "share", "tracking", "warning"}
 HEADS = {"header", "masthead"}
 NAMED = -8.0
 #: Elements that hold the content: what was against it outside no longer counts.
 MAIN, MAIN_ODDS = {"article", "main"}, 4.0
-#: The classifier: weights of a block's own features.
-START, LENGTH, LINKS, SENTENCE, HEADING, ITEM = -1.2, 0.5, -4.0, 1.0, 0.6, -0.5
-#: Inside the content a link says little.
-LINKS_INSIDE = -1.0
+#: The classifier: weights of a block's own features before anything is fitted (`features`): always one, length, share
+#: of links, ends like a sentence, heading, list item, paragraph or bare text.
+WEIGHTS = (-1.2, 0.5, -4.0, 1.0, 0.6, -0.5, 0.4)
+LINKS, LINKS_INSIDE = 2, -1.0  # inside the content a link says little
+#: A block's own features never outweigh its standing in the main part.
+BOUND = 3.5
+#: How far fitted weights are held to the ones above, and what a fit reads at most.
+HOLD, SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_BLOCKS = 0.1, 1_000, 200_000, 300
 #: Smoothness: of neighbours in page order, and of followers under one parent.
 NEXT, SIBLING = 1.0, 1.0
 
@@ -76,6 +88,7 @@ class Element:
     odds: float
     hidden: bool
     main: bool
+    doubtful: bool
     number: int
     depth: int
     parent: Element | None
@@ -95,7 +108,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _element(tag: str, raw: str, parent: Element, number: int) -> Element:
-    odds, main, hidden, outside = parent.odds, parent.main, parent.hidden or tag in HIDDEN, not parent.main
+    odds, main, hidden, outside, doubtful = parent.odds, parent.main, parent.hidden or tag in HIDDEN, not parent.main, parent.doubtful
     if tag in MAIN:
         # Inside a nested article, such as a reader's comment, what speaks against it still counts.
         odds, main = (odds if main else max(odds, 0.0) + MAIN_ODDS), True
@@ -112,12 +125,16 @@ def _element(tag: str, raw: str, parent: Element, number: int) -> Element:
             names -= HEADS  # the head of an article is part of it
         if names & NAMES and tag not in ("html", "body") and (tag not in MAIN or not outside):
             odds += NAMED
-    return Element(tag, odds, hidden, main, number, parent.depth + 1, parent)
+        elif names & DOUBTFUL and tag not in ("html", "body") and (tag not in MAIN or not outside):
+            odds, doubtful = odds + (NAMED if outside else -MAIN_ODDS), True
+    return Element(tag, odds, hidden, main, doubtful, number, parent.depth + 1, parent)
 
 
 def blocks(html: str) -> list[Block]:
-    """The shown blocks of text in page order."""
-    here = root = Element("", 0.0, False, False, 0, 0, None)
+    """The shown blocks of text in page order, in time that grows with the page's length."""
+    here = root = Element("", 0.0, False, False, False, 0, 0, None)
+    opened: defaultdict[str, list[Element]] = defaultdict(list)  # open elements by tag, the innermost last
+    last_end, unclosed = html.rfind(">"), 0
     out: list[Block] = []
     texts: list[str] = []
     linked, in_link, number, at, end = 0, False, 0, 0, len(html)
@@ -130,6 +147,15 @@ def blocks(html: str) -> list[Block]:
                 out.append(Block(here, text, min(linked, len(text))))
             texts, linked = [], 0
 
+    def leave(outer: Element) -> None:
+        """Closes what is open, up to and including the given element."""
+        nonlocal here
+        while True:
+            left, here = here, here.parent
+            opened[left.tag].pop()
+            if left is outer:
+                return
+
     while at < end:
         open_at = html.find("<", at)
         if open_at != at:
@@ -150,7 +176,12 @@ def blocks(html: str) -> list[Block]:
             done = html.find(">", at)
             at = done + 1 if done >= 0 else end
             continue
-        found = TAG.match(html, at)
+        found = None
+        if at < last_end:
+            found = TAG.match(html, at) if unclosed < UNCLOSED else None
+            if not found and html[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+                unclosed += 1
+                found = LOOSE_TAG.match(html, at)
         if not found:
             if not here.hidden:
                 texts.append("<")
@@ -166,11 +197,8 @@ def blocks(html: str) -> list[Block]:
             continue
         if closing:
             close()
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if opened[tag]:
+                leave(opened[tag][-1])
             in_link = in_link and tag not in BLOCK
             continue
         if tag in BLOCK or tag in HIDDEN or tag in RAW:
@@ -178,15 +206,12 @@ def blocks(html: str) -> list[Block]:
         if tag == "hr" or tag in VOID:
             continue
         if tag in BLOCK and here.tag == "p":
-            here = here.parent
+            leave(here)
         kinds, holders = CLOSES.get(tag, ((), ()))
-        up, cut = here, None
-        while kinds and up is not root and up.tag not in holders:
-            if up.tag in kinds:
-                cut = up
-            up = up.parent
-        if cut is not None:
-            here = cut.parent
+        if kinds:
+            held = max((opened[h][-1].depth for h in holders if opened[h]), default=0)
+            while any(opened[k] and opened[k][-1].depth > held for k in kinds):
+                leave(max((opened[k][-1] for k in kinds if opened[k]), key=lambda e: e.depth))
         number += 1
         inner = _element(tag, found[3], here, number)
         if tag in RAW and not found[3].endswith("/"):
@@ -198,6 +223,7 @@ def blocks(html: str) -> list[Block]:
                 at = stop + 1 if stop >= 0 else end
             continue
         here = inner
+        opened[tag].append(inner)
     close()
     return out
 
@@ -214,19 +240,29 @@ def _hops(a: Element, b: Element) -> int:
     return steps
 
 
-def _weigh(found: list[Block]) -> None:
+def features(block: Block) -> tuple[float, ...]:
+    """What a block says by itself, whatever its place: the inputs of the classifier."""
+    tag, size = block.home.tag, len(block.text)
+    heading = tag[:1] == "h" and tag[1:].isdigit()
+    return (
+        1.0, math.log2(1 + size / 20), block.linked / size, float(block.text[-1] in ".!?…\"'”»。"), float(heading), float(tag == "li"),
+        float(tag in ("", "body", "p")),
+    )
+
+
+def _own(block: Block, weights: tuple[float, ...]) -> float:
+    """The classifier's log-odds, within the bound."""
+    inside = block.home.main and not block.home.doubtful
+    given = (*weights[:LINKS], LINKS_INSIDE if inside else weights[LINKS], *weights[LINKS + 1 :])
+    return max(-BOUND, min(BOUND, sum(w * x for w, x in zip(given, features(block), strict=True))))
+
+
+def _weigh(found: list[Block], weights: tuple[float, ...] = WEIGHTS) -> None:
     """Log-odds of content and smoothness edges."""
     last: dict[int, int] = {}
     for i, block in enumerate(found):
-        home, size = block.home, len(block.text)
-        odds = home.odds + START + LENGTH * math.log2(1 + size / 20) + (LINKS_INSIDE if home.main else LINKS) * block.linked / size
-        if block.text[-1] in ".!?…\"'”»。":
-            odds += SENTENCE
-        if home.tag[:1] == "h" and home.tag[1:].isdigit():
-            odds += HEADING
-        elif home.tag == "li":
-            odds += ITEM
-        block.odds = odds
+        home = block.home
+        block.odds = home.odds + _own(block, weights)
         parent = (home.parent or home).number
         joins = [(i - 1, NEXT)] if i else []
         if parent in last:
@@ -238,9 +274,9 @@ def _weigh(found: list[Block]) -> None:
             found[other].edges[i] = found[other].edges.get(i, 0.0) + weight
 
 
-def labels(found: list[Block]) -> list[bool]:
+def labels(found: list[Block], weights: tuple[float, ...] = WEIGHTS) -> list[bool]:
     """True for content: the labels of a minimum cut."""
-    _weigh(found)
+    _weigh(found, weights)
     odds = [b.odds for b in found]
     edges = [dict(b.edges) for b in found]
     out: list[bool | None] = [None] * len(found)
@@ -319,32 +355,78 @@ def _cut(nodes: list[int], odds: list[float], edges: list[dict[int, float]]) ->
                 break
 
 
-def main_text(html: str) -> tuple[str, int, int]:
-    """The text of the blocks labelled content, how many blocks there were, and how many stay."""
+def main_text(html: str, weights: tuple[float, ...] = WEIGHTS) -> tuple[str, int, int, int]:
+    """The text of the blocks labelled content, how many blocks there were, how many stay, and how many the edges relabelled."""
     found = blocks(html)
-    kept = [b.text for b, content in zip(found, labels(found), strict=True) if content]
-    return "\n\n".join(kept), len(found), len(kept)
+    content = labels(found, weights)
+    kept = [b.text for b, c in zip(found, content, strict=True) if c]
+    return "\n\n".join(kept), len(found), len(kept), sum((b.odds > 0) != c for b, c in zip(found, content, strict=True))
+
+
+def _placed(html: str) -> list[tuple[float, ...]]:
+    """Features and label of blocks whose place says what they are: the main part, or what no article holds."""
+    told = [(b, b.home.odds) for b in blocks(html)]
+    rows = [(*features(b), float(odds > 0)) for b, odds in told if odds >= MAIN_ODDS or odds <= -MAIN_ODDS]
+    return rows[:: max(1, -(-len(rows) // SAMPLE_BLOCKS))]
+
+
+def fit(rows: np.ndarray) -> tuple[float, ...]:
+    """Weights of a logistic regression, held to WEIGHTS; both labels count alike. Without rows of both labels: WEIGHTS."""
+    start = np.array(WEIGHTS)
+    if len(rows) == 0 or len(set(rows[:, -1])) < 2:
+        return WEIGHTS
+    x, y = rows[:, :-1], rows[:, -1]
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    w = start.copy()
+    for _ in range(25):
+        odds = np.clip(x @ w, -30, 30)
+        says = 1 / (1 + np.exp(-odds))
+        slope = x.T @ (share * (says - y)) + HOLD * (w - start)
+        bend = (x * (share * says * (1 - says))[:, None]).T @ x + HOLD * np.eye(len(w))
+        w = w - np.linalg.solve(bend, slope)
+    return tuple(float(v) for v in w)
+
+
+def fitted(df: DataFrame, html_col: str = "html") -> tuple[float, ...]:
+    """The classifier's weights from at most 1,000 pages of up to 200,000 characters, those of the lowest hashes.
+
+    Labels come from the places of blocks alone (articles against menus, footers, named adverts), up
+    to about 300 blocks of a page. Null and empty pages teach nothing; equal pages count as often as
+    they stand; without blocks of both kinds the weights are WEIGHTS. Seven numbers reach the driver
+    for each block of the sample.
+    """
+    pages = df.select(F.col(html_col).alias("html")).filter(F.length("html").between(1, SAMPLE_CHARS))
+    sample = pages.orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES)
+
+    def run(batches):
+        for batch in batches:
+            rows = [r for x in batch.column("html") for r in _placed(x.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["row"])
+
+    got = sample.mapInArrow(run, "row array<double>").collect()
+    return fit(np.array([r["row"] for r in got], dtype=float).reshape(len(got), len(WEIGHTS) + 1))
 
 
-def extracted(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks, n_kept per input row.
+def extracted(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """page_id, url, text, n_chars, n_blocks, n_kept, n_relabelled per input row.
 
     text is the blocks of the main text in page order, white space inside a block as one space,
-    character references decoded, blocks joined by an empty line; empty if there is none. Null
-    and empty pages have no blocks. Pages are read whole, however long; repeated rows give
-    repeated results, no rows none. Only the three named columns are read.
+    character references decoded, blocks joined by an empty line; empty if there is none.
+    n_relabelled counts the blocks whose label the edges changed. Null and empty pages have no
+    blocks. Pages are read whole, however long; repeated rows give repeated results, no rows none.
+    Only the three named columns are read. weights: what `fitted` gives.
     """
     arrow_rows(df.sparkSession, 300)
     source = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), whole(html_col).alias("html"))
 
     def run(batches):
         for batch in batches:
-            found = [main_text(x.as_py()) for x in batch.column("html")]
-            texts = [t for t, _, _ in found]
+            found = [main_text(x.as_py(), weights) for x in batch.column("html")]
+            texts = [f[0] for f in found]
             columns = [
                 batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([n for _, n, _ in found], pa.int64()), pa.array([k for _, _, k in found], pa.int64()),
+                *[pa.array([f[i] for f in found], pa.int64()) for i in (1, 2, 3)],
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "n_blocks", "n_kept"])
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "n_blocks", "n_kept", "n_relabelled"])
 
-    return source.mapInArrow(run, f"page_id {source.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint, n_blocks bigint, n_kept bigint")
+    return source.mapInArrow(run, f"page_id {source.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint, n_blocks bigint, n_kept bigint, n_relabelled bigint")

@@ -94,10 +94,11 @@ def op4_sharding(spark, sf_dir):
 
 @query("op6_html_extraction")
 def op6_html_extraction(spark, sf_dir):
-    """The main text of every page."""
-    from riskscan.llm.html_extraction import extracted
+    """The main text of every page, with costs fitted to a sample of the pages."""
+    from riskscan.llm.html_extraction import extracted, fitted
 
-    return extracted(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return extracted(pages, weights=fitted(pages))
 
 
 @query("op8_warc")

@@ -25,7 +25,7 @@ break.<p>Second &eacute;&#233; paragraph is here.</p><form><label>Mail</label><i
 
 
 def test_article_without_the_rest():
-    text, found, kept = H.main_text(PAGE)
+    text, found, kept, _ = H.main_text(PAGE)
     assert text == "The title & more\n\nFirst paragraph, with a break.\n\nSecond éé paragraph is here.\n\nÖ"
     assert kept == 4 < found
 
@@ -45,12 +45,12 @@ def test_labels_are_a_minimum_cut(monkeypatch):
     r = random.Random(2)
     for _ in range(60):
         n = r.randint(1, 9)
-        home = H.Element("p", 0.0, False, False, 1, 1, None)
+        home = H.Element("p", 0.0, False, False, False, 1, 1, None)
         blocks = [H.Block(home, "x", 0, r.uniform(-1, 1)) for _ in range(n)]
         for i, j in itertools.combinations(range(n), 2):
             if r.random() < 0.5:
                 blocks[i].edges[j] = blocks[j].edges[i] = r.uniform(0, 0.8)
-        monkeypatch.setattr(H, "_weigh", lambda found: None)
+        monkeypatch.setattr(H, "_weigh", lambda found, weights: None)
 
         def cost(label, blocks=blocks):
             one = sum(max(-b.odds, 0) if x else max(b.odds, 0) for b, x in zip(blocks, label))
