@@ -391,20 +391,25 @@ def fitted(df: DataFrame, html_col: str = "html") -> tuple[float, ...]:
     """The classifier's weights from at most 1,000 pages of up to 200,000 characters, those of the lowest hashes.
 
     Labels come from the places of blocks alone (articles against menus, footers, named adverts), up
-    to about 300 blocks of a page. Null and empty pages teach nothing; equal pages count as often as
-    they stand; without blocks of both kinds the weights are WEIGHTS. Seven numbers reach the driver
+    to about 300 blocks of a page. Null and empty pages teach nothing; equal pages count once;
+    without blocks of both kinds the weights are WEIGHTS. Seven numbers reach the driver
     for each block of the sample.
     """
-    pages = df.select(F.col(html_col).alias("html")).filter(F.length("html").between(1, SAMPLE_CHARS))
-    sample = pages.orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES)
+    html = df.select(F.col(html_col).alias("html")).filter(F.length("html").between(1, SAMPLE_CHARS))
+    pages = html.select("html", F.xxhash64("html").alias("h"))
+    lowest = [r["h"] for r in pages.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    if not lowest:
+        return WEIGHTS
+    # Only the sample's texts are moved, one of each set of equal ones out of every partition.
+    sample = pages.filter(F.col("h") <= lowest[-1]).groupBy("h").agg(F.min("html").alias("html")).select("html")
 
     def run(batches):
         for batch in batches:
             rows = [r for x in batch.column("html") for r in _placed(x.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["row"])
 
-    got = sample.mapInArrow(run, "row array<double>").collect()
-    return fit(np.array([r["row"] for r in got], dtype=float).reshape(len(got), len(WEIGHTS) + 1))
+    got = sorted(tuple(r["row"]) for r in sample.mapInArrow(run, "row array<double>").collect())
+    return fit(np.array(got, dtype=float).reshape(len(got), len(WEIGHTS) + 1))
 
 
 def extracted(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:

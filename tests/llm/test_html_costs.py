@@ -51,7 +51,7 @@ def test_fitted_on_tables(spark):
     rows = [(i, "u", made_page(r)[0]) for i in range(40)] + [(None, None, None), (41, "u", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     weights = H.fitted(df)
-    assert weights == H.fitted(df.repartition(7)) != H.WEIGHTS
+    assert weights == H.fitted(df.repartition(7)) == H.fitted(df.unionByName(df)) != H.WEIGHTS
     assert H.fitted(df.limit(0)) == H.WEIGHTS
     assert H.extracted(df, weights=weights).filter("n_relabelled >= 0").count() == 42
 
