@@ -103,7 +103,7 @@ def test_markdown(spark, found, statuses, tmp_path):
     lines = "\n".join(r.value for r in spark.read.text(str(tmp_path / "md")).collect())
     assert "‮" not in lines and "\\u202e" in lines and "Bad \\| thing" in lines
     text = [r.line for r in rows.orderBy("section", "server_id", "part", "place").collect()]
-    assert text[0].startswith("| Server | Status |") and "\n|---|" in text[0]
+    assert text[0].startswith("| Name | Outcome |") and "\n|---|" in text[0]
     assert text[1] == "| s | completed | D | 45 | 1 | 1 | 1 | 0 | 0 |"
     order = [i for i, line in enumerate(text) if "#### [CRITICAL]" in line or "#### [HIGH]" in line or "#### [MEDIUM]" in line]
     assert order == sorted(order) and "[CRITICAL]" in text[order[0]]
