@@ -30,7 +30,7 @@ ISSUED_KEYS = (
     SecretKind("model provider key", r"\bsk-(?:[a-z]+-)?[A-Za-z0-9_\-]{24,}", ("sk-",)),
     SecretKind("registry token", r"\bnpm_[A-Za-z0-9]{36}\b", ("npm_",)),
     SecretKind("registry token", r"\bpypi-[A-Za-z0-9_\-]{50,}", ("pypi-",)),
-    SecretKind("private key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    SecretKind("private key", r"-----BEGIN (?:[A-Z]+ ){0,8}PRIVATE KEY-----", ("PRIVATE KEY-----",)),
     SecretKind("signed token", r"\beyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}", ("eyJ",)),
 )
 # A quoted literal given to a name that means a secret. The value needs a digit and a letter,

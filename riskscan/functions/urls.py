@@ -13,13 +13,15 @@ def part(url: Column, name: str) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(part(url, "HOST"))
+    """The host, also of addresses that programs accept although they hold signs the syntax forbids."""
+    readable = F.regexp_replace(F.translate(F.substring_index(url, "#", 1), "\\", "/"), r"[\s\"<>^`{|}]", "_")
+    return F.lower(part(readable, "HOST"))
 
 
 def password(url: Column) -> Column:
-    """The password in the address, if any."""
-    info = part(url, "USERINFO")
-    return F.when(info.contains(":"), F.substring_index(info, ":", -1))
+    """The password in the address, if any: all that follows the first colon of the user part."""
+    info = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)@", 1)
+    return F.when(info.contains(":"), F.regexp_replace(info, "^[^:]*:", ""))
 
 
 def query_pairs(url: Column) -> Column:
@@ -35,24 +37,33 @@ def query_pairs(url: Column) -> Column:
     )
 
 
+def _masked_pairs(pairs: Column) -> Column:
+    """`name=value` pairs joined by `&`, values of secret-looking names hidden, all else as it is."""
+
+    def shown(p: Column) -> Column:
+        name, value = F.substring_index(p, "=", 1), F.regexp_replace(p, "^[^=]*=", "")
+        secret = p.rlike("(?s)^[^=]+=.") & name_looks_secret(F.substring_index(name, "?", -1))
+        return F.when(secret, F.concat(name, F.lit("="), mask(value))).otherwise(p)
+
+    return F.array_join(F.transform(F.split(pairs, "&"), shown), "&")
+
+
 def masked(url: Column) -> Column:
-    """The URL with its password and secret-looking query values hidden."""
-    secret = password(url)
+    """The URL with its password and the secret-looking values of its query and fragment hidden."""
+    secret = F.coalesce(password(url), F.lit(""))
     shown = F.when(
-        secret.isNotNull(), F.replace(url, F.concat(F.lit(":"), secret, F.lit("@")), F.lit(":****@"))
+        secret != "", F.replace(url, F.concat(F.lit(":"), secret, F.lit("@")), F.lit(":****@"))
     ).otherwise(url)
-    query = F.array_join(
-        F.transform(
-            query_pairs(url),
-            lambda p: F.concat(
-                p["name"], F.lit("="), F.when(name_looks_secret(p["name"]), mask(p["value"])).otherwise(p["value"])
-            ),
-        ),
-        "&",
-    )
+    base = F.regexp_extract(shown, "(?s)^[^?#]*", 0)
+    query = F.regexp_extract(shown, r"(?s)^[^?#]*\?([^#]*)", 1)
+    fragment = F.regexp_extract(shown, "(?s)^[^#]*#(.*)", 1)
     return F.when(
-        part(url, "QUERY").isNotNull(),
-        F.concat(F.substring_index(shown, "?", 1), F.lit("?"), query),
+        shown.rlike("[?#]"),
+        F.concat(
+            base,
+            F.when(F.substring_index(shown, "#", 1).contains("?"), F.concat(F.lit("?"), _masked_pairs(query))).otherwise(""),
+            F.when(shown.contains("#"), F.concat(F.lit("#"), _masked_pairs(fragment))).otherwise(""),
+        ),
     ).otherwise(shown)
 
 

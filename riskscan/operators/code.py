@@ -215,7 +215,7 @@ DECODERS = (
 # A value that went through one of these cannot steer a path or a command.
 SANITISER_CALL = (
     r"\b(?:shlex\.quote|pipes\.quote|int|float|bool|len|os\.path\.basename|re\.escape|html\.escape|markupsafe\.escape"
-    r"|(?:urllib\.parse\.)?quote|hash|hashlib\.\w+|uuid\.\w+|secrets\.token_\w+)\((?:[^()]|\([^()]*\))*\)"
+    r"|(?:urllib\.parse\.)?quote|hash|hashlib\.\w+|uuid\.\w+|secrets\.token_\w+)\((?:[^()]|\([^()]*\))*+\)"
 )
 SKIPPED_PARAMS = ("self", "cls", "ctx", "context")
 ENTRY_DECORATOR = r"^@[\w.]*\.?(tool|call_tool|prompt|get_prompt|resource|read_resource)\b"
@@ -300,7 +300,7 @@ def _joined_lines(lines: DataFrame) -> DataFrame:
     Brackets are counted outside strings and comments, anew from each definition or import at the
     left edge, so that a line read wrongly spoils nothing beyond the next one of these.
     """
-    bare = F.regexp_replace("line_text", r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|#.*$", "")
+    bare = F.regexp_replace("line_text", r"'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\"|#.*$", "")
     depth = F.regexp_count(bare, F.lit(r"[(\[{]")) - F.regexp_count(bare, F.lit(r"[)\]}]"))
     fresh = (F.col("indent") == 0) & F.col("line_text").rlike(r"^(?:@|async\s+def\b|class\b|def\b|from\b|import\b)")
     file = W.partitionBy(*FILE_KEY).orderBy("pos")
@@ -389,7 +389,7 @@ def python_lines(files: DataFrame) -> DataFrame:
 def _params(files: DataFrame) -> DataFrame:
     """Parameters of every function: (server_id, path, function, place, param)."""
     # Default values may hold brackets of their own.
-    head = r"(?s)\bdef\s+(\w+)\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)"
+    head = r"(?s)\bdef\s+(\w+)\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*+\))*+)\)"
     names = F.regexp_extract_all("text", F.lit(head), F.lit(1))
     lists = F.regexp_extract_all("text", F.lit(head), F.lit(2))
     rows = files.where(F.col("language") == "python").select(
@@ -398,7 +398,7 @@ def _params(files: DataFrame) -> DataFrame:
     first = rows.groupBy(*FILE_KEY, F.col("f.function").alias("function")).agg(F.min_by("f.params", "nr").alias("params"))
     given = F.filter(
         F.transform(
-            F.split(F.regexp_replace(F.regexp_replace("params", r"\((?:[^()]|\([^()]*\))*\)", ""), r"\[[^\]]*\]", ""), ","), lambda p: F.regexp_extract(p, r"^[\s*]*(\w+)", 1)
+            F.split(F.regexp_replace(F.regexp_replace("params", r"\((?:[^()]|\([^()]*\))*+\)", ""), r"\[[^\]]*\]", ""), ","), lambda p: F.regexp_extract(p, r"^[\s*]*(\w+)", 1)
         ),
         lambda p: (p != "") & ~p.isin(*SKIPPED_PARAMS),
     )
@@ -515,7 +515,7 @@ def python_hits(files: DataFrame) -> DataFrame:
     tainted = F.size("from_input") > 0
     # One literal, or a list of nothing but literals.
     one = r"[rb]?(?:'[^']*'|\"[^\"]*\")"
-    literal = F.col("args").rlike(rf"^\s*(?:{one}\s*(?:,|$)|[\[(]\s*{one}(?:\s*,\s*{one})*\s*,?\s*[\])]\s*(?:,|$)|\d)")
+    literal = F.col("args").rlike(rf"^\s*(?:{one}\s*(?:,|$)|[\[(]\s*{one}(?:\s*,\s*{one})*+\s*,?\s*[\])]\s*(?:,|$)|\d)")
     imported = F.col("name").isin(*IMPORTERS) & tainted
     found = F.when(imported, F.struct(F.lit("code-eval").alias("category"), F.concat("name", F.lit("() with tool input")).alias("detail"))).otherwise(
         call_category(F.col("name"), F.col("args"))

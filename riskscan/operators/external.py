@@ -30,7 +30,8 @@ def clean(text: Column, limit: int | None = None, hidden_words: str | None = Non
     plain = F.replace(F.coalesce(text, F.lit("")), F.lit(" — "), F.lit(": "))
     plain = F.translate(plain, "—–", "--")
     if hidden_words:
-        plain = F.regexp_replace(plain, rf"(?i)[^.]*\b(?:{hidden_words})[^.]*\.?\s*", "")
+        # Only tried where a sentence begins (or the last match ended): the time grows with the length, without dots too.
+        plain = F.regexp_replace(plain, rf"(?i)(?:\G|(?<=\.))[^.]*\b(?:{hidden_words})[^.]*\.?\s*", "")
     return F.btrim(plain) if limit is None else F.left(F.btrim(plain), F.lit(limit))
 
 

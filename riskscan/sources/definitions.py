@@ -104,7 +104,7 @@ def go_tools(files: DataFrame) -> DataFrame:
 def rust_tools(files: DataFrame) -> DataFrame:
     """#[tool(...)] attributes followed by a function."""
     text = F.col("text")
-    head = r"(?s)#\[tool\(([^\]]*)\)\]\s*(?:#\[[^\]]*\]\s*)*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)"
+    head = r"(?s)#\[tool\(([^\]]*)\)\]\s*(?:#\[[^\]]*\]\s*)*+(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)"
     attrs = F.regexp_extract_all(text, F.lit(head), F.lit(1))
     names = F.regexp_extract_all(text, F.lit(head), F.lit(2))
     attr = lambda a, key: _unquoted(F.nullif(F.regexp_extract(a, rf"\b{key}\s*=\s*(\"(?:[^\"\\]|\\.)*+\")", 1), F.lit("")))

@@ -140,7 +140,7 @@ def requirements(manifests: DataFrame) -> DataFrame:
 
 
 QUOTED = r"\"([^\"\n]*)\"|'([^'\n]*)'"
-LIST_BODY = r"((?:[^\]\"']|\"[^\"]*\"|'[^']*')*)"
+LIST_BODY = r"((?:[^\]\"']|\"[^\"]*\"|'[^']*')*+)"
 
 
 def _section(text: Column, name: str) -> Column:
