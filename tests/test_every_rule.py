@@ -28,34 +28,35 @@ def tool(name, description="A tool.", params=None, required=None, **extra):
 
 
 GROUPS = {
-    "launch_rules": [("customer", "c_custkey", W.LAUNCHES)], "package_rules": [("part", "p_partkey", W.PACKAGES), ("customer", "c_custkey", W.STEPS)],
-    "launch_package_rules": [("customer", "c_custkey", W.FETCHED)], "code_rules": [("part", "p_partkey", W.CODE)], "script_rules": [("part", "p_partkey", W.SCRIPTS)],
-    "runtime_rules": [("customer", "c_custkey", c) for c in (W.PROCESSES, W.CONNECTED, W.WRITES, W.LIMITS, W.CHANGES, W.PLANTED)],
-    "protocol_rules": [("customer", "c_custkey", W.PROTOCOL)], "tool_rules": [("customer", "c_custkey", W.TOOL_CASES)], "scope_rules": [("customer", "c_custkey", W.SCOPES)],
+    "launch_rules": [W.LAUNCHES], "package_rules": [W.PACKAGES, W.STEPS], "launch_package_rules": [W.FETCHED], "code_rules": [W.CODE], "script_rules": [W.SCRIPTS],
+    "runtime_rules": [W.PROCESSES, W.CONNECTED, W.WRITES, W.LIMITS, W.CHANGES, W.PLANTED], "protocol_rules": [W.PROTOCOL], "tool_rules": [W.TOOL_CASES], "scope_rules": [W.SCOPES],
 }
+#: Texts of documents, with their word and what is left of them in one line.
+DOCUMENTS = ((None, "word", ""), ("", "word", ""), ("Plain words\nin two lines.", "plain", "Plain words in two lines."), ("Quoted \"signs\" and 'more' \\ here", "quoted", "Quoted signs and more here"))
 
 
 @pytest.fixture(scope="module")
 def keys(spark, tmp_path_factory):
-    """Tables that hold nothing but keys, one row for each case."""
+    """Documents without anything of their own to find, one for each case."""
     path = str(tmp_path_factory.mktemp("keys"))
-    for name, key in (("customer", "c_custkey"), ("part", "p_partkey")):
-        spark.range(40).select(F.col("id").alias(key)).write.parquet(f"{path}/{name}.parquet")
+    rows = [(k, DOCUMENTS[k % len(DOCUMENTS)][0]) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{path}/documents.parquet")
     return path
 
 
 @pytest.mark.parametrize("name", GROUPS)
 def test_cases(spark, keys, name):
     want = []
-    for _, _, cases in GROUPS[name]:
+    for cases in GROUPS[name]:
         for k in range(40):
-            want += [(f"s{k}", *[x.replace("{k}", str(k)) for x in y]) for y in cases[k % len(cases)].yields]
+            _, word, line = DOCUMENTS[k % len(DOCUMENTS)]
+            want += [(f"s{k}", *[x.replace("{k}", str(k)).replace("{w}", word).replace("{l}", line) for x in y]) for y in cases[k % len(cases)].yields]
     got = [tuple(r) for r in getattr(W, name)(spark, keys).collect()]
     assert sorted(got) == sorted(want)
 
 
 def test_every_rule_has_a_case():
-    named = {y[0] for groups in GROUPS.values() for _, _, cases in groups for c in cases for y in c.yields}
+    named = {y[0] for groups in GROUPS.values() for cases in groups for c in cases for y in c.yields}
     named |= {X.EXPECTED[key][0] for s in X.SEEDS for key, _ in s.marks}
     # Rules whose cases are made in queries of their own: names, whole servers, logins, hidden characters.
     named |= {"SHADOW-003", "QUALITY-004", "PERM-001", "PERM-002", "AUTH-002", "INJ-002", "INJ-003", "INJ-004", "INJ-005", "SECRET-001"}

@@ -210,7 +210,16 @@ CODE = (
 )
 
 
-@query("code_rules", expected_sql(CODE))
+def token_sql(cases: tuple[Case, ...], place: str, ending: str) -> str:
+    """A given token that stands in the comments of a file is one more finding each time."""
+    whole = [str(i) for i, c in enumerate(cases) if place in c.given["text"]]
+    return f"""
+    select 's' || cast(doc_id as varchar), 'SECRET-003', 'high', 'high', 'f' || cast(doc_id as varchar) || '.{ending}', 'A secret stands in the code: assigned credential.'
+    from (select doc_id, unnest(regexp_extract_all(text, 'token = "[0-9a-f]{{40}}"')) as value from documents where doc_id % {len(cases)} in ({", ".join(whole)}))
+    """
+
+
+@query("code_rules", f"{expected_sql(CODE)} union all {token_sql(CODE, '{c}', 'py')}")
 def code_rules(spark, sf_dir):
     """All rules over Python code that need no tool metadata, firing and not firing."""
     rows = dealt(spark, sf_dir, CODE, "text string")
@@ -231,7 +240,7 @@ SCRIPTS = (
 )
 
 
-@query("script_rules", expected_sql(SCRIPTS))
+@query("script_rules", f"{expected_sql(SCRIPTS)} union all {token_sql(SCRIPTS, '{s}', 'js')}")
 def script_rules(spark, sf_dir):
     """The same over JavaScript, wide lines among it."""
     rows = dealt(spark, sf_dir, SCRIPTS, "text string")
@@ -246,7 +255,7 @@ PROCESSES = (
          (("DYN-004", "high", "high", "s{k}", "'wget' was started in the phase listing."),)),
     Case(dict(name="bash", cmdline="bash -c 'ls {w} | sort'", phase="probing", remote_address=None),
          (("DYN-004", "medium", "medium", "s{k}", "'bash' was started in the phase probing."),)),
-    Case(dict(name="sh", cmdline='sh -c "tool --port=8 {w}"', phase="probing", remote_address=None)),
+    Case(dict(name="sh", cmdline='sh -c "tool --port=8{k}"', phase="probing", remote_address=None)),
     Case(dict(name="node", cmdline="node x.js {t}", phase="probing", remote_address=None)),
     Case(dict(name=None, cmdline=None, phase="probing", remote_address="8.8.8.{k}:443")),
     Case(dict(name=None, cmdline=None, phase="probing", remote_address="127.0.0.1:443")),
@@ -354,7 +363,17 @@ def case_tools(spark, sf_dir) -> DataFrame:
     return CAT.tools(CAT.inventories(docs.select("server_id", "doc")))
 
 
-@query("tool_rules", expected_sql(TOOL_CASES))
+def long_sql(cases: tuple[Case, ...]) -> str:
+    """QUALITY-003 for descriptions that a given text makes longer than 3,000 characters."""
+    tools = [(i, json.loads(c.given["doc"])["tools"][0]) for i, c in enumerate(cases)]
+    made = ", ".join(f"({i}, '{t['name']}', {len(t['description'].replace('{j}', ''))})" for i, t in tools if "{j}" in t["description"])
+    return f"""
+    select 's' || cast(doc_id as varchar), 'QUALITY-003', 'low', 'high', v.name, 'Tool ''' || v.name || ''' is described in ' || cast(v.made + length(text) as varchar) || ' characters.'
+    from documents join (values {made}) v(nr, name, made) on doc_id % {len(cases)} = v.nr where v.made + length(text) > 3000
+    """
+
+
+@query("tool_rules", f"{expected_sql(TOOL_CASES)} union all {long_sql(TOOL_CASES)}")
 def tool_rules(spark, sf_dir):
     """All rules over one tool at a time, firing and not firing."""
     return shown(RT.tool_candidates(written(K.with_signals(case_tools(spark, sf_dir)))))
@@ -429,7 +448,7 @@ def open_server_rules(spark, sf_dir):
         F.when(kind == 2, F.create_map(F.lit("Authorization"), F.lit("x"))).otherwise(none).alias("headers"), (kind != 3).alias("connected"),
     )
     docs = documents.select(F.concat(F.lit("s"), key).alias("server_id"), F.replace(F.lit(_tool("shell", "Helps. {j}", {"command": TEXT})), F.lit("{j}"), in_json(F.coalesce("text", F.lit("")))).alias("doc"))
-    return shown(RT.open_server_candidates(servers, K.with_signals(CAT.tools(CAT.inventories(docs)))))
+    return shown(RT.open_server_candidates(servers, written(K.with_signals(CAT.tools(CAT.inventories(docs))))))
 
 
 # ---- code against descriptions, and calls ------------------------------------------------
@@ -446,12 +465,20 @@ def scoped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Code facts and tools with signals of the same servers."""
     rows = dealt(spark, sf_dir, SCOPES, "text string, doc string")
     files = rows.select("server_id", F.lit("s.py").alias("path"), F.lit("python").alias("language"), F.concat(F.lit(HEAD), "text").alias("text"))
-    return written(C.code_hits(files)), K.with_signals(CAT.tools(CAT.inventories(rows.select("server_id", "doc"))))
+    return written(C.code_hits(files)), written(K.with_signals(CAT.tools(CAT.inventories(rows.select("server_id", "doc")))))
 
 
-@query("scope_rules", expected_sql(SCOPES))
+@query(
+    "scope_rules",
+    f"""
+    select server_id, rule_id, severity, target_name, e.description,
+           case when length(d.said) > 1500 or contains(lower(d.said), 'actions:')
+                  or len(list_filter(regexp_split_to_array(d.said, '\\r?\\n'), lambda x: regexp_matches(trim(x), '^([-*]\\s+)?[a-zA-Z0-9_.]+\\s*[(]|^[-*] '))) >= 5 then 'low' else e.confidence end as confidence
+    from ({expected_sql(SCOPES)}) e join (select 's' || cast(doc_id as varchar) as server_id, 'Tells the date. ' || coalesce(text, '') as said from documents) d using (server_id)
+    """,
+)
 def scope_rules(spark, sf_dir):
-    """SCOPE-001: code that goes beyond what is said of a tool."""
+    """SCOPE-001: code that goes beyond what is said of a tool, less sure where much is said."""
     hits, tools = scoped(spark, sf_dir)
     return shown(RC.undisclosed_candidates(C.with_function_facts(hits), tools))
 
