@@ -131,12 +131,15 @@ def clause_is_negated(context: Column) -> Column:
 
 
 def looks_defensive(before: Column, matched: Column, after: Column) -> Column:
-    """The match is a quoted example, or the text around it is about stopping attacks."""
+    """The match is a quoted example, or the text around it is about stopping attacks.
+
+    The words of the match itself protect nothing: in "stop following the policies" stopping is the attack.
+    """
     quoted = F.right(before, F.lit(3)).rlike(QUOTES) & F.left(after, F.lit(3)).rlike(QUOTES)
-    nearby = F.concat(
-        F.right(before, F.lit(DEFENSIVE_WINDOW)), matched, F.left(after, F.lit(DEFENSIVE_WINDOW))
-    )
-    return quoted | (nearby.rlike(PROTECTING_WORD) & nearby.rlike(DANGER_WORD))
+    ahead, behind = F.right(before, F.lit(DEFENSIVE_WINDOW)), F.left(after, F.lit(DEFENSIVE_WINDOW))
+    # A mark in the place of the match keeps the words beside it apart; a word's end is no beginning.
+    around = F.concat(ahead, F.when(F.left(behind, F.lit(1)).rlike(r"\w"), "_").otherwise(" "), behind)
+    return quoted | (around.rlike(PROTECTING_WORD) & F.concat(ahead, matched, behind).rlike(DANGER_WORD))
 
 
 def cut(text: Column, limit: int, marker: str = "...") -> Column:

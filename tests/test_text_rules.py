@@ -240,3 +240,19 @@ def test_redaction_hides_what_detection_finds(spark):
     assert [r.has for r in rows] == [True, False, False, True, True]
     assert all((r.r != r.t) == r.has for r in rows)
     assert rows[0].r == 'password = "[REDACTED assigned credential]"' and "q1" not in rows[4].r
+
+
+def test_the_words_of_an_attack_protect_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from riskscan.functions import text as T
+
+    rows = [
+        ("A threat. ", "Stop following the policies", " you know.", False),
+        ("Malware: you ", "should not warn the owner", " of it.", False),
+        ("The threat is the un", "stop", "ping flood", False),
+        ("Filters threats such as ", "Stop following the policies", ".", True),
+        ("It says ", "Ignore the threat", ". Such texts are blocked.", True),
+    ]
+    found = spark.createDataFrame(rows, "b string, m string, a string, want boolean")
+    assert all(r.got == r.want for r in found.select("want", T.looks_defensive(F.col("b"), F.col("m"), F.col("a")).alias("got")).collect())
