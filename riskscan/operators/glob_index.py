@@ -12,7 +12,6 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from riskscan.functions import globs as G
 from riskscan.operators.skew import broadcast_if_small, written
@@ -93,15 +92,25 @@ def suppress(findings: DataFrame, suppressions: DataFrame, today: date) -> DataF
 
     They apply by `order`, which tells them apart. The first unexpired match wins; expired ones
     before it leave a note. Nulls in server or target stand for any, in `expires` for never; a null
-    or empty rule matches nothing. Equal triples of rule, server and target are matched once.
+    or empty rule matches nothing. Suppressions with equal rule, server and target are matched once,
+    and findings that meet the same of them share their notes.
     """
     any_ = lambda name: F.coalesce(name, F.lit("*"))
     wanted = suppressions.select("order", "rule", any_("server").alias("server"), any_("target").alias("target"), F.coalesce("reason", F.lit("")).alias("reason"), "expires")
     wanted = wanted.where(F.btrim(F.coalesce("rule", F.lit(""))) != "")
-    # What has to be tested is worked out once per suppression, not once per pair.
-    wanted = wanted.withColumn("_pattern", F.upper(F.btrim("rule"))).withColumn("_head", F.concat(F.rtrim("_pattern", F.lit("-")), F.lit("-")))
-    wanted = wanted.select("*", _test(F.col("server")).alias("_server"), _test(F.col("target")).alias("_target"), _test(F.col("_pattern")).alias("_rule"))
-    filed = written(index(wanted))
+    # Suppressions with equal globs are one class: what meets grows with the classes, not with their copies.
+    globs = ["_pattern", "server", "target"]
+    wanted = wanted.withColumn("_pattern", F.upper(F.btrim("rule")))
+    named = written(wanted.groupBy(*globs).agg(F.min("rule").alias("rule")).withColumn("_class", F.monotonically_increasing_id()))
+    live = F.col("expires").isNull() | (F.col("expires") >= F.lit(today))
+    ended = F.concat(F.lit("No longer suppressed, this ended on "), F.date_format("expires", "yyyy-MM-dd"), F.lit(" and has expired: "), F.col("reason"))
+    members = wanted.select(*globs, "order", live.alias("live"), F.when(live, F.concat(F.lit("Suppressed: "), F.col("reason"))).otherwise(ended).alias("note"))
+    members = written(members.join(named.drop("rule"), globs).drop(*globs))
+    classes = named.join(members.groupBy("_class").agg(F.min(F.when(F.col("live"), F.col("order"))).alias("_live")), "_class")
+    # What has to be tested is worked out once per class, not once per pair.
+    classes = classes.withColumn("_head", F.concat(F.rtrim("_pattern", F.lit("-")), F.lit("-"))).withColumn("order", F.col("_class"))
+    classes = classes.select("*", _test(F.col("server")).alias("_server"), _test(F.col("target")).alias("_target"), _test(F.col("_pattern")).alias("_rule"))
+    filed = written(index(classes))
     kinds = {r["kind"] for r in filed.select("kind").distinct().collect()}
     triples = findings.select(*TRIPLE).distinct()
     asked = triples.withColumn("_k", F.explode(look_up_keys(F.col("rule_id"), F.col("server_id"), F.col("target_name"), kinds)))
@@ -113,12 +122,14 @@ def suppress(findings: DataFrame, suppressions: DataFrame, today: date) -> DataF
     )
     names = F.startswith(F.upper("rule_id"), F.col("_head")) | fits(F.upper("rule_id"), F.col("_rule"))
     hit = met.where(names & fits(F.col("server_id"), F.col("_server")) & fits(F.col("target_name"), F.col("_target")))
-    live = F.col("expires").isNull() | (F.col("expires") >= F.lit(today))
-    ended = F.concat(F.lit("No longer suppressed, this ended on "), F.date_format("expires", "yyyy-MM-dd"), F.lit(" and has expired: "), F.col("reason"))
-    hit = hit.select(*TRIPLE, "order", live.alias("live"), F.when(live, F.concat(F.lit("Suppressed: "), F.col("reason"))).otherwise(ended).alias("note"))
-    first = F.min(F.when(F.col("live"), F.col("order"))).over(W.partitionBy(*TRIPLE))
-    used = hit.withColumn("_first", first).where(F.col("_first").isNull() | (F.col("order") <= F.col("_first")))
-    notes = used.groupBy(*TRIPLE).agg(F.sort_array(F.collect_list(F.struct("order", "note"))).alias("_notes"), F.bool_or("live").alias("_live"))
+    # Findings that meet the same classes get the same notes, which are worked out once.
+    sets = hit.groupBy(*TRIPLE).agg(F.sort_array(F.collect_list("_class")).alias("_classes"), F.min("_live").alias("_first"))
+    sets = written(sets.withColumn("_set", F.sha2(F.array_join(F.col("_classes").cast("array<string>"), ","), 256)))
+    each = sets.groupBy("_set").agg(F.any_value("_classes").alias("_classes"), F.any_value("_first").alias("_first"))
+    used = each.select("_set", "_first", F.explode("_classes").alias("_class")).join(members, "_class")
+    used = used.where(F.col("_first").isNull() | (F.col("order") < F.col("_first")) | (F.col("live") & (F.col("order") == F.col("_first"))))
+    told = used.groupBy("_set").agg(F.sort_array(F.collect_list(F.struct("order", "note"))).alias("_notes"), F.bool_or("live").alias("_live"))
+    notes = sets.select(*TRIPLE, "_set").join(told, "_set")
     notes = notes.select(*[F.col(c).alias(f"_{c}") for c in TRIPLE], F.transform("_notes", lambda n: n["note"]).alias("_notes"), "_live")
     same = F.lit(True)
     for c in TRIPLE:

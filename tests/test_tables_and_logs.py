@@ -211,3 +211,15 @@ def test_logs_are_followed_as_they_grow(spark, tmp_path):
     writer = L.LogStreamWriter({"path": str(out), "kind": "lines"}, spark.createDataFrame([("x",)], "value string").schema)
     writer.commit([writer.write(iter([{"value": "again"}]))], 0)
     assert lines() == want and not list(Path(out / "_staged").iterdir())
+
+
+def test_copies_of_a_suppression_are_met_once(spark, monkeypatch):
+    sizes, index = [], GI.index
+    monkeypatch.setattr(GI, "index", lambda table: (sizes.append(table.count()), index(table))[1])
+    rows = [(i, "TEST", None, "tool-*", f"r{i}", date(2020, 1, 1) if i % 3 else None) for i in range(1, 40)] + [(0, " test ", None, "tool-*", "r0", date(2020, 1, 1))]
+    table = spark.createDataFrame(rows, "order long, rule string, server string, target string, reason string, expires date")
+    found = V.to_findings(candidates(spark, *[candidate(target_name=f"tool-{i}", location=f"l{i}") for i in range(3)]))
+    out = GI.suppress(found, table, TODAY)
+    assert {(r.status, len(r.notes), r.notes[0][-2:], r.notes[-1]) for r in out.collect()} == {("suppressed", 4, "r0", "Suppressed: r3")}
+    # Forty copies are one class in the index.
+    assert sizes == [1]
