@@ -117,3 +117,11 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     got = G.reach_by_chains(e, s)
     assert got.agg(F.max("depth"), F.count("*")).first()[:] == (n, n + 1)
     assert len(tables) < 30
+
+
+def test_a_phrase_is_filed_under_the_place_between_its_words(spark):
+    rules = [U.UserRule(f"R{i}", "t", "low", (p,)) for i, p in enumerate(["heing that", "thnd that", "heing thus is"])]
+    keys = {r.id: r.key for r in RI.filed(RI.table_of(spark, rules)).collect()}
+    assert keys == {"R0": "eing that", "R1": "thnd that", "R2": "eing thus"}
+    assert RI.joints("on the way") == [] and RI.joints(r"Dont (?:run|go) there") == []
+    assert RI.joints("all rights reserved") == ["ghts rese"]
