@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskscan.operators.skew import top_k, written
+from riskscan.operators.skew import broadcast_if_small, top_k, written
 
 CHECKPOINT_EVERY = 3
 
@@ -106,30 +106,53 @@ def reach_by_chains(edges: DataFrame, seeds: DataFrame, keep: Sequence[str] = ("
     Chains are found first and passed at once; the rounds run over their first nodes only, and what
     was found is spread over the members of each chain at the end.
     """
+    # Nodes and origins are numbers on the way: rounds move two numbers and a depth, names come back at the end.
     e = edges.select("src", "dst").where("src <> dst").distinct()
-    found = chains(written(e))
+    begin = seeds.select("node", *keep).distinct()
+    unnamed = begin.where("node is null")
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).union(begin.select("node")).where("node is not null").distinct()
+    nodes = written(nodes.withColumn("_id", F.monotonically_increasing_id()))
+    origins = written(begin.select(*keep).distinct().withColumn("_origin", F.monotonically_increasing_id()))
+    numbered = lambda c: broadcast_if_small(nodes.select(F.col("node").alias(c), F.col("_id").alias(f"_{c}")))
+    e = e.join(numbered("src"), "src").join(numbered("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    same = F.lit(True)
+    for c in keep:
+        same = same & begin[c].eqNullSafe(origins[c])
+    begin = begin.join(broadcast_if_small(origins), same).join(numbered("node"), "node").select(F.col("_node").alias("node"), "_origin")
+    reached = _reach_numbers(written(e), written(begin))
+    named = reached.withColumnRenamed("node", "_node").join(numbered("node"), "_node").join(broadcast_if_small(origins), "_origin")
+    # A seed without a name leads nowhere; it has reached itself.
+    return named.select("node", *keep, "depth").unionByName(unnamed.withColumn("depth", F.lit(0)))
+
+
+def _reach_numbers(edges: DataFrame, seeds: DataFrame, every: int = CHECKPOINT_EVERY) -> DataFrame:
+    """`reach_by_chains` over numbers: `edges(src, dst)`, distinct, without loops, `seeds(node, _origin)`."""
+    found = chains(edges)
     if found is None:
-        return reach(edges, seeds, keep)
+        return reach(edges, seeds, ["_origin"])
     members, links = found
-    key = ["head", *keep]
-    start = seeds.select("node", *keep).distinct().join(members, "node", "left")
-    start = written(start.select(F.coalesce("head", "node").alias("head"), *keep, F.coalesce("rank", F.lit(0)).cast("bigint").alias("at"), "node"))
-    step = start.where("at > 0").select("head", *keep, F.col("at").alias("_from")).join(links, "head")
-    inside = step.select(F.col("dst").alias("head"), *keep, (F.col("steps") - F.col("_from")).alias("depth"))
-    best = start.where("at = 0").select(*key, F.lit(0).cast("bigint").alias("depth")).unionByName(inside)
-    best = frontier = written(best.groupBy(*key).agg(F.min("depth").alias("depth")))
-    while not frontier.isEmpty():
-        new = frontier.join(links, "head").select(F.col("dst").alias("head"), *keep, (F.col("depth") + F.col("steps")).alias("depth"))
+    key = ["head", "_origin"]
+    start = seeds.join(members, "node", "left")
+    start = written(start.select(F.coalesce("head", "node").alias("head"), "_origin", F.coalesce("rank", F.lit(0)).cast("bigint").alias("at"), "node"))
+    step = start.where("at > 0").select(*key, F.col("at").alias("_from")).join(links, "head")
+    inside = step.select(F.col("dst").alias("head"), "_origin", (F.col("steps") - F.col("_from")).alias("depth"))
+    first = start.where("at = 0").select(*key, F.lit(0).cast("bigint").alias("depth")).unionByName(inside)
+    seen = frontier = written(first.groupBy(*key).agg(F.min("depth").alias("depth")))
+    for turn in count(1):
+        new = frontier.join(links, "head").select(F.col("dst").alias("head"), "_origin", (F.col("depth") + F.col("steps")).alias("depth"))
         new = new.groupBy(*key).agg(F.min("depth").alias("depth"))
-        old = best.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("depth").alias("_depth"))
-        same = F.lit(True)
-        for c in key:
-            same = same & (new[c].eqNullSafe(old[f"_{c}"]))
-        frontier = written(new.join(old, same, "left").where(F.col("_depth").isNull() | (F.col("depth") < F.col("_depth"))).select(*key, "depth"))
-        best = written(best.unionByName(frontier).groupBy(*key).agg(F.min("depth").alias("depth")))
-    spread = best.join(members, "head", "left").select(F.coalesce("node", "head").alias("node"), *keep, (F.col("depth") + F.coalesce("rank", F.lit(0))).alias("depth"))
-    late = start.where("at > 0").select("head", *keep, "at").join(members, "head").where("rank >= at").select("node", *keep, (F.col("rank") - F.col("at")).alias("depth"))
-    return spread.unionByName(late).groupBy("node", *keep).agg(F.min("depth").cast("int").alias("depth"))
+        # What was reached before in as few steps is known; a nearer way is one more row, and the nearest counts at the end.
+        old = seen.select(*[F.col(c).alias(f"_old_{c}") for c in key], F.col("depth").alias("_depth"))
+        known = (new["head"] == old["_old_head"]) & (new["_origin"] == old["_old__origin"]) & (old["_depth"] <= new["depth"])
+        frontier = written(new.join(old, known, "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+        if turn % every == 0:
+            seen = written(seen)
+    spread = seen.join(members, "head", "left").select(F.coalesce("node", "head").alias("node"), "_origin", (F.col("depth") + F.coalesce("rank", F.lit(0))).alias("depth"))
+    late = start.where("at > 0").select(*key, "at").join(members, "head").where("rank >= at").select("node", "_origin", (F.col("rank") - F.col("at")).alias("depth"))
+    return spread.unionByName(late).groupBy("node", "_origin").agg(F.min("depth").cast("int").alias("depth"))
 
 
 def value_spread(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
