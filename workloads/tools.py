@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskscan.operators import capabilities as K
 from riskscan.operators import surfaces as SF
-from riskscan.operators.skew import written
+from riskscan.operators.skew import spread, written
 from riskscan.rules import tools as RT
 from riskscan.sources import catalog as C
 from workloads import query, table
@@ -14,7 +14,7 @@ from workloads import query, table
 
 def catalogs(spark, sf_dir):
     """One catalog per part, with one tool whose schema depends on the part."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     cat = lambda *xs: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
     key, name = F.col("p_partkey").cast("string"), F.translate("p_name", " ", "_")
     kind = F.col("p_size") % 5
