@@ -404,7 +404,7 @@ def rules_with_a_broken_one(spark, sf_dir):
 )
 def severity_floor(spark, sf_dir):
     """FLT-06: findings from medium up."""
-    found = V.at_least(V.validate(candidates(spark, sf_dir), keep=written, evidence=False), "medium")
+    found = V.at_least(V.validate(candidates(spark, sf_dir), evidence=False), "medium")
     return found.groupBy("server_id", "sev_rank").agg(F.count(F.lit(1)).alias("findings"))
 
 
@@ -416,7 +416,7 @@ def json_records(spark, sf_dir):
     """SNK-01, SCN-18: findings as JSON records, read again."""
     from riskscan.functions import levels as L
 
-    found = V.validate(candidates(spark, sf_dir), keep=written)
+    found = V.validate(candidates(spark, sf_dir))
     v = F.parse_json("value")
     rows = O.finding_json(found).select("server_id", v.alias("v"))
     at = lambda name: F.try_variant_get("v", f"$.{name}", "string")
@@ -433,7 +433,7 @@ def run_records(spark, sf_dir):
     """SNK-01, AGG-03/04: one row on a whole run."""
     from riskscan.operators import score as SC
 
-    found = written(V.validate(candidates(spark, sf_dir), keep=written, evidence=False))
+    found = V.validate(candidates(spark, sf_dir), keep=written, evidence=False)
     return P.run_record(found, SC.server_scores(found))
 
 
@@ -450,7 +450,7 @@ def fleet_summaries(spark, sf_dir):
     """AGG-22: servers with their rules, tools and the full number of errors."""
     from riskscan.operators import score as SC
 
-    found = written(V.validate(candidates(spark, sf_dir), keep=written, evidence=False))
+    found = V.validate(candidates(spark, sf_dir), keep=written, evidence=False)
     named = V.named_levels(found)
     tools = found.select("server_id", "target_name").distinct()
     errors = found.select("server_id").distinct().select("server_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("n")).where(

@@ -314,7 +314,7 @@ def text_finding_status(spark, sf_dir):
     """AGG-01, FLT-09, status: documents to findings, counted."""
     kept = tuple(d for d in PHRASES if d.rule_id != "SHADOW-001")
     surfaces = document_surfaces(seeded(spark, sf_dir))
-    found = V.validate(M.resolve_tool_references(M.surface_hits(surfaces, kept)), keep=written, evidence=False)
+    found = V.validate(M.resolve_tool_references(M.surface_hits(surfaces, kept)), evidence=False)
     return found.groupBy("server_id", "rule_id", "status", "severity").agg(
         F.count(F.lit(1)).alias("findings"), F.count_if("malicious").alias("malicious")
     )
@@ -344,7 +344,7 @@ def text_server_grade(spark, sf_dir):
     """The whole path: documents to a grade per source."""
     kept = tuple(d for d in PHRASES if d.rule_id != "SHADOW-001")
     surfaces = document_surfaces(seeded(spark, sf_dir))
-    found = written(V.validate(M.resolve_tool_references(M.surface_hits(surfaces, kept)), keep=written, evidence=False))
+    found = written(V.validate(M.resolve_tool_references(M.surface_hits(surfaces, kept)), evidence=False))
     return SC.server_scores(found).select("server_id", F.col("score").cast("double").alias("score"), "grade")
 
 
