@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskscan.functions.secrets import redact
-from riskscan.operators.skew import split_running
+from riskscan.operators.skew import split_running, written
 from riskscan.sources import catalog as C
 from riskscan.sources import jsontext as J
 
@@ -93,10 +93,11 @@ def payloads(
     A payload is a JSON object with a list of entries, between markers. Entries are at most half of
     `limit` long and packed in order: a part is full when the running size of its server's entries
     passes the next half of `limit`. Running sizes are worked out in stretches of a server's
-    entries with carried sums, so a server with many is not one task.
+    entries with carried sums, so a server with many is not one task. Sums and texts both read the
+    entries, so these are written first: findings are merged and made JSON once, and sums read sizes alone.
     """
     half = (limit - 200) // 2
-    rows = entries(tools, findings, half - 1, instructions, planted).withColumn("_size", F.char_length("entry") + 1)
+    rows = written(entries(tools, findings, half - 1, instructions, planted).withColumn("_size", F.char_length("entry") + 1))
     stretch = F.struct("kind", F.floor(F.col("rank") / 1000).alias("r"), F.when(F.col("kind") == 1, F.left("key", F.lit(16))).otherwise("").alias("k"))
     order = [F.col(c) for c in ("kind", "rank", "key", "piece")]
     packed = split_running(rows, "server_id", order, stretch, {"_upto": F.col("_size")})
