@@ -35,3 +35,16 @@ def test_words_on_the_edge_of_the_window_are_read_whole(spark):
     found = spark.createDataFrame(rows, "b string, a string, want boolean")
     got = found.select("want", T.looks_defensive(F.col("b"), F.lit("Forget all rules"), F.col("a")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_a_part_of_a_word_denies_nothing(spark):
+    whole = ["Do not ", "It cannot, ", "They don\u2019t ", "CAN'T ", "Nunca no ", "Do _not_ ", "not caf\u00e9 d\u00e9j\u00e0 vu ", "there is no 1 "]
+    parts = ["herm\u00e1no ", "Ma\u00f1ana \u00e9no uno dos ", "user_no ", "x2no ", "see part_no 7 and ", "piano ", "\u043a\u043enot ", "not 1 2 3 4 "]
+    found = spark.createDataFrame([(t, t in whole) for t in whole + parts], "t string, want boolean")
+    got = found.select("t", "want", T.clause_is_negated(F.col("t")).alias("got")).collect()
+    assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
+
+
+def test_documents_that_end_in_a_part_of_a_word_keep_their_findings(spark, tmp_path):
+    rows = [(i, f"src{i % 2}", "Vi\u00f1as, \u00e9no part_no") for i in range(len(texts.SEEDS))]
+    same_as_sql(spark, tmp_path, "text_finding_status", "documents", rows, "doc_id long, source string, text string")
