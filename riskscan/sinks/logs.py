@@ -14,6 +14,7 @@ All files are opened through `pyarrow.fs`, which takes local, HDFS, S3 and GCS p
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import time
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from riskscan.operators.skew import written
 from riskscan.sinks.reports import SARIF_SCHEMA
 
 #: Results in one SARIF log; code scanning tools refuse longer ones.
 RESULTS_EACH = 25_000
+#: How hard gzip tries on a log: results repeat most of their text, so little is gained by more.
+GZIP_LEVEL = 4
 #: Bytes of a log that one task reads.
 PART = 64 << 20
 #: Bytes looked at together for the last line end of a log.
@@ -68,6 +72,10 @@ class _LogWriter:
         self.each = int(options.get("resultseach", RESULTS_EACH))
         self.columns = schema.fieldNames()
         self.overwrite = overwrite
+        self.compression = options.get("compression", "none").lower()
+        # Logs of lines are followed by byte offsets, so they stay plain.
+        if self.compression not in (("none", "gzip") if self.kind == "sarif" else ("none",)):
+            raise ValueError(f"{self.kind} logs can't be written with compression {self.compression!r}")
         wanted = {"sarif": {"rule_id", "rule", "result"}, "lines": {"value"}}[self.kind]
         if not wanted <= set(self.columns):
             raise ValueError(f"the rows need the columns {', '.join(sorted(wanted))}")
@@ -76,7 +84,7 @@ class _LogWriter:
         system, root = _system(self.path)
         system.create_dir(f"{root}/_staged", recursive=True)
         names: list[str] = []
-        stream, rules, count = None, {}, 0
+        stream, raw, rules, count = None, None, {}, 0
 
         def put(text: str) -> None:
             stream.write(text.encode())
@@ -86,13 +94,15 @@ class _LogWriter:
                 listed = ",".join(rules[k] for k in sorted(rules))
                 put(f'],"tool":{{"driver":{{"name":{json.dumps(self.tool)},"rules":[{listed}]}}}}}}]}}')
             stream.close()
+            raw.close()
 
         for row in rows:
             if stream is None or (self.kind == "sarif" and count >= self.each):
                 if stream is not None:
                     end()
-                names.append(f"{uuid.uuid4().hex}.{'sarif' if self.kind == 'sarif' else 'jsonl'}")
-                stream, rules, count = system.open_output_stream(f"{root}/_staged/{names[-1]}", compression=None), {}, 0
+                names.append(f"{uuid.uuid4().hex}.{'sarif' if self.kind == 'sarif' else 'jsonl'}{'.gz' if self.compression == 'gzip' else ''}")
+                raw, rules, count = system.open_output_stream(f"{root}/_staged/{names[-1]}", compression=None), {}, 0
+                stream = gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=GZIP_LEVEL) if self.compression == "gzip" else raw
                 if self.kind == "sarif":
                     put(f'{{"$schema":{json.dumps(SARIF_SCHEMA)},"version":"2.1.0","runs":[{{"results":[')
             if self.kind == "sarif":
@@ -166,7 +176,7 @@ class _Logs(DataSource):
 
 
 class SarifLogs(_Logs):
-    """Rows `rule_id, rule, result` (JSON texts) as SARIF logs. Options: path, tool, resultsEach."""
+    """Rows `rule_id, rule, result` (JSON texts) as SARIF logs. Options: path, tool, resultsEach, compression (none, or gzip for `.sarif.gz`)."""
 
     kind = "sarif"
 
@@ -292,10 +302,14 @@ def register(spark: SparkSession) -> None:
 
 
 def sarif_rows(findings: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """Rows for `riskscan-sarif`: every finding with the rule object of its rule, rules looked up by a join on their ids."""
+    """Rows for `riskscan-sarif`: every finding with the rule object of its rule, rules looked up by a join on their ids.
+
+    Findings are read twice, so pass written ones. Rule objects are few and written first: their
+    size is known then, and results need not be moved to meet them.
+    """
     from riskscan.sinks.reports import sarif_results, sarif_rules
 
-    rules = sarif_rules(findings, catalog).withColumnRenamed("value", "rule")
+    rules = written(sarif_rules(findings, catalog).withColumnRenamed("value", "rule"))
     return sarif_results(findings).withColumnRenamed("value", "result").join(rules, "rule_id").select("server_id", "rule_id", "rule", "result")
 
 
