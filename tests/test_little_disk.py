@@ -3,6 +3,7 @@
 import gzip
 import itertools
 import json
+from datetime import date
 
 import pytest
 from builders import candidate, candidates
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskscan.functions import text as T
 from riskscan.operators import findings as V
+from riskscan.operators import glob_index as GI
 from riskscan.sinks import logs as L
 
 ODD = [None, "", "a", "a b", "ab", "\x00", "\x01", "\x02", "\x01\x02", "\x00\x00a", "\x01\x01\x02", "\x00\x01", "\x01\x00b", "é", "😀"]
@@ -24,18 +26,21 @@ def test_packed_texts_come_back_and_sort_as_they_did(spark):
     assert rows.select("p").distinct().count() == len(ODD) ** 2
 
 
-def test_merge_moves_few_columns(spark):
-    plan = V.merge(candidates(spark, candidate("A-001")))._jdf.queryExecution().executedPlan()
-    moved = [x for x in str(plan.toString()).splitlines() if "Exchange hashpartitioning" in x]
-    assert len(moved) == 3
-    widths, todo = [], [plan]
+def exchanges(df):
+    """(partitioning, names of the columns) of every shuffle in a plan."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
         if node.nodeName() == "AdaptiveSparkPlan":
             node = node.executedPlan()
         if node.nodeName() == "Exchange":
-            widths.append(node.output().size())
+            found.append((node.outputPartitioning().toString(), [node.output().apply(i).name() for i in range(node.output().size())]))
         todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_merge_moves_few_columns(spark):
+    widths = [len(names) for _, names in exchanges(V.merge(candidates(spark, candidate("A-001"))))]
     # Before: 15 and 16 columns.
     assert len(widths) == 3 and max(widths) <= 9
 
@@ -69,3 +74,22 @@ def test_logs_compressed_as_they_are_written(spark, tmp_path):
     assert spark.read.schema(schema).json(f"{tmp_path}/small/*.sarif.gz", multiLine=True).select(F.explode(F.flatten("runs.results"))).count() == 50
     with pytest.raises(Exception, match="compression"):
         L.json_lines(found.select("id")).write.format("riskscan-lines").option("compression", "gzip").mode("append").save(str(tmp_path / "lines"))
+
+
+def test_notes_of_suppressions_move_with_their_set(spark, monkeypatch):
+    monkeypatch.setattr(GI, "is_small", lambda *a: False, raising=False)
+    monkeypatch.setattr(GI, "broadcast_if_small", lambda df: df)
+    found = V.to_findings(candidates(spark, *[candidate(target_name=n, location=f"l{n}") for n in ("tool-1", "tool-2", "other", None)]))
+    rows = [(i, "TEST", None, "tool-*", f"r{i}", date(2020, 1, 1) if i < 5 else None) for i in range(7)]
+    table = spark.createDataFrame(rows, "order long, rule string, server string, target string, reason string, expires date")
+    out = GI.suppress(found, table, date(2026, 1, 1))
+    got = {r.target_name: (r.status, len(r.notes)) for r in out.collect()}
+    assert got == {"tool-1": ("suppressed", 6), "tool-2": ("suppressed", 6), "other": ("unverified", 0), None: ("unverified", 0)}
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = exchanges(GI.suppress(found, table, date(2026, 1, 1)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    with_notes = [place for place, names in moved if "_notes" in names]
+    assert with_notes and all("_set" in place and "target_name" not in place for place in with_notes)
