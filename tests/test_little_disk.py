@@ -6,12 +6,14 @@ import json
 from datetime import date
 
 import pytest
-from builders import candidate, candidates
+from builders import candidate, candidates, surfaces
 from pyspark.sql import functions as F
 
 from riskscan.functions import text as T
 from riskscan.operators import findings as V
 from riskscan.operators import glob_index as GI
+from riskscan.rules import rule_index as RI
+from riskscan.rules import user_rules as U
 from riskscan.sinks import logs as L
 
 ODD = [None, "", "a", "a b", "ab", "\x00", "\x01", "\x02", "\x01\x02", "\x00\x00a", "\x01\x01\x02", "\x00\x01", "\x01\x00b", "é", "😀"]
@@ -93,3 +95,20 @@ def test_notes_of_suppressions_move_with_their_set(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     with_notes = [place for place, names in moved if "_notes" in names]
     assert with_notes and all("_set" in place and "target_name" not in place for place in with_notes)
+
+
+def test_rules_beyond_a_broadcast_move_no_texts(spark, monkeypatch):
+    rules = RI.table_of(spark, [U.UserRule(id=f"R-{i}", title="t", severity="low", category="quality", patterns=(p,)) for i, p in enumerate([r"\bgreen apple\b", "red pear", r"\bplum\b", "x.z"])])
+    texts = surfaces(spark, "a green apple and a red pear", "plum plum", "Red Pear", "nothing", "xyz")
+    found = lambda: sorted((r.rule_id, r.target_name) for r in RI.candidates(texts, rules).collect())
+    want = [("R-0", "t0"), ("R-1", "t0"), ("R-1", "t2"), ("R-2", "t1"), ("R-3", "t4")]
+    assert found() == want
+    monkeypatch.setattr(RI, "BLOCK_BYTES", 300, raising=False)
+    monkeypatch.setattr(RI, "broadcast_if_small", lambda df: df)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not any({"norm", "text"} & set(names) for _, names in exchanges(RI.candidates(texts, rules)))
+        assert found() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
