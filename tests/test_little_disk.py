@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from riskscan.functions import text as T
 from riskscan.operators import findings as V
 from riskscan.operators import glob_index as GI
+from riskscan.operators.skew import written
 from riskscan.rules import rule_index as RI
 from riskscan.rules import user_rules as U
 from riskscan.sinks import logs as L
+from riskscan.sinks import reports as K
 
 ODD = [None, "", "a", "a b", "ab", "\x00", "\x01", "\x02", "\x01\x02", "\x00\x00a", "\x01\x01\x02", "\x00\x01", "\x01\x00b", "é", "😀"]
 
@@ -112,3 +114,25 @@ def test_rules_beyond_a_broadcast_move_no_texts(spark, monkeypatch):
         assert found() == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def without_broadcasts(spark, make):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return exchanges(make())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_logs_move_results_once_and_never_whole(spark, monkeypatch):
+    monkeypatch.setattr(K, "RESULTS_PER_RUN", 4)
+    rows = [candidate(f"R-{i % 3}", server_id="large", target_name=f"t{i}", location=f"l{i}") for i in range(11)]
+    rows += [candidate("R-0", server_id="small", target_name=f"t{i}", location=f"m{i}") for i in range(4)]
+    found = written(V.validate(candidates(spark, *rows)))
+    logs = {(r.server_id, r.chunk): json.loads(r.value)["runs"][0] for r in K.sarif_documents(found, "x").collect()}
+    assert {k: len(v["results"]) for k, v in logs.items()} == {("large", 0): 4, ("large", 1): 4, ("large", 2): 3, ("small", 0): 4}
+    assert all({x["id"] for x in v["tool"]["driver"]["rules"]} == {x["ruleId"] for x in v["results"]} for v in logs.values())
+    moved = without_broadcasts(spark, lambda: K.sarif_documents(found, "x"))
+    # Once where logs are put together, once more where the results of large servers are numbered.
+    assert sum("value" in names for _, names in moved) == 2 and not any("results" in names for _, names in moved)
