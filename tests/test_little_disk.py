@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from riskscan.functions import text as T
 from riskscan.operators import findings as V
 from riskscan.operators import glob_index as GI
+from riskscan.operators import review as RV
 from riskscan.operators.skew import written
 from riskscan.rules import rule_index as RI
 from riskscan.rules import user_rules as U
@@ -136,3 +137,23 @@ def test_logs_move_results_once_and_never_whole(spark, monkeypatch):
     moved = without_broadcasts(spark, lambda: K.sarif_documents(found, "x"))
     # Once where logs are put together, once more where the results of large servers are numbered.
     assert sum("value" in names for _, names in moved) == 2 and not any("results" in names for _, names in moved)
+
+
+def test_entries_of_small_servers_move_once(spark, monkeypatch):
+    rows = [candidate("R-0", severity=("low", "critical", "high")[i % 3], server_id=s, target_name=f"t{i}", location=f"l{i}") for s in ("a", "b") for i in range(12)]
+    found = written(V.validate(candidates(spark, *rows[:20])))
+    tools = spark.createDataFrame([("a", "t", 0, "d" * 900)], "server_id string, name string, seq long, description string").withColumn("input_schema", F.parse_json(F.lit("{}")))
+    ids = {s: {r.id for r in found.where(F.col("server_id") == s).collect()} for s in ("a", "b")}
+    got = {}
+    for most in (10_000, 9):
+        monkeypatch.setattr(RV, "STRETCH", most, raising=False)
+        parts = RV.payloads(tools, found, "tok", 1500).orderBy("server_id", "part").collect()
+        got[most] = [(r.server_id, r.part, r.payload) for r in parts]
+        listed = [(s, e) for s, _, p in got[most] for e in json.loads(p.split("\n", 1)[1].rsplit("\n", 1)[0])["entries"]]
+        assert {s: {e["id"] for t, e in listed if t == s and e["kind"] == "finding"} for s in ids} == ids
+        # Worst first over all parts, also where a server is cut into stretches.
+        worst = [("critical", "high", "low").index(e["severity"]) for s, e in listed if s == "a" and e["kind"] == "finding"]
+        assert worst == sorted(worst)
+    assert got[9] == got[10_000]
+    moved = [place for place, names in without_broadcasts(spark, lambda: RV.payloads(tools, found, "tok", 1500)) if "entry" in names]
+    assert sum("server_id" in p and p.count("#") == 1 for p in moved) == 1
